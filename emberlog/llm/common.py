@@ -41,7 +41,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; for a file scan, the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
