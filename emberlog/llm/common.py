@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes handed to a per-document function at once; Spark's own Arrow batches may be larger.
@@ -44,9 +45,15 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """Partitions that hold about ``bytes_each`` of ``df``'s input bytes, so that their number follows the input."""
-    return max(least, -(-min(planned_bytes(df), 1 << 60) // bytes_each))
+def parts_for(df: DataFrame, bytes_each: int, least: int = 1, text_col: str = "text") -> int:
+    """Partitions that hold about ``bytes_each`` of ``df``'s input bytes, so that their number follows the input.
+
+    Where Catalyst cannot know the size (rows from the driver, an RDD or a join), the texts' bytes are summed up.
+    """
+    size = planned_bytes(df)
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    return max(least, -(-size // bytes_each))
 
 
 def without(df: DataFrame, names: list[str]) -> list[str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, langid, media, token_count
+from . import bpe, common, langid, media, simhash, substring_dedup, token_count
 
 
 def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media_columns(docs, keep=["doc_id", "text"]))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return substring_dedup.digests(substring_dedup.remove_repeats(docs, keep=["doc_id"]))
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.near_duplicates(common.table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     found = langid.identify(docs, docs.filter(~langid.held_out()), keep=["doc_id"])
@@ -31,7 +40,7 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_count, op4_media_columns, op7_language_id, op8_bpe_codec)}
+    return {f.__name__: f for f in (op2_token_count, op4_media_columns, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -241,12 +241,13 @@ def remove_repeats(df: DataFrame, width: int = WINDOW, id_col: str = "doc_id", t
     names = ["n_words", "n_removed", "kept"]
     keep = common.without(df, names) if keep is None else keep
     src = df.select(*[df[f"`{c}`"] for c in keep], F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    blocks, shards = common.parts_for(df, BLOCK_BYTES), common.parts_for(df, SHARD_BYTES)
+    blocks, shards = common.parts_for(df, BLOCK_BYTES, text_col=text_col), common.parts_for(df, SHARD_BYTES, text_col=text_col)
     bounds = []
     if blocks > 1:
         cut = [i / blocks for i in range(1, blocks)]
         found = df.agg(F.percentile_approx(F.col(id_col).cast("double"), cut, max(10_000, 10 * blocks))).first()[0]
         bounds = sorted(set(found or []))
+    bounds = bounds or [0.0]
     split = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__number", outputCol="__bucket", handleInvalid="keep")
     placed = split.transform(src.withColumn("__number", F.col("__id").cast("double"))).drop("__number")
     placed = placed.withColumn("__block", F.coalesce("__bucket", F.lit(float(len(bounds) + 1))).cast("int")).drop("__bucket")
