@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, langid, media, simhash, substring_dedup, token_count
+from . import bpe, common, langid, media, mixing, simhash, substring_dedup, token_count
 
 
 def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, common.tokenizer_path("word_bpe_49k.json"), keep=["doc_id"]))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_count, op4_media_columns, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_bpe_codec)}
+    return {f.__name__: f for f in (op2_token_count, op4_media_columns, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_bpe_codec, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
