@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, langid, media, mixing, simhash, substring_dedup, token_count
+from . import bpe, common, fingerprint, langid, license_scan, media, mixing, simhash, substring_dedup, token_count
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` as files: a document's path is its source, language and id."""
+    docs = common.table(spark, sf_dir, "documents")
+    return license_scan.scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
 
 
 def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +21,10 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, common.tokenizer_path("byte_bpe_50k.json"), limit=512, keep=["doc_id"])
 
 
+def op3_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(common.table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return media.digests(media.media_columns(docs, keep=["doc_id", "text"]))
@@ -44,7 +55,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_count, op4_media_columns, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_bpe_codec, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_count, op3_document_fingerprint, op4_media_columns, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_bpe_codec, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
