@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,6 +36,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """Send this package to the executors once for each application, where they do not have it on their path."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        # the driver's file server sends it from here for as long as the application runs
+        path = f"{tempfile.mkdtemp(prefix='emberlog-')}/{root.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
+    return df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage at a reliable copy in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -87,6 +107,7 @@ def map_text(
     ``make()`` runs once for a task and gives ``f(texts) -> one list of values for each field``.
     ``keep``: the input columns to return (default: all whose names do not clash with ``fields``).
     """
+    ship(df)
     names = [f.name for f in fields]
     keep = without(df, names) if keep is None else keep
     src = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text_col}`"].cast("string").alias("__text"))

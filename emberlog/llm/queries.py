@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fingerprint, langid, license_scan, media, mixing, simhash, substring_dedup, token_count
+from . import bpe, common, fingerprint, kneser_ney, langid, license_scan, media, mixing, simhash, substring_dedup, token_count
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +50,18 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, common.tokenizer_path("word_bpe_49k.json"), keep=["doc_id"]))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted text: documents whose label says good quality and not toxic."""
+    labels = common.table(spark, sf_dir, "labels").filter("quality = 1 AND coalesce(toxic, 0) = 0")
+    return kneser_ney.classify(common.table(spark, sf_dir, "documents"), labels.select("doc_id"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_count, op3_document_fingerprint, op4_media_columns, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_bpe_codec, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_count, op3_document_fingerprint, op4_media_columns, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_bpe_codec, op9_quality_classifier, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

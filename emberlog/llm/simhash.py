@@ -206,6 +206,7 @@ def links(fps: DataFrame, crowded: int = BUCKET) -> DataFrame:
     stream by, with work linear in their size. A bucket with over ``crowded`` members is dealt out again by the
     variants of its other half's two parts; there at most 18 bits remain free, which bounds a bucket by 2^18.
     """
+    common.ship(fps)
     keyed = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(F.expr(_first_key("bit")).alias("key"), "fp")
     first = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: _search(it, 2, crowded), _LINK)
     first = common.checkpoint(first)

@@ -238,6 +238,7 @@ def remove_repeats(df: DataFrame, width: int = WINDOW, id_col: str = "doc_id", t
     every occurrence. A passage that all documents share is one hash for each block, so no shard or block is hot.
     Within a block words are compared as they are; between blocks by their windows' hashes.
     """
+    common.ship(df)
     names = ["n_words", "n_removed", "kept"]
     keep = common.without(df, names) if keep is None else keep
     src = df.select(*[df[f"`{c}`"] for c in keep], F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
