@@ -103,6 +103,11 @@ def test_profile_and_mapping_of_a_raw_file(spark, tmp_path):
     assert fields["src_ip"] == "ip" and fields["uri"] == "uri" and fields["status_code"] == "status" and fields["timestamp_utc"] == "ts"
     assert found["timestamp"]["format"] == "iso8601" and found["timestamp"]["parsed"] == 40
     assert found["mapping"]["log_types"][0][0] == "web" and ("pii", "ip") in found["warnings"]
+    flat = raw_profile.flat_text(df)
+    assert raw_profile.safe_enum(flat, "method") == ["GET"] and raw_profile.safe_enum(flat, "status") == ["200", "404"] and raw_profile.safe_enum(flat, "ip") is None
+    (derived,) = raw_profile.propose_derived(df, "uri")
+    assert (derived["name"], derived["type"], derived["kind"], derived["hits"]) == ("x_k", "BIGINT", "resource", 40)
+    assert set(raw_profile.trimmed(found, 1000)["fields"]) == set(fields.values())
     both = spark.createDataFrame([("01/02/2024 10:00:00",)] * 5, "t string")
     assert raw_profile.day_month(both, "t", "%d/%m/%Y %H:%M:%S") == "%m/%d/%Y %H:%M:%S"
 
