@@ -34,8 +34,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-ERROR = F.col("event_type") == "error"
-US = "epoch_us({0})"
+def error():
+    return F.col("event_type") == "error"
 
 
 # summaries
@@ -56,7 +56,7 @@ def _(s, d):
 
 @query("status_by_user", "SELECT user_id AS value, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'purchase') AS n_purchase, round(100.0 * count(*) FILTER (event_type = 'error') / count(*), 1) AS pct_error FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 50")
 def _(s, d):
-    return summaries.status_by(events(s, d), "user_id", {"n_error": ERROR, "n_purchase": F.col("event_type") == "purchase"}, ERROR, 50)
+    return summaries.status_by(events(s, d), "user_id", {"n_error": error(), "n_purchase": F.col("event_type") == "purchase"}, error(), 50)
 
 
 @query("status_by_priority", "SELECT o_orderpriority AS value, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p, round(100.0 * count(*) FILTER (o_orderstatus = 'P') / count(*), 1) AS pct_error FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 50")
@@ -66,7 +66,7 @@ def _(s, d):
 
 @query("activity_user", "SELECT user_id AS entity, count(*) AS n, count(DISTINCT event_type) AS distinct_event_type, count(DISTINCT props) AS distinct_props, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, round(100.0 * count(*) FILTER (event_type = 'error') / count(*), 1) AS pct_error FROM events GROUP BY 1 HAVING count(*) >= 1 ORDER BY n DESC, entity LIMIT 20")
 def _(s, d):
-    return summaries.activity(events(s, d), "user_id", ["event_type", "props"], "ts", ERROR, 20)
+    return summaries.activity(events(s, d), "user_id", ["event_type", "props"], "ts", error(), 20)
 
 
 for _bucket in ("hour", "day", "week", "month"):
@@ -252,7 +252,7 @@ def _(s, d):
 
 @query("det_block_allow", "WITH e AS (SELECT user_id, (epoch_us(ts) + 500) // 1000 AS ms, CASE event_type WHEN 'error' THEN 'D' WHEN 'purchase' THEN 'A' END AS what FROM events WHERE event_type IN ('error', 'purchase')), l AS (SELECT *, lag(what) OVER w AS was, (ms - lag(ms) OVER w) / 1000.0 AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, what DESC)) SELECT user_id, count(*) AS pairs, min(gap) AS shortest, CASE WHEN count(*) >= 10 THEN 'high' WHEN count(*) >= 5 THEN 'medium' ELSE 'low' END AS severity FROM l WHERE was = 'D' AND what = 'A' AND gap <= 86400 GROUP BY 1")
 def _(s, d):
-    return detectors.blocked_then_allowed(events(s, d), ("user_id",), "ts", ERROR, F.col("event_type") == "purchase", 86_400, 1)
+    return detectors.blocked_then_allowed(events(s, d), ("user_id",), "ts", error(), F.col("event_type") == "purchase", 86_400, 1)
 
 
 @query("correlate_signals", "WITH f AS (SELECT user_id::VARCHAR AS entity, 'errors' AS detector, 'medium' AS severity FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 12 UNION ALL SELECT user_id::VARCHAR, 'purchases', 'high' FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 18 UNION ALL SELECT user_id::VARCHAR, 'views', 'low' FROM events GROUP BY 1), g AS (SELECT entity, count(DISTINCT detector) AS signals, list_sort(list(DISTINCT detector)) AS detectors, max(CASE severity WHEN 'high' THEN 3 ELSE 2 END) AS g FROM f WHERE severity IN ('medium', 'high') GROUP BY 1) SELECT entity, signals, detectors, CASE WHEN signals >= 2 OR g = 3 THEN 'high' ELSE 'medium' END AS severity FROM g")
@@ -263,7 +263,7 @@ def _(s, d):
     def found(rows, name, severity, least):
         return rows.groupBy(entity).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("entity", F.lit(name).alias("detector"), F.lit(severity).alias("severity"))
 
-    return detectors.correlate(found(e.filter(ERROR), "errors", "medium", 12).unionByName(found(e.filter("event_type = 'purchase'"), "purchases", "high", 18)).unionByName(found(e, "views", "low", 1)))
+    return detectors.correlate(found(e.filter(error()), "errors", "medium", 12).unionByName(found(e.filter("event_type = 'purchase'"), "purchases", "high", 18)).unionByName(found(e, "views", "low", 1)))
 
 
 # correlation
@@ -434,9 +434,6 @@ def _(s, d):
 
 
 # documents
-_MARK = "chr(1)"
-_H = r"(^|[^0-9A-Fa-f])([0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})([^0-9A-Fa-f]|$)"
-
 
 @query("ioc_hashes", f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9A-Fa-f]+')) AS v FROM documents), h AS (SELECT doc_id, lower(v) AS value FROM w WHERE length(v) IN (32, 40, 64) AND regexp_matches(lower(v), '[a-f]')) SELECT CASE length(value) WHEN 64 THEN 'sha256' WHEN 40 THEN 'sha1' ELSE 'md5' END AS kind, value, count(*) AS mentions, count(DISTINCT doc_id) AS docs, NULL::VARCHAR AS tag FROM h GROUP BY 1, 2")
 def _(s, d):
