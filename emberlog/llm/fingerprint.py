@@ -7,42 +7,48 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLES = 64
+SAMPLES = 48
 PART_BYTES = 3 << 20
 WORDS = r"[\x20\x09-\x0D]+"
 
 
-def _uniform(h: Column, high: bool) -> Column:
-    """A number strictly between 0 and 1 from one half of a 64-bit hash."""
-    half = F.shiftrightunsigned(h, 32) if high else h.bitwiseAND(F.lit(0xFFFFFFFF))
-    return (half.cast("double") + 0.5) * (0.5**32)
+def _uniform(h: Column, part: int) -> Column:
+    """A number strictly between 0 and 1 from 21 bits of a hash, of which there are three in 64."""
+    bits = F.shiftrightunsigned(h, 21 * part) if part else h
+    return (bits.bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) * (0.5**21)
 
 
-def sample(term: Column, weight: Column, d: int) -> Column:
-    """Logarithm of the d-th sample's value for a term (64-bit hash) of a weight; the least value of a set is its sample.
+def sample(term: Column, log_weight: Column, d: int) -> Column:
+    """Logarithm of the d-th sample's value for a term (64-bit hash); the least value of a set is its sample.
 
     r and c are gamma-distributed with shape 2 and b is uniform, all drawn from the term's hash:
     t = floor(ln(weight) / r + b), ln(value) = ln(c) - r (t - b + 1). Equal values mean the same term and the same
-    step t, so that two sets have the same sample with the probability of their generalised Jaccard similarity.
+    step t, so that two sets have the same sample with the probability of their generalised Jaccard similarity. A null
+    logarithm, of weight 0, has no value.
     """
-    one, two, three = (F.xxhash64(term, F.lit(3 * d + j)) for j in range(3))
-    r = -F.ln(_uniform(one, True) * _uniform(one, False))
-    c = -F.ln(_uniform(two, True) * _uniform(two, False))
-    b = _uniform(three, True)
-    t = F.floor(F.ln(weight) / r + b)
+    one, two = F.xxhash64(term, F.lit(2 * d)), F.xxhash64(term, F.lit(2 * d + 1))
+    r = -F.ln(_uniform(one, 0) * _uniform(one, 1))
+    c = -F.ln(_uniform(two, 0) * _uniform(two, 1))
+    b = _uniform(one, 2)
+    t = F.floor(log_weight / r + b)
     return F.ln(c) - r * (t.cast("double") - b + 1.0)
 
 
-def signatures(texts: DataFrame, key: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:
-    """(key, sig): 32-bit hashes of the samples of each text's words, weighted by their number (lower case).
+def signatures(texts: DataFrame, key: list[str], text_cols: list[str], samples: int = SAMPLES) -> DataFrame:
+    """(key, sig0, sig1, ...): 32-bit hashes of the samples of each text's words, weighted by their number (lower case).
 
-    Texts without a word have no row. ``texts`` should be partitioned by a column of the key: then neither the count
-    of words nor the samples need another shuffle.
+    A row's texts share the draws of a word, which are made once for all of them. A text without a word has nulls, a
+    row without any has no row. ``texts`` should be partitioned by a column of the key: then neither the count of words
+    nor the samples need another shuffle.
     """
-    words = texts.select(*key, F.explode(F.split(F.lower(text_col), WORDS)).alias("__w")).filter("__w != ''")
-    counted = words.groupBy(*key, F.xxhash64("__w").alias("__t")).agg(F.count(F.lit(1)).cast("double").alias("__n"))
-    least = counted.groupBy(*key).agg(*[F.min(sample(F.col("__t"), F.col("__n"), d)).alias(f"__s{d}") for d in range(samples)])
-    return least.select(*key, F.array(*[F.hash(f"__s{d}") for d in range(samples)]).alias("sig"))
+    versions = texts.select(*key, F.posexplode(F.array(*text_cols)).alias("__v", "__text"))
+    words = versions.select(*key, "__v", F.explode(F.split(F.lower("__text"), WORDS)).alias("__w")).filter("__w != ''")
+    n = range(len(text_cols))
+    counted = words.groupBy(*key, F.xxhash64("__w").alias("__t")).agg(*[F.count_if(F.col("__v") == i).alias(f"__n{i}") for i in n])
+    logs = counted.select(*key, "__t", *[F.ln(f"__n{i}").alias(f"__l{i}") for i in n])
+    least = logs.groupBy(*key).agg(*[F.min(sample(F.col("__t"), F.col(f"__l{i}"), d)).alias(f"__s{i}_{d}") for d in range(samples) for i in n])
+    sig = [F.when(F.col(f"__s{i}_0").isNotNull(), F.array(*[F.hash(f"__s{i}_{d}") for d in range(samples)])).alias(f"sig{i}") for i in n]
+    return least.select(*key, *sig)
 
 
 def no_words(samples: int = SAMPLES) -> Column:
@@ -116,10 +122,8 @@ def fingerprints(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id",
     both = both.select("key", "none", F.xxhash64("text").alias("mark"), "rows", "text", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.substring(F.col("begin"), F.lit(1), cut)).alias("edited"))
     ids = ["key", "none", "mark"]
     told = both.select(*ids, "rows", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    versions = both.select(*ids, F.posexplode(F.array("text", "edited")).alias("v", "t"))
-    sig = signatures(versions, [*ids, "v"], "t", samples)
-    sig = sig.groupBy(*ids).agg(F.max(F.when(F.col("v") == 0, F.col("sig"))).alias("own"), F.max(F.when(F.col("v") == 1, F.col("sig"))).alias("other"))
-    found = told.join(sig, ids, "left").withColumn("own", F.coalesce("own", no_words(samples))).withColumn("other", F.coalesce("other", no_words(samples)))
+    sig = signatures(both, ids, ["text", "edited"], samples)
+    found = told.join(sig, ids, "left").withColumn("own", F.coalesce("sig0", no_words(samples))).withColumn("other", F.coalesce("sig1", no_words(samples))).drop("sig0", "sig1")
     found = common.checkpoint(found)
     nexts = found.select("key", "none", F.col("own").alias("next_own"))
     if repeat:
