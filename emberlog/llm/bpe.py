@@ -18,7 +18,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from . import common
 
 #: Most entries of a worker's cache in each of two generations. Results do not depend on it.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 60_000
 CACHE_CHARS = 48
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -54,12 +58,41 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system: workers live on and other stages need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage at a reliable copy in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def table_of(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written as a table in the shared folder and read again, and a function that deletes it.
+
+    Shuffle files of the write are removed when it ends, which a checkpoint leaves to the driver's garbage collection.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/emberlog-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: where.getFileSystem(conf).delete(where, True)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; for a file scan, the bytes of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -122,6 +155,7 @@ def map_text(
                 cols = f(b.column(width).to_pylist())
                 new = [pa.array(c, t) for c, t in zip(cols, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:width], *new], [*b.schema.names[:width], *names])
+        release()
 
     return src.mapInArrow(run, out)
 

@@ -102,6 +102,7 @@ def _emit(shards: int, width: int):
         h = np.unique(_Block(table, width).hashes)
         cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
         some = [(s, a, b) for s, (a, b) in enumerate(pairwise(cuts)) if b > a]
+        common.release()
         return pa.table(
             {
                 "shard": pa.array([s for s, _, _ in some], pa.int32()),
@@ -218,6 +219,8 @@ def _apply(width: int, shards: int, keep: list[str]):
             if n_removed[i]:
                 raw = [w for w, x in zip(raw, g.tolist(), strict=True) if not x]
             kept[i] = b" ".join(raw).decode("utf-8", "surrogatepass")
+        del block, unique, first, inverse, seen, gone
+        common.release()
         cols = {k: docs.column(k) for k in keep}
         return pa.table(cols | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
