@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from itertools import pairwise
 
 import numpy as np
@@ -26,7 +25,7 @@ _STEP = _U(0x9E3779B97F4A7C15)
 
 def fold(text: str | None) -> str:
     """Lower case with white space folded; the padding character is left out."""
-    return re.sub(r"\s+", " ", (text or "").lower()).strip().replace(PAD, "")
+    return " ".join((text or "").replace(PAD, "").lower().split())
 
 
 def codes(text: str, order: int = ORDER) -> np.ndarray:
@@ -61,19 +60,38 @@ def _windows(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.n
     np.add.at(inside, start[some], 1)
     np.add.at(inside, start[some] + sizes[some], -1)
     at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-    k = keys_at(flat, at, order)
-    _, first, inverse = np.unique(k, return_index=True, return_inverse=True)
+    first, inverse = _distinct(flat, at, order)
     return all_windows[at[first]], inverse, sizes
 
 
-def keys_at(flat: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """``keys`` of the windows that start at given places, without a copy of the windows."""
-    h = np.full(len(at), _start(order), np.uint64)
-    for i in range(order):
-        h = (h ^ flat[at + i].astype(np.uint64)) * _STEP
-        h ^= h >> _U(31)
-    h *= _U(0xBF58476D1CE4E5B9)
-    return h ^ (h >> _U(29))
+#: Entries of a presence table; beyond, distinct pairs are found by sorting.
+DENSE = 1 << 24
+
+
+def _distinct(flat: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct window among ``at``, number of the window at each place).
+
+    Windows are numbered character by character: the pairs of the number so far and the next character are marked in
+    a table, whose running count numbers the pairs that occur. No sort is needed while the table stays small.
+    """
+    present = np.zeros(0x110000, bool)
+    present[flat] = True
+    letters = (np.cumsum(present) - 1)[flat]
+    size = int(present.sum())
+    number, count = letters[at], size
+    for i in range(1, order):
+        pair = number * size + letters[at + i]
+        if count * size <= DENSE:
+            table = np.zeros(count * size, bool)
+            table[pair] = True
+            rank = np.cumsum(table, dtype=np.int32) - 1
+            number, count = rank[pair].astype(np.int64), int(rank[-1]) + 1
+        else:
+            found, number = np.unique(pair, return_inverse=True)
+            count = len(found)
+    first = np.zeros(count, np.int64)
+    first[number] = np.arange(len(number))
+    return first, number
 
 
 def count_grams(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
@@ -109,7 +127,8 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> tuple[
     The highest order uses counts, lower orders the number of different characters on the left. Every table is keyed
     by the gram's text, so all joins are equi-joins sharded by it, and none grows beyond the distinct grams.
     """
-    adjusted = {order: common.checkpoint(count_grams(docs, order, text_col))}
+    counted, forget = common.table_of(count_grams(docs, order, text_col))
+    adjusted = {order: counted}
     for k in range(order - 1, 0, -1):
         adjusted[k] = common.checkpoint(adjusted[k + 1].groupBy(F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count(F.lit(1)).alias("a")))
     lower, model, unseen = None, None, math.log(1e-6)
@@ -140,8 +159,9 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> tuple[
         last = lower.select("gram", F.ln("p").alias("logp"))
         if k == 1:
             model = last
-    model = model.unionByName(last.withColumn("bow", F.lit(None).cast("double")))
-    return common.checkpoint(model), unseen
+    model = common.checkpoint(model.unionByName(last.withColumn("bow", F.lit(None).cast("double"))))
+    forget()
+    return model, unseen
 
 
 def walk(grams: np.ndarray, logp, bow, unseen: float) -> np.ndarray:
@@ -178,7 +198,7 @@ def _unpack_values(b: bytes) -> np.ndarray:
 def perplexities(df: DataFrame, model: DataFrame, unseen: float, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``n_scored`` (characters) and ``perplexity`` to each row; null where no character is left.
 
-    Documents are dealt to blocks by one shuffle. A block asks for its distinct grams, sorted and packed by shard; the
+    Documents are packed by block, compressed, and dealt out by one shuffle. A block asks for its distinct grams, sorted and packed by shard; the
     shard joins them with the model's rows and answers with log probability and back-off weight; the block then adds
     up its documents. What moves is one answer for each distinct gram of a block, however often it occurs.
     """
@@ -188,14 +208,40 @@ def perplexities(df: DataFrame, model: DataFrame, unseen: float, order: int = OR
     shards = common.parts_for(df, SHARD_BYTES, text_col=text_col)
     edges = _shard_edges(shards)
     block = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(blocks)).cast("int")
-    placed = df.select(*[df[f"`{c}`"] for c in keep], F.col(text_col).cast("string").alias("__text"), block.alias("__block")).repartition(blocks, "__block")
+    width = len(keep)
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for whole in batches:
+            for b in common.text_slices(whole, width, 16 << 20):
+                number = b.column(width + 1).to_numpy()
+                by = np.argsort(number, kind="stable")
+                ends = np.flatnonzero(np.diff(number[by], append=-1)) + 1
+                rows, start = [], 0
+                for end in ends.tolist():
+                    sink = pa.BufferOutputStream()
+                    part = b.take(pa.array(by[start:end]))
+                    with pa.ipc.new_stream(sink, part.schema) as w:
+                        w.write_batch(part)
+                    rows.append((int(number[by[start]]), squeeze(sink.getvalue().to_pybytes())))
+                    start = end
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["__block", "packed"])
+        common.release()
+
+    def unpacked(t: pa.Table) -> pa.Table:
+        return pa.concat_tables(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x)).read_all() for x in t.column("packed").to_pylist())
+
+    src = df.select(*[df[f"`{c}`"] for c in keep], F.col(text_col).cast("string").alias("__text"), block.alias("__block"))
+    placed = src.mapInArrow(pack, "__block int, packed binary").repartition(blocks, "__block")
 
     def emit(t: pa.Table) -> pa.Table:
+        t = unpacked(t)
         grams, _, _ = _windows([fold(x) for x in t.column("__text").to_pylist()], order)
         asked = _asked(grams) if len(grams) else np.zeros(0, np.uint64)
         cuts = [0, *np.searchsorted(asked, edges).tolist(), len(asked)]
         some = [(s, a, b) for s, (a, b) in enumerate(pairwise(cuts)) if b > a]
         n = t.column("__block")[0].as_py()
+        common.release()
         return pa.table({"shard": pa.array([s for s, _, _ in some], pa.int32()), "block": pa.array([n] * len(some), pa.int32()), "asked": pa.array([pack_sorted(asked[a:b]) for _, a, b in some], pa.binary())})
 
     def shard_model(batches):
@@ -228,6 +274,7 @@ def perplexities(df: DataFrame, model: DataFrame, unseen: float, order: int = OR
         return pa.table({"__block": pa.array(rows["__block"], pa.int32()), "shard": pa.array(rows["shard"], pa.int32()), "logp": pa.array(rows["logp"], pa.binary()), "bow": pa.array(rows["bow"], pa.binary())})
 
     def add_up(t: pa.Table, answers: pa.Table) -> pa.Table:
+        t = unpacked(t)
         grams, inverse, sizes = _windows([fold(x) for x in t.column("__text").to_pylist()], order)
         total = np.zeros(len(sizes))
         if len(grams):
@@ -241,6 +288,7 @@ def perplexities(df: DataFrame, model: DataFrame, unseen: float, order: int = OR
             some = np.flatnonzero(sizes)
             total[some] = np.add.reduceat(lp, (np.cumsum(sizes) - sizes)[some])
         ppl = [math.exp(min(700.0, -x / n)) if n else None for x, n in zip(total.tolist(), sizes.tolist(), strict=True)]
+        common.release()
         return pa.table({c: t.column(c) for c in keep} | {"n_scored": pa.array(sizes, pa.int64()), "perplexity": pa.array(ppl, pa.float64())})
 
     sent = placed.groupBy("__block").applyInArrow(emit, "shard int, block int, asked binary")
