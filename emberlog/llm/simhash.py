@@ -19,27 +19,31 @@ from .components import components
 BUCKET = 2048
 
 
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> list[int]:
+    """XXH64 of each run of ``shingle`` words in lower case; a shorter text is one run, one without a word has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return [digest(b" ".join(words), seed)] if words else []
+    line = b" ".join(words)
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lens)
+    first = (ends - lens)[: len(words) - shingle + 1].tolist()
+    last = (ends - 1)[shingle - 1 :].tolist()
+    return [digest(line[s:e], seed) for s, e in zip(first, last, strict=True)]
+
+
 def fingerprints(texts: list, shingle: int = 3, seed: int = 42) -> np.ndarray:
     """SimHash of each text as uint64: the bits that over half of the shingles' XXH64 values have."""
     out = np.zeros(len(texts), np.uint64)
     hashes: list[int] = []
     counts, rows = [], []
-    digest = xxhash.xxh64_intdigest
     for i, t in enumerate(texts):
-        words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
-        if not words:
+        found = shingle_hashes(t, shingle, seed)
+        if not found:
             continue
-        if len(words) <= shingle:
-            hashes.append(digest(b" ".join(words), seed))
-            counts.append(1)
-        else:
-            line = b" ".join(words)
-            lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            ends = np.cumsum(lens)
-            first = (ends - lens)[: len(words) - shingle + 1].tolist()
-            last = (ends - 1)[shingle - 1 :].tolist()
-            hashes += [digest(line[s:e], seed) for s, e in zip(first, last, strict=True)]
-            counts.append(len(first))
+        hashes += found
+        counts.append(len(found))
         rows.append(i)
     if rows:
         n = np.array(counts)
@@ -233,12 +237,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(named, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``df``, all columns as they are, that stay when each group keeps the document of its smallest id.
 
-    A row with a null id stays only as the one of a group without ids. Of rows that repeat an id, one stays.
+    ``groups``: (id, component_id) for each row, those of ``near_duplicates`` if not given. A row with a null id stays only as the one of a group without ids. Of rows that repeat an id, one stays.
     """
-    found = near_duplicates(df, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    groups = near_duplicates(df, id_col, text_col) if groups is None else groups
+    found = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
     stay = found.groupBy(F.col(id_col).alias("__stay")).agg(F.count(F.lit(1)).alias("__n"))
     stay = common.checkpoint(stay)
     kept = df.join(stay, df[id_col].eqNullSafe(F.col("__stay")), "left_semi")
