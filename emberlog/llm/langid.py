@@ -14,6 +14,10 @@ from . import common
 
 UNDETERMINED = "und"
 
+#: Least margin of the winner, as a share of its size. Of sf0.01, with training rows, 0.5 % of the texts lie below
+#: 0.0209; random letters lie below it but for 2 of 21 texts, 120 clean ones of 4 to 20 words above 0.08.
+NARROW = 0.02
+
 
 class Classifier:
     """Compares compressed sizes under per-language raw-content zstandard dictionaries.
@@ -59,14 +63,17 @@ class Classifier:
         return {k: float(sum(len(v[i % len(v)](c)) for i, c in enumerate(cuts))) for k, v in self._squeeze.items()}
 
     def predict(self, text: str | None, narrow: float) -> tuple[str, float, bool]:
-        """(language, score, rejected): ``und`` for a text that is null or has no letter."""
+        """(language, score, rejected): ``und`` for a text that is null or has no letter.
+
+        ``narrow``: the share of the winner's size that its margin must exceed.
+        """
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True
         sizes = self.sizes(text)
         best = min(self.langs, key=lambda k: (sizes[k], k))
         score = 1.0 / sum(math.exp(sizes[best] - n) for n in sizes.values())
         margin = min((n - sizes[best] for k, n in sizes.items() if k != best), default=math.inf)
-        return best, score, margin <= narrow
+        return best, score, margin <= narrow * sizes[best]
 
 
 def training_sample(df: DataFrame, docs_each: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
@@ -94,7 +101,7 @@ def identify(
     docs_each: int = 400,
     dict_bytes: int = 96 << 10,
     shards: int = 4,
-    narrow: float = 0.0,
+    narrow: float = NARROW,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -104,8 +111,8 @@ def identify(
 
     The dictionaries are learned from at most ``docs_each`` labelled texts of each language in ``train``; predictions
     use the text alone and run in one pass without a shuffle. ``score`` weighs the winner's size against the others'
-    with a factor of e for each byte. ``rejected``: the winner's margin is ``narrow`` bytes or less, or the text is
-    null or has no letter, which gives ``und`` with score 0. Without training rows every text is ``und``. Repeated
+    with a factor of e for each byte. ``rejected``: the winner's margin is ``narrow`` of its size or less, or the
+    text is null or has no letter, which gives ``und`` with score 0. Without training rows every text is ``und``. Repeated
     rows give repeated results; input columns with the outputs' names are replaced.
     """
     samples = training_sample(train, docs_each, id_col, text_col, lang_col)
