@@ -18,8 +18,35 @@ TEMPLATES = {
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license with three clauses.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "To the extent possible under law, all copyright is waived under the CC0 Universal dedication.",
 }
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_AS_IS = ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+#: Headers and texts over several lines. Each is compared with as many words of a document, from a line on that begins
+#: with its first two words. Of the GNU, Apache and Mozilla licence files the titles stand for the long texts.
+HEADERS = {
+    "MIT": ["MIT License", "The MIT License", _MIT + _AS_IS, _MIT],
+    "ISC": ["ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "BSD-2-Clause": ["BSD 2-Clause License", _BSD + _BSD_END],
+    "BSD-3-Clause": ["BSD 3-Clause License", _BSD + _BSD_THIRD + _BSD_END],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", _GNU.format("General Public License", 2)],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _GNU.format("General Public License", 3)],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _GNU.format("Lesser General Public License", 3)],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", _GNU.format("Affero General Public License", 3)],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+}
+#: Titles of fewer words count only as a line of their own.
+TITLE = 4
+#: Lines that a header of so many words may be spread over.
+MOST_LINES = 80
+SPDX = r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)"
 SPLIT = r"[^\p{L}\p{N}]+"
 THRESHOLD = 0.75
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
@@ -29,6 +56,31 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPLIT), lambda w: w != "")
 
 
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
+def _windows(rows: DataFrame, headers: dict[str, list[str]]) -> DataFrame:
+    """(__id, __path, line, t, key): the words from each line on that begins as the header ``key`` does, as many as it has."""
+    texts = {f"{k}#{i}": _words(h) for k, v in headers.items() for i, h in enumerate(v)}
+    begins = sorted({tuple(w[:2]) for w in texts.values()})
+    starts = r"(?im)^[^\p{L}\p{N}\n]*+(" + "|".join(rf"{a}[^\p{{L}}\p{{N}}]+{b}" for a, b in begins) + ")"
+    # few texts have such a line; only those are cut
+    some = rows.filter(F.col("__text").rlike(starts)).withColumn("__lines", F.split("__text", "\n"))
+    at = some.select("__id", "__path", "__lines", F.posexplode("__lines").alias("line", "one")).filter(F.col("one").rlike(starts))
+    after = F.array_join(F.slice("__lines", F.col("line") + 1, F.lit(MOST_LINES)), "\n")
+    at = at.select("__id", "__path", "line", _terms(F.col("one")).alias("own"), _terms(after).alias("all"))
+
+    def fits(key: str, w: list[str]) -> Column:
+        same = (F.element_at("all", 1) == w[0]) & (F.element_at("all", 2) == w[1])
+        if len(w) < TITLE:
+            same = F.col("own") == F.array(*map(F.lit, w))
+        return F.when((F.size("all") >= 2) & same, F.struct(F.lit(key).alias("key"), F.array_join(F.slice("all", 1, len(w)), " ").alias("t")))
+
+    hits = F.filter(F.array(*[fits(k, w) for k, w in sorted(texts.items())]), lambda x: x.isNotNull())
+    return at.select("__id", "__path", "line", F.explode(hits).alias("h")).select("__id", "__path", "line", "h.t", "h.key")
+
+
 def scan(
     df: DataFrame,
     templates: dict[str, str] | None = None,
@@ -37,12 +89,14 @@ def scan(
     id_col: str = "doc_id",
     path_col: str = "path",
     text_col: str = "text",
+    headers: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """(id, path, license, score, line, inherited, inherited_from) for each row.
 
     ``license``: the template that the best line of the whole text comes closest to, with a cosine (``score``) of
     ``threshold`` or more; ties go to the smaller template name, then the earlier ``line``. Term weights are counts
-    times ln(1 + N / df) over all texts. A row is a licence file if its name says so or the lines that match hold
+    times ln(1 + N / df) over all texts. ``headers`` (default: ``HEADERS``) are compared with windows over several
+    lines, so that headers and whole licence files count too; an SPDX line names its license with a score of 1. A row is a licence file if its name says so or the lines that match hold
     ``share`` of its words. ``inherited``: for rows without a license of their own, that of the licence file in the
     nearest directory at or above theirs (the best score there, then the smaller path); ``inherited_from`` is its path.
 
@@ -54,20 +108,27 @@ def scan(
     least the square of ``threshold`` of its squared weight. Only words of such lines are joined with their counts.
     Directories are resolved as distinct paths; rows then join their directory by equality.
     """
+    if headers is None:
+        headers = HEADERS if templates is None else {}
     templates = TEMPLATES if templates is None else templates
     rows = df.select(F.col(id_col).alias("__id"), F.col(path_col).alias("__path"), F.col(text_col).cast("string").alias("__text"))
     spread = rows.select(F.explode(F.array_distinct(_terms(F.col("__text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     spread = common.checkpoint(spread)
     total = rows.count()
-    words = {k: [w for w in re.split(r"[\W_]+", v.lower()) if w] for k, v in templates.items()}
+    words = {k: _words(v) for k, v in templates.items()}
     known = sorted({w for v in words.values() for w in v})
-    df_of = {r["w"]: r["df"] for r in spread.filter(F.col("w").isin(known)).collect()}
-    idf = {w: math.log(1 + total / max(1, df_of.get(w, 0))) for w in known}
+    words |= {f"{k}#{i}": _words(h) for k, v in headers.items() for i, h in enumerate(v)}
+    every = sorted({w for v in words.values() for w in v})
+    df_of = {r["w"]: r["df"] for r in spread.filter(F.col("w").isin(every)).collect()}
+    idf = {w: math.log(1 + total / max(1, df_of.get(w, 0))) for w in every}
     vectors = {k: {w: v.count(w) * idf[w] for w in v} for k, v in words.items()}
     norms = {k: math.sqrt(sum(x * x for x in v.values())) or 1.0 for k, v in vectors.items()}
 
     # candidate lines: shared squared weight of some template reaches threshold^2 of its whole
-    lines = rows.filter(F.col("__text").isNotNull()).select("__id", "__path", F.posexplode(F.split("__text", "\n")).alias("line", "t"))
+    def lines_of(some: DataFrame) -> DataFrame:
+        return some.filter(F.col("__text").isNotNull()).select("__id", "__path", F.posexplode(F.split("__text", "\n")).alias("line", "t"))
+
+    lines = lines_of(rows)
     shared = F.array_intersect(F.array_distinct(_terms(F.col("t"))), F.array(*map(F.lit, known)))
     lines = lines.withColumn("shared", shared).filter(F.size("shared") > 0)
 
@@ -78,7 +139,9 @@ def scan(
     any_reach = F.lit(False)
     for name in sorted(templates):
         any_reach = any_reach | reaches(name)
-    near = lines.filter(any_reach).select("__id", "__path", "line", "t")
+    near = lines.filter(any_reach).select("__id", "__path", "line", "t", F.lit(None).cast("string").alias("key"))
+    if headers:
+        near = near.unionByName(_windows(rows, headers))
     near = common.checkpoint(near)
     # a line is weighed once for each different text; repeated lines and rows share the result
     texts = near.select("t").distinct()
@@ -90,8 +153,17 @@ def scan(
     # the templates are a few literal rows
     dots = weighed.join(F.broadcast(weights), "w").groupBy("t", "name").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     cos = dots.join(length, "t").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= threshold)
-    best = cos.groupBy("t").agg(F.min(F.struct((-F.col("score")).alias("s"), "name", "words")).alias("b")).select("t", (-F.col("b.s")).alias("score"), F.col("b.name").alias("name"), F.col("b.words").alias("words"))
-    hits = near.join(best, "t").groupBy("__id", "__path").agg(F.min(F.struct((-F.col("score")).alias("s"), "name", "line")).alias("b"), F.sum("words").alias("hit_words"))
+    # a line answers to the one-line templates, a window to the header that it was cut for
+    near = near.select("__id", "__path", "line", "t", F.coalesce("key", F.lit("")).alias("key"))
+    cos = cos.withColumn("key", F.when(F.col("name").contains("#"), F.col("name")).otherwise("")).withColumn("name", F.substring_index("name", "#", 1))
+    best = cos.groupBy("t", "key").agg(F.min(F.struct((-F.col("score")).alias("s"), "name", "words")).alias("b")).select("t", "key", (-F.col("b.s")).alias("score"), F.col("b.name").alias("name"), F.col("b.words").alias("words"))
+    found = near.join(best, ["t", "key"]).select("__id", "__path", "line", "score", "name", "words", "key")
+    if headers:
+        spdx = lines_of(rows.filter(F.col("__text").contains("SPDX-License-Identifier"))).withColumn("name", F.regexp_extract("t", SPDX, 1)).filter("name != ''")
+        found = found.unionByName(spdx.select("__id", "__path", "line", F.lit(1.0).alias("score"), "name", F.size(_terms(F.col("t"))).cast("long").alias("words"), F.lit("").alias("key")))
+    # windows may overlap each other and lines, so that only the longest counts
+    told = [F.sum(F.when(F.col("key") == "", F.col("words")).otherwise(0)), F.max(F.when(F.col("key") != "", F.col("words")).otherwise(0))]
+    hits = found.groupBy("__id", "__path").agg(F.min(F.struct((-F.col("score")).alias("s"), "name", "line")).alias("b"), F.greatest(*told).alias("hit_words"))
     hits = hits.select(F.col("__id").alias("h_id"), F.col("__path").alias("h_path"), F.col("b.name").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line"), "hit_words")
     sized = rows.select("__id", "__path", F.size(_terms(F.coalesce("__text", F.lit("")))).alias("n_words"))
     direct = sized.join(hits, F.col("__id").eqNullSafe(F.col("h_id")) & F.col("__path").eqNullSafe(F.col("h_path")), "left").drop("h_id", "h_path")
