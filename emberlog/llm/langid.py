@@ -109,7 +109,8 @@ def identify(
 ) -> DataFrame:
     """Append ``lang_pred``, ``score`` (0 to 1) and ``rejected`` to each row of ``df``.
 
-    The dictionaries are learned from at most ``docs_each`` labelled texts of each language in ``train``; predictions
+    The dictionaries are learned from at most ``docs_each`` labelled texts of each language in ``train``, of each the
+    first 2 * dict_bytes * shards / texts characters (256 at least), cut again where a dictionary is full; predictions
     use the text alone and run in one pass without a shuffle. ``score`` weighs the winner's size against the others'
     with a factor of e for each byte. ``rejected``: the winner's margin is ``narrow`` of its size or less, or the
     text is null or has no letter, which gives ``und`` with score 0. Without training rows every text is ``und``. Repeated
