@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .substring_dedup import _shard_edges, pack_sorted, unpack_sorted
 
 ORDER = 5
-BLOCK_BYTES = 3 << 20
-SHARD_BYTES = 16 << 20
+#: Bytes of input files for each block of documents, and for each shard of the model.
+BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 64 << 20
+#: Text bytes whose windows are held at once.
+SLICE_BYTES = 1 << 20
+#: Contexts of a sample of documents for each shard, from which the shards' edges are taken.
+EDGE_SAMPLE = 64
 PAD = "\x02"
-_U = np.uint64
-_STEP = _U(0x9E3779B97F4A7C15)
 
 
 def fold(text: str | None) -> str:
@@ -32,40 +34,25 @@ def codes(text: str, order: int = ORDER) -> np.ndarray:
     return np.frombuffer((PAD * (order - 1) + text).encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def _start(length: int) -> int:
-    return length * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
-
-
-def keys(grams: np.ndarray) -> np.ndarray:
-    """64-bit keys of rows of code points; grams of different lengths have different keys."""
-    h = np.full(len(grams), _start(grams.shape[1]), np.uint64)
-    for column in grams.T:
-        h = (h ^ column.astype(np.uint64)) * _STEP
-        h ^= h >> _U(31)
-    h *= _U(0xBF58476D1CE4E5B9)
-    return h ^ (h >> _U(29))
-
-
 def _windows(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct grams, number of the gram at each position, positions of each text) of folded texts."""
     parts = [codes(t, order) for t in texts]
     sizes = np.array([max(0, len(p) - order + 1) for p in parts], np.int64)
     if not sizes.sum():
-        return np.zeros((0, order), np.uint32), np.zeros(0, np.int64), sizes
+        return np.zeros((0, order), np.uint32), np.zeros(0, np.int32), sizes
     flat = np.concatenate(parts)
-    all_windows = np.lib.stride_tricks.sliding_window_view(flat, order)
     start = np.cumsum([0, *[len(p) for p in parts]])[:-1]
-    inside = np.zeros(len(all_windows) + 1, np.int64)
+    inside = np.zeros(len(flat) - order + 2, np.int32)
     some = sizes > 0
     np.add.at(inside, start[some], 1)
     np.add.at(inside, start[some] + sizes[some], -1)
     at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
     first, inverse = _distinct(flat, at, order)
-    return all_windows[at[first]], inverse, sizes
+    return np.lib.stride_tricks.sliding_window_view(flat, order)[at[first]], inverse, sizes
 
 
 #: Entries of a presence table; beyond, distinct pairs are found by sorting.
-DENSE = 1 << 24
+DENSE = 1 << 22
 
 
 def _distinct(flat: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +61,7 @@ def _distinct(flat: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray,
     Windows are numbered character by character: the pairs of the number so far and the next character are marked in
     a table, whose running count numbers the pairs that occur. No sort is needed while the table stays small.
     """
-    present = np.zeros(0x110000, bool)
+    present = np.zeros(int(flat.max()) + 1, bool)
     present[flat] = True
     letters = (np.cumsum(present) - 1)[flat]
     size = int(present.sum())
@@ -91,7 +78,128 @@ def _distinct(flat: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray,
             count = len(found)
     first = np.zeros(count, np.int64)
     first[number] = np.arange(len(number))
-    return first, number
+    return first, number.astype(np.int32)
+
+
+def _ordered(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows in order, number of each row among them); rows: a gram's context reversed, then its last character."""
+    if not len(grams):
+        return grams, np.zeros(0, np.int64)
+    rows = np.concatenate([grams[:, -2::-1], grams[:, -1:]], axis=1)
+    letters = np.unique(rows)
+    if len(letters) ** rows.shape[1] < 1 << 63:
+        number = np.zeros(len(rows), np.int64)
+        for column in np.searchsorted(letters, rows).T:
+            number = number * len(letters) + column
+        _, first, inverse = np.unique(number, return_index=True, return_inverse=True)
+        return rows[first], inverse
+    found, inverse = np.unique(rows, axis=0, return_inverse=True)
+    return found, inverse.ravel()
+
+
+class _Grams:
+    """The grams of a block of texts, cut into slices of bounded size: ``rows`` are its distinct ones in order."""
+
+    def __init__(self, texts: list[str | None], order: int):
+        self.slices, parts, held, size = [], [], [], 0
+        for i, t in enumerate(texts):
+            held.append(fold(t))
+            size += len(held[-1])
+            if size >= SLICE_BYTES or i == len(texts) - 1:
+                grams, inverse, sizes = _windows(held, order)
+                parts.append(grams)
+                self.slices.append((len(grams), inverse, sizes))
+                held, size = [], 0
+        self.rows, self.number = _ordered(np.concatenate(parts) if parts else np.zeros((0, order), np.uint32))
+
+    def sums(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, sum of the values at them) of each text, of a value for each of ``rows``."""
+        sizes, totals, at = [], [], 0
+        for count, inverse, n in self.slices:
+            total = np.zeros(len(n))
+            some = np.flatnonzero(n)
+            if len(some):
+                total[some] = np.add.reduceat(values[self.number[at : at + count]][inverse], (np.cumsum(n) - n)[some])
+            at += count
+            sizes.append(n)
+            totals.append(total)
+        return (np.concatenate(sizes), np.concatenate(totals)) if sizes else (np.zeros(0, np.int64), np.zeros(0))
+
+
+def _places(rows: np.ndarray) -> np.ndarray:
+    """Rows of code points as byte strings that sort as they do."""
+    flat = np.ascontiguousarray(rows.astype(">u4"))
+    return flat.view(f"S{4 * rows.shape[1]}").ravel()
+
+
+def _pack(planes: np.ndarray) -> bytes:
+    """Rows of 32-bit numbers as compressed byte planes, column by column."""
+    a = np.ascontiguousarray(planes)
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
+
+
+def _unpack(blob: bytes, width: int, kind: str) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4 * width, -1).T).view(kind)
+
+
+class _Shard:
+    """Model rows of a range of contexts as a trie of reversed contexts, level by level in sorted arrays."""
+
+    def __init__(self, probabilities: list[tuple[str, float]], backoffs: list[tuple[str, float]], order: int):
+        self.order = order
+        text = "".join(g for g, _ in probabilities) + "".join(g for g, _ in backoffs)
+        self.letters = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"))
+        self.size = len(self.letters) + 1
+        known = {k: self._rows([x for x in probabilities if len(x[0]) == k], k) for k in range(1, order + 1)}
+        back = {k: self._rows([x for x in backoffs if len(x[0]) == k], k) for k in range(1, order)}
+        paths = {("p", k): m[:, -2::-1] if k > 1 else m[:, :0] for k, (m, _) in known.items()} | {("b", k): m[:, ::-1] for k, (m, _) in back.items()}
+        nodes = {x: np.zeros(len(m), np.int64) for x, m in paths.items()}
+        self.levels = []
+        for depth in range(order - 1):
+            deep = [x for x, m in paths.items() if m.shape[1] > depth]
+            made = {x: nodes[x] * self.size + paths[x][:, depth] for x in deep}
+            level = np.unique(np.concatenate(list(made.values())))
+            self.levels.append(level)
+            nodes |= {x: np.searchsorted(level, v) for x, v in made.items()}
+        self.backoff = [np.full(len(v), 0.0) for v in self.levels]
+        for k, (_, v) in back.items():
+            self.backoff[k - 1][nodes["b", k]] = v
+        self.known = []
+        for k, (m, v) in known.items():
+            code = nodes["p", k] * self.size + m[:, -1]
+            by = np.argsort(code)
+            self.known.append((code[by], v[by]))
+
+    def _rows(self, found: list[tuple[str, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.frombuffer("".join(g for g, _ in found).encode("utf-32-le", "surrogatepass"), "<u4")
+        return np.searchsorted(self.letters, flat).reshape(-1, k), np.array([v for _, v in found], np.float64)
+
+    def log_probabilities(self, rows: np.ndarray, unseen: float) -> np.ndarray:
+        """Of each row's last character after its context: the longest known gram, or back-off weights down to it."""
+        at = np.searchsorted(self.letters, rows)
+        there = np.minimum(at, max(0, len(self.letters) - 1))
+        # a character that no row has takes the number beyond all
+        index = np.where(self.letters[there] == rows, at, self.size - 1) if len(self.letters) else np.zeros(rows.shape, np.int64)
+        node, lost, last = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool), index[:, -1]
+        lp = np.full(len(rows), unseen)
+        for k, (codes_, values) in enumerate(self.known):
+            if k:
+                node, hit = _find(self.levels[k - 1], node * self.size + index[:, k - 1])
+                lost |= ~hit
+                back = self.backoff[k - 1][node] if len(self.backoff[k - 1]) else np.zeros(len(rows))
+                lp = lp + np.where(lost, 0.0, back)
+            place, hit = _find(codes_, node * self.size + last)
+            if len(values):
+                lp = np.where(hit & ~lost, values[place], lp)
+        return lp
+
+
+def _find(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(ordered):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
+    return at, ordered[at] == wanted
 
 
 def count_grams(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
@@ -101,7 +209,7 @@ def count_grams(docs: DataFrame, order: int = ORDER, text_col: str = "text") ->
 
     def run(batches):
         for whole in batches:
-            for b in common.text_slices(whole, 0, 2 << 20):
+            for b in common.text_slices(whole, 0, SLICE_BYTES):
                 grams, inverse, _ = _windows([fold(t) for t in b.column(0).to_pylist()], order)
                 n = np.bincount(inverse, minlength=len(grams))
                 text = grams.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
@@ -164,50 +272,42 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> tuple[
     return model, unseen
 
 
-def walk(grams: np.ndarray, logp, bow, unseen: float) -> np.ndarray:
-    """Log probability of each gram's last character; ``logp(grams)`` and ``bow(grams)`` look up, NaN where not seen."""
-    order = grams.shape[1]
-    lp = logp(grams[:, order - 1 :])
-    lp = np.where(np.isnan(lp), unseen, lp)
-    for k in range(2, order + 1):
-        seen = logp(grams[:, order - k :])
-        back = bow(grams[:, order - k : order - 1])
-        lp = np.where(np.isnan(seen), np.where(np.isnan(back), 0.0, back) + lp, seen)
-    return lp
-
-
-def _asked(grams: np.ndarray) -> np.ndarray:
-    order = grams.shape[1]
-    return np.unique(np.concatenate([keys(grams[:, order - k :]) for k in range(1, order + 1)] + [keys(grams[:, order - k - 1 : order - 1]) for k in range(1, order)]))
-
+def _edges(df: DataFrame, shards: int, order: int, id_col: str, text_col: str) -> np.ndarray:
+    """Contexts that cut the reversed contexts of a sample of documents into ``shards`` ranges of about one size.
 
-_NONE = np.int16(-32768)
-
-
-def _pack_values(v: np.ndarray) -> bytes:
-    """Thousandths of a nat in 16 bits; not seen: the least number."""
-    q = np.where(np.isnan(v), float(_NONE), np.clip(np.round(v * 1000), -32767, 32767)).astype("<i2")
-    return zstandard.ZstdCompressor(level=1).compress(q.tobytes())
+    Like the bounds of a range partitioning they are one short string for each shard, and only balance the shards.
+    """
+    if shards < 2:
+        return np.zeros(0, f"S{4 * (order - 1)}")
+    step = max(1, df.count() // (4 * shards + 200))
+    some = df.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), F.lit(step)) == 0).select(F.col(text_col).cast("string"))
 
+    def run(batches):
+        for b in batches:
+            rows = _Grams(b.column(0).to_pylist(), order).rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_places(rows[:, :-1])).tolist(), pa.binary())], names=["place"])
 
-def _unpack_values(b: bytes) -> np.ndarray:
-    q = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<i2")
-    return np.where(q == _NONE, np.nan, q / 1000.0)
+    found = some.mapInArrow(run, "place binary").distinct().orderBy(F.xxhash64("place"), "place").limit(EDGE_SAMPLE * shards).collect()
+    places = np.unique(np.array([bytes(r[0]).ljust(4 * (order - 1), b"\0") for r in found], f"S{4 * (order - 1)}"))
+    return np.unique(places[[len(places) * i // shards for i in range(1, shards)]]) if len(places) >= shards else places
 
 
 def perplexities(df: DataFrame, model: DataFrame, unseen: float, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``n_scored`` (characters) and ``perplexity`` to each row; null where no character is left.
 
-    Documents are packed by block, compressed, and dealt out by one shuffle. A block asks for its distinct grams, sorted and packed by shard; the
-    shard joins them with the model's rows and answers with log probability and back-off weight; the block then adds
-    up its documents. What moves is one answer for each distinct gram of a block, however often it occurs.
+    Documents are packed by block, compressed, and dealt out by one shuffle. A block sends its distinct grams, sorted
+    by reversed context, to the shards of the model, each a range of such contexts. Every shorter context of a gram is
+    a prefix of its own, so that rows of a short context need copies only in the shards that its range meets, and a
+    shard answers for a gram by itself: joined, counted and backed off, one 32-bit number for each. Grams travel as
+    they are, not as hashes. A block and a shard exchange one message at most, and never more than grams asked for.
+    Each worker holds a block's text (about 7 MB), the windows of 1 MB of it, or one shard's part of the model.
     """
     common.ship(df)
     keep = common.without(df, ["n_scored", "perplexity"]) if keep is None else keep
     blocks = common.parts_for(df, BLOCK_BYTES, text_col=text_col)
-    shards = common.parts_for(df, SHARD_BYTES, text_col=text_col)
-    edges = _shard_edges(shards)
-    block = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(blocks)).cast("int")
+    edges = _edges(df, common.parts_for(df, SHARD_BYTES, text_col=text_col), order, id_col, text_col)
+    shards = len(edges) + 1
+    block = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(7)), F.lit(blocks)).cast("int")
     width = len(keep)
 
     def pack(batches):
@@ -234,66 +334,64 @@ def perplexities(df: DataFrame, model: DataFrame, unseen: float, order: int = OR
     src = df.select(*[df[f"`{c}`"] for c in keep], F.col(text_col).cast("string").alias("__text"), block.alias("__block"))
     placed = src.mapInArrow(pack, "__block int, packed binary").repartition(blocks, "__block")
 
+    def cuts(rows: np.ndarray) -> list[int]:
+        return [0, *np.searchsorted(_places(rows[:, :-1]), edges).tolist(), len(rows)]
+
     def emit(t: pa.Table) -> pa.Table:
         t = unpacked(t)
-        grams, _, _ = _windows([fold(x) for x in t.column("__text").to_pylist()], order)
-        asked = _asked(grams) if len(grams) else np.zeros(0, np.uint64)
-        cuts = [0, *np.searchsorted(asked, edges).tolist(), len(asked)]
-        some = [(s, a, b) for s, (a, b) in enumerate(pairwise(cuts)) if b > a]
+        rows = _Grams(t.column("__text").to_pylist(), order).rows
+        some = [(s, a, b) for s, (a, b) in enumerate(pairwise(cuts(rows))) if b > a]
         n = t.column("__block")[0].as_py()
+        out = pa.table({"shard": pa.array([s for s, _, _ in some], pa.int32()), "block": pa.array([n] * len(some), pa.int32()), "asked": pa.array([_pack(rows[a:b].astype("<u4")) for _, a, b in some], pa.binary())})
+        del t, rows
         common.release()
-        return pa.table({"shard": pa.array([s for s, _, _ in some], pa.int32()), "block": pa.array([n] * len(some), pa.int32()), "asked": pa.array([pack_sorted(asked[a:b]) for _, a, b in some], pa.binary())})
+        return out
 
     def shard_model(batches):
+        """A row for each shard whose range of contexts meets that of the row's."""
+        full = 4 * (order - 1)
         for b in batches:
-            text = b.column(0).to_pylist()
-            k = np.zeros(len(text), np.uint64)
-            size = np.array([len(x) for x in text])
-            for n in range(1, order + 1):
-                at = np.flatnonzero(size == n)
-                if len(at):
-                    flat = np.frombuffer("".join([text[i] for i in at.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4")
-                    k[at] = keys(flat.reshape(-1, n))
-            shard = np.searchsorted(edges, k, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(k.view(np.int64)), b.column(1), b.column(2)], names=["m_shard", "key", "logp", "bow"])
+            gram, role, value = (c.to_pylist() for c in b.columns)
+            context = [(g if r == "b" else g[:-1])[::-1].encode("utf-32-be", "surrogatepass") for g, r in zip(gram, role, strict=True)]
+            low = np.searchsorted(edges, np.array([c.ljust(full, b"\0") for c in context], f"S{full}"), side="right")
+            high = np.searchsorted(edges, np.array([c.ljust(full, b"\xff") for c in context], f"S{full}"), side="right")
+            n = high - low + 1
+            row = np.repeat(np.arange(len(gram)), n)
+            shard = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)).astype(np.int32)
+            for at in range(0, len(row), 10_000):
+                i = pa.array(row[at : at + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + 10_000]), *(c.take(i) for c in b.columns)], names=["m_shard", "gram", "role", "value"])
 
     def resolve(asked: pa.Table, known: pa.Table) -> pa.Table:
-        k = known.column("key").to_numpy().view(np.uint64)
-        by = np.argsort(k)
-        k = k[by]
-        values = [known.column(c).to_numpy().astype(np.float64)[by] for c in ("logp", "bow")]
-        rows = {"__block": [], "shard": [], "logp": [], "bow": []}
-        for s, b, blob in zip(*[asked.column(c).to_pylist() for c in ("shard", "block", "asked")], strict=True):
-            want = unpack_sorted(blob)
-            i = np.minimum(np.searchsorted(k, want), max(0, len(k) - 1))
-            hit = k[i] == want if len(k) else np.zeros(len(want), bool)
-            rows["__block"].append(b)
-            rows["shard"].append(s)
-            for name, v in zip(("logp", "bow"), values, strict=True):
-                rows[name].append(_pack_values(np.where(hit, v[i], np.nan) if len(k) else np.full(len(want), np.nan)))
-        return pa.table({"__block": pa.array(rows["__block"], pa.int32()), "shard": pa.array(rows["shard"], pa.int32()), "logp": pa.array(rows["logp"], pa.binary()), "bow": pa.array(rows["bow"], pa.binary())})
+        found = {"p": [], "b": []}
+        for g, r, v in zip(*[known.column(c).to_pylist() for c in ("gram", "role", "value")], strict=True):
+            found[r].append((g, v))
+        model_rows = _Shard(found["p"], found["b"], order)
+        del found
+        rows = {"__block": asked.column("block"), "shard": asked.column("shard"), "logp": []}
+        for blob in asked.column("asked"):
+            rows["logp"].append(_pack(model_rows.log_probabilities(_unpack(blob.as_py(), order, "<u4"), unseen).astype("<f4")[:, None]))
+        return pa.table(rows | {"logp": pa.array(rows["logp"], pa.binary())})
 
     def add_up(t: pa.Table, answers: pa.Table) -> pa.Table:
         t = unpacked(t)
-        grams, inverse, sizes = _windows([fold(x) for x in t.column("__text").to_pylist()], order)
-        total = np.zeros(len(sizes))
-        if len(grams):
-            asked = _asked(grams)
-            cuts = [0, *np.searchsorted(asked, edges).tolist(), len(asked)]
-            got = {c: np.full(len(asked), np.nan) for c in ("logp", "bow")}
-            for s, p, w in zip(*[answers.column(c).to_pylist() for c in ("shard", "logp", "bow")], strict=True):
-                got["logp"][cuts[s] : cuts[s + 1]], got["bow"][cuts[s] : cuts[s + 1]] = _unpack_values(p), _unpack_values(w)
-            look = lambda name: lambda g: got[name][np.searchsorted(asked, keys(g))]
-            lp = walk(grams, look("logp"), look("bow"), unseen)[inverse]
-            some = np.flatnonzero(sizes)
-            total[some] = np.add.reduceat(lp, (np.cumsum(sizes) - sizes)[some])
+        grams = _Grams(t.column("__text").to_pylist(), order)
+        lp = np.full(len(grams.rows), np.nan)
+        at = cuts(grams.rows)
+        for s, blob in zip(answers.column("shard").to_pylist(), answers.column("logp").to_pylist(), strict=True):
+            lp[at[s] : at[s + 1]] = _unpack(blob, 1, "<f4").ravel()
+        sizes, total = grams.sums(lp)
         ppl = [math.exp(min(700.0, -x / n)) if n else None for x, n in zip(total.tolist(), sizes.tolist(), strict=True)]
+        out = pa.table({c: t.column(c) for c in keep} | {"n_scored": pa.array(sizes, pa.int64()), "perplexity": pa.array(ppl, pa.float64())})
+        del t, grams, lp
         common.release()
-        return pa.table({c: t.column(c) for c in keep} | {"n_scored": pa.array(sizes, pa.int64()), "perplexity": pa.array(ppl, pa.float64())})
+        return out
 
     sent = placed.groupBy("__block").applyInArrow(emit, "shard int, block int, asked binary")
-    sharded = model.select("gram", "logp", "bow").mapInArrow(shard_model, "m_shard int, key long, logp double, bow double").filter(F.col("m_shard").isNotNull())
-    answers = sent.groupBy("shard").cogroup(sharded.groupBy("m_shard")).applyInArrow(resolve, "__block int, shard int, logp binary, bow binary")
+    rows = model.select("gram", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).alias("value")) for r, c in (("p", "logp"), ("b", "bow"))])).alias("x"))
+    rows = rows.select("gram", "x.role", "x.value").filter("value IS NOT NULL")
+    sharded = rows.mapInArrow(shard_model, "m_shard int, gram string, role string, value double")
+    answers = sent.repartition(shards, "shard").groupBy("shard").cogroup(sharded.repartition(shards, "m_shard").groupBy("m_shard")).applyInArrow(resolve, "__block int, shard int, logp binary")
     types = {f.name: f for f in df.schema.fields}
     out = T.StructType([types[c] for c in keep] + [T.StructField("n_scored", T.LongType()), T.StructField("perplexity", T.DoubleType())])
     return placed.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(add_up, out)
@@ -305,7 +403,10 @@ def classify(df: DataFrame, trusted: DataFrame, quantile: float = 0.995, order:
     ``trusted``: one column of ids whose texts are good. Four fifths of them (by hash) train the model; the others set
     each language's threshold, the ``quantile`` of their perplexity, so that text the model has not seen is judged by
     text it has not seen. A language without such texts gets the threshold of all of them; without any, every row
-    is kept. Rows of a null or blank text have no perplexity and are not kept. Repeated rows and ids are each scored.
+    is kept. Rows of a null or blank text have no perplexity and are not kept. Repeated rows and ids are each scored,
+    equal texts alike; ties with a threshold are kept. A null id is no trusted one. A text of any length is scored
+    whole, in one worker. An empty table gives an empty one. Columns beyond those named are left aside, so that names
+    such as ``keep`` or ``perplexity`` in the input do not clash.
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("__good")).filter("__good IS NOT NULL").distinct()
     train_on = F.pmod(F.xxhash64(F.col("__good"), F.lit(11)), F.lit(5)) != 0
@@ -317,7 +418,6 @@ def classify(df: DataFrame, trusted: DataFrame, quantile: float = 0.995, order:
     cut = held.groupBy("__lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
     whole = held.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("all")).first()["all"]
     cut = cut.select(F.col("__lang").alias("l"), "own")
-    # one row for each language
-    out = scored.join(F.broadcast(cut), F.col("__lang").eqNullSafe(F.col("l")), "left").withColumn("threshold", F.coalesce("own", F.lit(whole).cast("double")))
+    out = scored.join(cut, F.col("__lang").eqNullSafe(F.col("l")), "left").withColumn("threshold", F.coalesce("own", F.lit(whole).cast("double")))
     keep = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return out.select(F.col("__id").alias(id_col), F.col("__lang").alias(lang_col), "n_scored", "perplexity", "threshold", keep.alias("keep"))
