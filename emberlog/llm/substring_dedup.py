@@ -2,52 +2,91 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import pairwise
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .bpe import Cache
 
 WINDOW = 20
-#: Bytes of input files for each block of documents, and for each shard of window hashes.
+#: Bytes of input files for each block of documents, and for each shard of window hashes or passages.
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
 #: Words of passages in one automaton, and different words, each of which is one character of it.
 AUTOMATON_WORDS = 250_000
 ALPHABET = 1_000_000
+#: Words of the run whose least hash tells the shard of a window.
+ANCHOR = 5
+#: Bits of a window's hash beyond those that number all windows: of so many powers of two one window is asked in vain.
+SPARE_BITS = 7
+#: Bytes of text whose prefix sums are held at once.
+PIECE = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_grown: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    got = np.full(n, base, np.uint64)
-    if n:
+    got = _grown.get(base)
+    if got is None or len(got) < n:
+        got = np.full(max(n, 1 << 16), base, np.uint64)
         got[0] = 1
-    return np.multiply.accumulate(got)
+        got = np.multiply.accumulate(got)
+        if n <= 4 * PIECE:
+            _grown[base] = got
+    return got[:n]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> _U(29))
+    h *= _U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U(32))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all windows of a document's word hashes, from prefix sums modulo 2^64."""
+    """64-bit hashes of all windows of a sequence of word hashes, from prefix sums modulo 2^64."""
     n = len(words)
     if n < width:
         return np.zeros(0, np.uint64)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(words * _powers(_BASE, n), out=total[1:])
-    h = (total[width:] - total[:-width]) * _powers(_INVERSE, n - width + 1)
-    h ^= h >> _U(29)
-    h *= _U(0xBF58476D1CE4E5B9)
-    return h ^ (h >> _U(32))
+    return _mixed((total[width:] - total[:-width]) * _powers(_INVERSE, n - width + 1))
+
+
+def word_spans(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of each word of ``buf``, which ends with white space, piece by piece."""
+    starts, ends, hashes, at = [], [], [], 0
+    a = np.frombuffer(buf, np.uint8)
+    while at < len(a):
+        to = min(len(a), at + PIECE)
+        while to < len(a) and not _SPACE[a[to - 1]]:
+            # a word is not cut: the piece grows to the next white space
+            more = np.flatnonzero(_SPACE[a[to : to + PIECE]])
+            to = to + int(more[0]) + 1 if len(more) else min(len(a), to + PIECE)
+        part = a[at:to]
+        edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[part]].astype(np.int8)))
+        s, e = edge[::2], edge[1::2]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + _U(1)) * _powers(_BASE, len(part)), out=total[1:])
+        h = (total[e] - total[s]) * _powers(_INVERSE, len(part))[s] if len(s) else np.zeros(0, np.uint64)
+        starts.append(s + at)
+        ends.append(e + at)
+        hashes.append(_mixed(h + (e - s).astype(np.uint64)))
+        at = to
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
 
 
 def pack_sorted(h: np.ndarray) -> bytes:
@@ -61,45 +100,73 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def _squeeze(a: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes())
+
+
+def _numbers(blob: bytes, kind: str, width: int = 1) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind).reshape(-1, width)
+
+
+def _ranked(table: pa.Table, id_col: str, text_col: str) -> list[int]:
+    """Rows of a block in order: null ids last, rows that repeat an id by their text."""
+    ids, texts = table.column(id_col).to_pylist(), table.column(text_col).to_pylist()
+    return sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
+
+
+def _raw(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if text else b""
+
+
 class _Block:
-    """Documents of a block in id order, their words as hashes and the block's window hashes."""
+    """Documents of a block in order, the places and hashes of their words and their windows' hashes."""
 
-    def __init__(self, table: pa.Table, width: int):
+    def __init__(self, table: pa.Table, width: int, bits: int):
+        self.width, texts = width, table.column("__text")
+        self.order = _ranked(table, "__id", "__text")
         ids = table.column("__id").to_pylist()
-        texts = table.column("__text").to_pylist()
-        # nulls come last; rows that repeat an id are ordered by text
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
-        self.texts = texts
-        digest = Cache(xxhash.xxh3_64_intdigest)
-        self.words: list[np.ndarray] = []
-        self.starts: list[int] = []
-        parts, at = [], 0
-        for i in self.order:
-            raw = self.split(i)
-            w = np.fromiter(map(digest.__getitem__, raw), np.uint64, len(raw))
-            h = window_hashes(w, width)
-            self.words.append(w)
-            self.starts.append(at)
-            parts.append(h)
-            at += len(h)
-        self.hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.counts = [len(p) for p in parts]
-
-    def split(self, i: int) -> list[bytes]:
-        t = self.texts[i]
-        return t.encode("utf-8", "surrogatepass").split() if t else []
-
-
-def _shard_edges(shards: int) -> np.ndarray:
-    return np.array([-(-(i << 64) // shards) for i in range(1, shards)], np.uint64)
-
-
-def _emit(shards: int, width: int):
-    edges = _shard_edges(shards)
+        self.ids = [ids[i] for i in self.order]
+        raw = [_raw(texts[i].as_py()) for i in self.order]
+        self.buf = b"\n".join([*raw, b""])
+        begin = np.cumsum([0, *[len(r) + 1 for r in raw]])[:-1]
+        self.starts, self.ends, self.words = word_spans(self.buf)
+        #: number of the first word of each document, and beyond the last
+        self.first = np.r_[np.searchsorted(self.starts, begin), len(self.starts)]
+        room = np.diff(self.first)
+        doc = np.repeat(np.arange(len(room)), room)
+        #: words at which a window of one document starts
+        self.at = np.flatnonzero(np.arange(len(doc)) + width <= self.first[doc + 1])
+        self.doc = doc
+        self.hashes = window_hashes(self.words, width)[self.at] >> _U(64 - bits)
+
+    def segments(self, candidate: np.ndarray) -> list[tuple[int, int, int]]:
+        """(anchor, first word, number of windows) of each run of candidate windows with one anchor.
+
+        The anchor of a window is the least hash of its runs of ``ANCHOR`` words, which depends on its words alone.
+        """
+        size = min(ANCHOR, self.width)
+        at, runs = self.at[candidate], window_hashes(self.words, size)
+        if not len(at):
+            return []
+        place = np.empty(len(at), np.int64)
+        view = np.lib.stride_tricks.sliding_window_view(runs, self.width - size + 1)
+        for i in range(0, len(at), 100_000):
+            cut = at[i : i + 100_000]
+            place[i : i + len(cut)] = cut + view[cut].argmin(axis=1)
+        new = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(place, prepend=-1) != 0) | (np.diff(self.doc[at], prepend=-1) != 0))
+        return list(zip(runs[place[new]].tolist(), at[new].tolist(), np.diff(np.r_[new, len(at)]).tolist(), strict=True))
+
+
+def _shard_edges(shards: int, bits: int = 64) -> np.ndarray:
+    return np.array([-(-(i << bits) // shards) for i in range(1, shards)], np.uint64)
+
+
+def _emit(shards: int, width: int, bits: int):
+    edges = _shard_edges(shards, bits)
 
     def f(table: pa.Table) -> pa.Table:
         block = table.column("__block")[0].as_py()
-        h = np.unique(_Block(table, width).hashes)
+        h = np.unique(_Block(table, width, bits).hashes)
         cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
         some = [(s, a, b) for s, (a, b) in enumerate(pairwise(cuts)) if b > a]
         common.release()
@@ -115,35 +182,69 @@ def _emit(shards: int, width: int):
 
 
 def _resolve(table: pa.Table) -> pa.Table:
-    """For each block's hashes of a shard, a bit for those that an earlier block has too."""
-    rows = sorted(zip(table.column("block").to_pylist(), table.column("hashes").to_pylist(), strict=True), key=lambda r: r[0])
-    shard = table.column("shard")[0].as_py()
-    lists = [unpack_sorted(b) for _, b in rows]
+    """For each block's hashes of a shard, a bit for those that another block has too."""
+    blocks, shard = table.column("block").to_pylist(), table.column("shard")[0].as_py()
+    lists = [unpack_sorted(b.as_py()) for b in table.column("hashes")]
     h = np.concatenate(lists)
     order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
     again = np.zeros(len(h), bool)
-    ranked = h[order]
-    again[order[1:]] = ranked[1:] == ranked[:-1]
+    again[order[1:]] = same
+    again[order[:-1]] |= same
     out, at = [], 0
     for x in lists:
-        out.append(np.packbits(again[at : at + len(x)]).tobytes())
+        out.append(_squeeze(np.packbits(again[at : at + len(x)])))
         at += len(x)
-    return pa.table(
-        {
-            "__block": pa.array([b for b, _ in rows], pa.int32()),
-            "shard": pa.array([shard] * len(rows), pa.int32()),
-            "seen": pa.array(out, pa.binary()),
-        }
-    )
+    return pa.table({"__block": pa.array(blocks, pa.int32()), "shard": pa.array([shard] * len(out), pa.int32()), "seen": pa.array(out, pa.binary())})
+
+
+def _send(shards: int, width: int, bits: int):
+    """Candidate windows of a block as passages, dealt to shards; copies within the block travel once."""
+    edges = _shard_edges(shards, bits)
+
+    def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = {"shard": [], "block": [], "keys": [], "texts": [], "sizes": [], "places": [], "ids": []}
+        if docs.num_rows:
+            block, number = _Block(docs, width, bits), docs.column("__block")[0].as_py()
+            unique, inverse, count = np.unique(block.hashes, return_inverse=True, return_counts=True)
+            seen = count > 1
+            cuts = [0, *np.searchsorted(unique, edges).tolist(), len(unique)]
+            for shard, blob in zip(answers.column("shard").to_pylist(), answers.column("seen").to_pylist(), strict=True):
+                a, b = cuts[shard], cuts[shard + 1]
+                seen[a:b] |= np.unpackbits(_numbers(blob, np.uint8).ravel(), count=b - a).astype(bool)
+            found: dict[tuple[int, bytes], list[int]] = {}
+            for key, word, n in block.segments(seen[inverse]):
+                text = b" ".join(block.buf[block.starts[word] : block.ends[word + n + width - 2]].split())
+                found.setdefault((key, text), []).append(word)
+            by_shard: dict[int, list] = {}
+            for (key, text), at in found.items():
+                by_shard.setdefault(key % shards, []).append((key, text, at))
+            for shard, some in by_shard.items():
+                some.sort(key=lambda x: x[0])
+                word = np.array([w for _, _, at in some for w in at])
+                doc = block.doc[word]
+                lead = block.doc[[at[0] for _, _, at in some]].tolist()
+                rows["shard"].append(shard)
+                rows["block"].append(number)
+                rows["keys"].append(pack_sorted(np.array([k for k, _, _ in some], np.uint64)))
+                rows["texts"].append(_squeeze(b"\n".join(t for _, t, _ in some)))
+                rows["sizes"].append(_squeeze(np.array([len(at) for _, _, at in some], "<i4")))
+                rows["places"].append(_squeeze(np.stack([doc, word - block.first[doc]], axis=1).astype("<i4")))
+                rows["ids"].append(_squeeze(np.array([(block.ids[d] is None, block.ids[d] or 0) for d in lead], "<i8")))
+            del block, unique, inverse, count, seen, found, by_shard
+            common.release()
+        return pa.table({k: pa.array(v, pa.int32() if k in ("shard", "block") else pa.binary()) for k, v in rows.items()})
+
+    return f
 
 
-def locate(docs: list[np.ndarray], passages: list[np.ndarray]) -> list[np.ndarray]:
-    """For each document (word numbers), the words that lie in an occurrence of a passage, found by automata.
+def occurrences(docs: list[np.ndarray], passages: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+    """(start, number of the passage) of every occurrence in each document (word numbers), found by automata.
 
     The passages are dealt to automata of bounded size; every document streams through each of them. A word is one
     character of an automaton; words that occur in none of its passages share character 0.
     """
-    marks = [np.zeros(len(d) + 1, np.int64) for d in docs]
+    hits: list[list[tuple[int, int]]] = [[] for _ in docs]
     at = 0
     while at < len(passages):
         size, vocabulary, to = 0, set(), at
@@ -153,16 +254,14 @@ def locate(docs: list[np.ndarray], passages: list[np.ndarray]) -> list[np.ndarra
             to += 1
         known = np.array(sorted(vocabulary))
         auto = ahocorasick.Automaton()
-        for p in passages[at:to]:
-            auto.add_word(_chars(np.searchsorted(known, p) + 1), len(p))
+        for i in range(at, to):
+            auto.add_word(_chars(np.searchsorted(known, passages[i]) + 1), (len(passages[i]), i))
         auto.make_automaton()
-        for d, mark in zip(docs, marks, strict=True):
+        for d, found in zip(docs, hits, strict=True):
             i = np.minimum(np.searchsorted(known, d), len(known) - 1)
-            for end, n in auto.iter(_chars(np.where(known[i] == d, i + 1, 0))):
-                mark[end + 1 - n] += 1
-                mark[end + 1] -= 1
+            found += [(end + 1 - n, p) for end, (n, p) in auto.iter(_chars(np.where(known[i] == d, i + 1, 0)))]
         at = to
-    return [np.cumsum(m[:-1]) > 0 for m in marks]
+    return hits
 
 
 def _chars(numbers: np.ndarray) -> str:
@@ -172,57 +271,96 @@ def _chars(numbers: np.ndarray) -> str:
     return n.tobytes().decode("utf-32-le")
 
 
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-
-
-def _removed(block: _Block, seen: np.ndarray, unique: np.ndarray, inverse: np.ndarray, first: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each document of the block, the words to remove."""
-    late = seen[inverse] | (np.arange(len(inverse)) != first[inverse])
-    vocabulary = np.unique(np.concatenate(block.words)) if block.words else np.zeros(0, np.uint64)
-    numbers = [np.searchsorted(vocabulary, w) for w in block.words]
-    spans = [[(a, b + width - 1) for a, b in _runs(late[s : s + n])] for s, n in zip(block.starts, block.counts, strict=True)]
-    distinct = {}
-    for w, found in zip(numbers, spans, strict=True):
-        for a, b in found:
-            distinct.setdefault(w[a:b].tobytes(), w[a:b])
-    hits = locate(numbers, list(distinct.values()))
-    out = []
-    for w, hit, s, n in zip(numbers, hits, block.starts, block.counts, strict=True):
-        gone = np.zeros(len(w) + 1, np.int64)
-        # a located window stays if it is the earliest of its kind
-        inside = np.cumsum(np.r_[0, hit])
-        start = np.flatnonzero(late[s : s + n] & (inside[width:] - inside[:-width] == width)) if n else np.zeros(0, np.int64)
-        np.add.at(gone, start, 1)
-        np.add.at(gone, start + width, -1)
-        out.append(np.cumsum(gone[:-1]) > 0)
-    return out
-
-
-def _apply(width: int, shards: int, keep: list[str]):
-    edges = _shard_edges(shards)
+def _late(segments: list[bytes], width: int) -> list[list[int]]:
+    """For each segment, in the order of the corpus: its windows whose words start earlier, confirmed word by word."""
+    number: dict[bytes, int] = {}
+    words = [np.array([number.setdefault(w, len(number)) for w in s.split(b" ")], np.int32) for s in segments]
+    seen = Counter(w[i : i + width].tobytes() for w in words for i in range(len(w) - width + 1))
+    passages = [np.frombuffer(k, np.int32) for k, n in seen.items() if n > 1]
+    del seen
+    first: set[int] = set()
+    late = []
+    for found in occurrences(words, passages):
+        mine = []
+        for start, p in sorted(found):
+            if p in first:
+                mine.append(start)
+            first.add(p)
+        late.append(mine)
+    return late
+
+
+def _confirm(width: int):
+    """For each block, the words (document, from, to) that go, of the passages of a shard."""
+
+    def f(table: pa.Table) -> pa.Table:
+        keys, texts, order, places = [], [], [], []
+        for m in table.to_pylist():
+            keys += unpack_sorted(m["keys"]).tolist()
+            texts += zstandard.ZstdDecompressor().decompress(m["texts"]).split(b"\n")
+            where = _numbers(m["places"], "<i4", 2)
+            ends = np.cumsum(_numbers(m["sizes"], "<i4").ravel()).tolist()
+            for a, b, (none, i) in zip([0, *ends], ends, _numbers(m["ids"], "<i8", 2).tolist(), strict=False):
+                places.append(where[a:b])
+                order.append((none, i, m["block"], *where[a].tolist()))
+        by = sorted(range(len(keys)), key=lambda i: keys[i])
+        gone: dict[int, list[np.ndarray]] = {}
+
+        def close(some: list[int]) -> None:
+            some.sort(key=order.__getitem__)
+            for i, late in zip(some, _late([texts[i] for i in some], width), strict=True):
+                where, block = places[i], order[i][2]
+                if late:
+                    at = np.array(late) + where[0, 1]
+                    gone.setdefault(block, []).append(np.stack([np.full(len(at), where[0, 0]), at, at + width], axis=1))
+                if len(where) > 1:
+                    n = texts[i].count(b" ") + 1
+                    gone.setdefault(block, []).append(np.column_stack([where[1:], where[1:, 1] + n]))
+
+        # windows of different anchors differ: a run of whole anchors fills an automaton
+        group, size = [], 0
+        for j, i in enumerate(by):
+            group.append(i)
+            size += width * (texts[i].count(b" ") + 2 - width)
+            if size >= AUTOMATON_WORDS and (j + 1 == len(by) or keys[by[j + 1]] != keys[i]):
+                close(group)
+                group, size = [], 0
+        if group:
+            close(group)
+        out = {b: np.concatenate(v).astype("<i4") for b, v in gone.items()}
+        rows = pa.table({"__block": pa.array(list(out), pa.int32()), "gone": pa.array([_squeeze(v) for v in out.values()], pa.binary())})
+        del keys, texts, order, places, gone
+        common.release()
+        return rows
+
+    return f
+
 
+def _apply(keep: list[str], text: str):
     def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _Block(docs, width)
-        unique, first, inverse = np.unique(block.hashes, return_index=True, return_inverse=True)
-        seen = np.zeros(len(unique), bool)
-        cuts = [0, *np.searchsorted(unique, edges).tolist(), len(unique)]
-        for shard, bits in zip(answers.column("shard").to_pylist(), answers.column("seen").to_pylist(), strict=True):
-            a, b = cuts[shard], cuts[shard + 1]
-            seen[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        gone = _removed(block, seen, unique, inverse, first, width)
-        n_words, n_removed, kept = ([None] * len(gone) for _ in range(3))
-        for i, g in zip(block.order, gone, strict=True):
-            raw = block.split(i)
-            n_words[i], n_removed[i] = len(raw), int(g.sum())
-            if n_removed[i]:
-                raw = [w for w, x in zip(raw, g.tolist(), strict=True) if not x]
+        order = _ranked(docs, "__id", text)
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for blob in answers.column("gone").to_pylist():
+            for d, a, b in _numbers(blob, "<i4", 3).tolist():
+                spans.setdefault(d, []).append((a, b))
+        n_words, n_removed, kept = ([None] * len(order) for _ in range(3))
+        texts = docs.column(text)
+        for d, i in enumerate(order):
+            raw = _raw(texts[i].as_py()).split()
+            n_words[i] = len(raw)
+            if d in spans:
+                gone = np.zeros(len(raw) + 1, np.int32)
+                at = np.array(spans[d])
+                np.add.at(gone, at[:, 0], 1)
+                np.add.at(gone, at[:, 1], -1)
+                stay = np.cumsum(gone[:-1]) == 0
+                raw = [w for w, x in zip(raw, stay.tolist(), strict=True) if x]
+            n_removed[i] = n_words[i] - len(raw)
             kept[i] = b" ".join(raw).decode("utf-8", "surrogatepass")
-        del block, unique, first, inverse, seen, gone
+        out = pa.table({k: docs.column(k) for k in keep} | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+        del kept, spans
         common.release()
-        cols = {k: docs.column(k) for k in keep}
-        return pa.table(cols | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+        return out
 
     return f
 
@@ -231,36 +369,39 @@ def remove_repeats(df: DataFrame, width: int = WINDOW, id_col: str = "doc_id", t
     """Append ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by spaces) to each row.
 
     A word goes when a window of ``width`` words covers it whose words also start earlier: in a smaller id, or before
-    it in the same document. Ids are numbers; rows with a null id come last, rows that repeat an id are ordered by
-    text. A null text has no words. Windows are judged on the input.
-
-    Plan: documents are dealt to blocks of neighbouring ids by one shuffle. Each block sends its distinct window
-    hashes (64 bits), sorted and packed, to shards by hash; a shard answers with a bit for each hash that an earlier
-    block has. That confirms the recurring passages of the block: runs of windows that are not the earliest. They are
-    compiled into Aho-Corasick automata of bounded size, and all documents of the block stream through them to locate
-    every occurrence. A passage that all documents share is one hash for each block, so no shard or block is hot.
-    Within a block words are compared as they are; between blocks by their windows' hashes.
+    it in the same document. Ids are whole numbers; rows with a null id come last, in an order of their texts that
+    reruns repeat; rows that repeat an id are ordered by text, and equal rows each count as a document. A null or empty text
+    has no words. A text of any length is taken whole, in one worker. An empty table gives an empty one. Input columns
+    with the outputs' names are replaced. Windows are judged on the input.
+
+    Plan: documents are dealt to blocks by one shuffle. Each block sends its distinct window hashes, just long enough
+    to tell the corpus' windows apart, sorted and packed, to shards; a shard answers with a bit for each hash that
+    another block has. Windows so marked, or that recur in the block, are only candidates. Runs of them travel as
+    words, once for each block, to the shard of their anchor, the least hash of five words within a window, so that
+    equal windows always meet. There, windows whose words recur are confirmed and compiled into Aho-Corasick automata
+    of bounded size; all candidate passages stream through, and each occurrence but the first goes. So words decide, never hashes.
+    A passage that all documents share is one row for each block; a block and a shard exchange at most one row, and
+    never more rows than windows.
     """
     common.ship(df)
     names = ["n_words", "n_removed", "kept"]
     keep = common.without(df, names) if keep is None else keep
-    src = df.select(*[df[f"`{c}`"] for c in keep], F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    # the text travels once where it is among the columns to return
+    text = text_col if text_col in keep and isinstance(df.schema[text_col].dataType, T.StringType) else "__text"
+    cols = [df[f"`{c}`"] for c in keep] + ([] if text == text_col else [F.col(text_col).cast("string").alias("__text")])
     blocks, shards = common.parts_for(df, BLOCK_BYTES, text_col=text_col), common.parts_for(df, SHARD_BYTES, text_col=text_col)
-    bounds = []
-    if blocks > 1:
-        cut = [i / blocks for i in range(1, blocks)]
-        found = df.agg(F.percentile_approx(F.col(id_col).cast("double"), cut, max(10_000, 10 * blocks))).first()[0]
-        bounds = sorted(set(found or []))
-    bounds = bounds or [0.0]
-    split = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__number", outputCol="__bucket", handleInvalid="keep")
-    placed = split.transform(src.withColumn("__number", F.col("__id").cast("double"))).drop("__number")
-    placed = placed.withColumn("__block", F.coalesce("__bucket", F.lit(float(len(bounds) + 1))).cast("int")).drop("__bucket")
-    placed = placed.repartition(len(bounds) + 1, "__block")
-    sent = placed.groupBy("__block").applyInArrow(_emit(shards, width), "shard int, block int, hashes binary")
-    answers = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_resolve, "__block int, shard int, seen binary")
+    bits = max(1, min(63, 20 + (blocks - 1).bit_length() + SPARE_BITS))
+    # rows that repeat an id meet; those without one are dealt by their text
+    block = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(F.xxhash64(F.col(id_col))), F.lit(blocks)).cast("int")
+    placed = df.select(*cols, F.col(id_col).cast("long").alias("__id"), block.alias("__block")).repartition(blocks, "__block")
+    words = placed.select("__block", "__id", F.col(f"`{text}`").alias("__text"))
+    sent = words.groupBy("__block").applyInArrow(_emit(shards, width, bits), "shard int, block int, hashes binary")
+    seen = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_resolve, "__block int, shard int, seen binary")
+    passages = words.groupBy("__block").cogroup(seen.groupBy("__block")).applyInArrow(_send(shards, width, bits), "shard int, block int, keys binary, texts binary, sizes binary, places binary, ids binary")
+    gone = passages.repartition(shards, "shard").groupBy("shard").applyInArrow(_confirm(width), "__block int, gone binary")
     types = {f.name: f for f in df.schema.fields}
     out = T.StructType([types[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return placed.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_apply(width, shards, keep), out)
+    return placed.groupBy("__block").cogroup(gone.groupBy("__block")).applyInArrow(_apply(keep, text), out)
 
 
 def digests(df: DataFrame) -> DataFrame:

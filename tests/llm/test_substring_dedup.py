@@ -71,5 +71,31 @@ def test_packing_and_automata():
     h = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
     assert (sd.unpack_sorted(sd.pack_sorted(h)) == h).all()
     docs = [np.array([1, 2, 3, 70000, 1, 2]), np.array([9, 3, 70000])]
-    marks = sd.locate(docs, [np.array([1, 2]), np.array([3, 70000])])
-    assert [m.tolist() for m in marks] == [[True] * 6, [False, True, True]]
+    hits = sd.occurrences(docs, [np.array([1, 2]), np.array([3, 70000])])
+    assert [sorted(x) for x in hits] == [[(0, 0), (2, 1), (4, 0)], [(1, 1)]]
+
+
+def test_word_spans_over_pieces(monkeypatch):
+    text = b"one  two\tthree \x0b\xc2\x85x averyveryverylongwordbeyondapiece end\n"
+    whole = sd.word_spans(text)
+    monkeypatch.setattr(sd, "PIECE", 7)
+    for a, b in zip(whole, sd.word_spans(text), strict=True):
+        assert (a == b).all()
+    assert [text[a:b] for a, b in zip(*whole[:2], strict=True)] == text.split()
+
+
+def test_hash_collisions_change_nothing(spark, sf, monkeypatch):
+    """With hashes of few bits nearly all windows are candidates; words still decide."""
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 40_000)
+    monkeypatch.setattr(sd, "SHARD_BYTES", 60_000)
+    monkeypatch.setattr(sd, "SPARE_BITS", -18)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert got(docs) == sorted(brute(rows, 20), key=key)
+
+
+def test_automata_decide(monkeypatch):
+    a, b = b"a b c d e f", b"x c d e f y"
+    assert sd._late([a, b], 4) == [[], [1]]
+    monkeypatch.setattr(sd, "occurrences", lambda docs, passages: [[] for _ in docs])
+    assert sd._late([a, b], 4) == [[], []]
