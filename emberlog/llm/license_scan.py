@@ -61,15 +61,15 @@ def _words(text: str) -> list[str]:
 
 
 def _windows(rows: DataFrame, headers: dict[str, list[str]]) -> DataFrame:
-    """(__id, __path, line, t, key): the words from each line on that begins as the header ``key`` does, as many as it has."""
+    """(__id, __path, __k, line, t, key): the words from each line on that begins as the header ``key`` does, as many as it has."""
     texts = {f"{k}#{i}": _words(h) for k, v in headers.items() for i, h in enumerate(v)}
     begins = sorted({tuple(w[:2]) for w in texts.values()})
     starts = r"(?im)^[^\p{L}\p{N}\n]*+(" + "|".join(rf"{a}[^\p{{L}}\p{{N}}]+{b}" for a, b in begins) + ")"
     # few texts have such a line; only those are cut
     some = rows.filter(F.col("__text").rlike(starts)).withColumn("__lines", F.split("__text", "\n"))
-    at = some.select("__id", "__path", "__lines", F.posexplode("__lines").alias("line", "one")).filter(F.col("one").rlike(starts))
+    at = some.select("__id", "__path", "__k", "__lines", F.posexplode("__lines").alias("line", "one")).filter(F.col("one").rlike(starts))
     after = F.array_join(F.slice("__lines", F.col("line") + 1, F.lit(MOST_LINES)), "\n")
-    at = at.select("__id", "__path", "line", _terms(F.col("one")).alias("own"), _terms(after).alias("all"))
+    at = at.select("__id", "__path", "__k", "line", _terms(F.col("one")).alias("own"), _terms(after).alias("all"))
 
     def fits(key: str, w: list[str]) -> Column:
         same = (F.element_at("all", 1) == w[0]) & (F.element_at("all", 2) == w[1])
@@ -78,7 +78,7 @@ def _windows(rows: DataFrame, headers: dict[str, list[str]]) -> DataFrame:
         return F.when((F.size("all") >= 2) & same, F.struct(F.lit(key).alias("key"), F.array_join(F.slice("all", 1, len(w)), " ").alias("t")))
 
     hits = F.filter(F.array(*[fits(k, w) for k, w in sorted(texts.items())]), lambda x: x.isNotNull())
-    return at.select("__id", "__path", "line", F.explode(hits).alias("h")).select("__id", "__path", "line", "h.t", "h.key")
+    return at.select("__id", "__path", "__k", "line", F.explode(hits).alias("h")).select("__id", "__path", "__k", "line", "h.t", "h.key")
 
 
 def scan(
@@ -101,7 +101,9 @@ def scan(
     nearest directory at or above theirs (the best score there, then the smaller path); ``inherited_from`` is its path.
 
     Null or empty texts have no license of their own; a null path has no directory and inherits nothing. Repeated rows
-    get the same result each. An empty table gives an empty one.
+    get the same result each and count once as a file; rows that share an id and a path but not the text are judged
+    apart. A text of any length is scanned whole, line by line. Of the input only id, path and text are read, so that
+    other columns may have any name. An empty table gives an empty one.
 
     Plan: one pass counts in how many texts each word is, pre-aggregated before its shuffle. Lines are then filtered by
     a bound that no line of ``threshold`` can miss: by Cauchy's inequality, the terms shared with a template hold at
@@ -112,6 +114,8 @@ def scan(
         headers = HEADERS if templates is None else {}
     templates = TEMPLATES if templates is None else templates
     rows = df.select(F.col(id_col).alias("__id"), F.col(path_col).alias("__path"), F.col(text_col).cast("string").alias("__text"))
+    # rows that repeat an id and a path are told apart by their text
+    rows = rows.withColumn("__k", F.xxhash64("__text"))
     spread = rows.select(F.explode(F.array_distinct(_terms(F.col("__text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     spread = common.checkpoint(spread)
     total = rows.count()
@@ -126,7 +130,7 @@ def scan(
 
     # candidate lines: shared squared weight of some template reaches threshold^2 of its whole
     def lines_of(some: DataFrame) -> DataFrame:
-        return some.filter(F.col("__text").isNotNull()).select("__id", "__path", F.posexplode(F.split("__text", "\n")).alias("line", "t"))
+        return some.filter(F.col("__text").isNotNull()).select("__id", "__path", "__k", F.posexplode(F.split("__text", "\n")).alias("line", "t"))
 
     lines = lines_of(rows)
     shared = F.array_intersect(F.array_distinct(_terms(F.col("t"))), F.array(*map(F.lit, known)))
@@ -139,10 +143,11 @@ def scan(
     any_reach = F.lit(False)
     for name in sorted(templates):
         any_reach = any_reach | reaches(name)
-    near = lines.filter(any_reach).select("__id", "__path", "line", "t", F.lit(None).cast("string").alias("key"))
+    near = lines.filter(any_reach).select("__id", "__path", "__k", "line", "t", F.lit(None).cast("string").alias("key"))
     if headers:
         near = near.unionByName(_windows(rows, headers))
-    near = common.checkpoint(near)
+    # repeated rows count once
+    near = common.checkpoint(near.distinct())
     # a line is weighed once for each different text; repeated lines and rows share the result
     texts = near.select("t").distinct()
     tf = texts.select("t", F.explode(_terms(F.col("t"))).alias("w")).groupBy("t", "w").agg(F.count(F.lit(1)).alias("n"))
@@ -154,19 +159,19 @@ def scan(
     dots = weighed.join(F.broadcast(weights), "w").groupBy("t", "name").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     cos = dots.join(length, "t").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= threshold)
     # a line answers to the one-line templates, a window to the header that it was cut for
-    near = near.select("__id", "__path", "line", "t", F.coalesce("key", F.lit("")).alias("key"))
+    near = near.select("__id", "__path", "__k", "line", "t", F.coalesce("key", F.lit("")).alias("key"))
     cos = cos.withColumn("key", F.when(F.col("name").contains("#"), F.col("name")).otherwise("")).withColumn("name", F.substring_index("name", "#", 1))
     best = cos.groupBy("t", "key").agg(F.min(F.struct((-F.col("score")).alias("s"), "name", "words")).alias("b")).select("t", "key", (-F.col("b.s")).alias("score"), F.col("b.name").alias("name"), F.col("b.words").alias("words"))
-    found = near.join(best, ["t", "key"]).select("__id", "__path", "line", "score", "name", "words", "key")
+    found = near.join(best, ["t", "key"]).select("__id", "__path", "__k", "line", "score", "name", "words", "key")
     if headers:
         spdx = lines_of(rows.filter(F.col("__text").contains("SPDX-License-Identifier"))).withColumn("name", F.regexp_extract("t", SPDX, 1)).filter("name != ''")
-        found = found.unionByName(spdx.select("__id", "__path", "line", F.lit(1.0).alias("score"), "name", F.size(_terms(F.col("t"))).cast("long").alias("words"), F.lit("").alias("key")))
+        found = found.unionByName(spdx.select("__id", "__path", "__k", "line", F.lit(1.0).alias("score"), "name", F.size(_terms(F.col("t"))).cast("long").alias("words"), F.lit("").alias("key")).distinct())
     # windows may overlap each other and lines, so that only the longest counts
     told = [F.sum(F.when(F.col("key") == "", F.col("words")).otherwise(0)), F.max(F.when(F.col("key") != "", F.col("words")).otherwise(0))]
-    hits = found.groupBy("__id", "__path").agg(F.min(F.struct((-F.col("score")).alias("s"), "name", "line")).alias("b"), F.greatest(*told).alias("hit_words"))
-    hits = hits.select(F.col("__id").alias("h_id"), F.col("__path").alias("h_path"), F.col("b.name").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line"), "hit_words")
-    sized = rows.select("__id", "__path", F.size(_terms(F.coalesce("__text", F.lit("")))).alias("n_words"))
-    direct = sized.join(hits, F.col("__id").eqNullSafe(F.col("h_id")) & F.col("__path").eqNullSafe(F.col("h_path")), "left").drop("h_id", "h_path")
+    hits = found.groupBy("__id", "__path", "__k").agg(F.min(F.struct((-F.col("score")).alias("s"), "name", "line")).alias("b"), F.greatest(*told).alias("hit_words"))
+    hits = hits.select(F.col("__id").alias("h_id"), F.col("__path").alias("h_path"), F.col("__k").alias("h_k"), F.col("b.name").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line"), "hit_words")
+    sized = rows.select("__id", "__path", "__k", F.size(_terms(F.coalesce("__text", F.lit("")))).alias("n_words"))
+    direct = sized.join(hits, F.col("__id").eqNullSafe(F.col("h_id")) & F.col("__path").eqNullSafe(F.col("h_path")) & (F.col("__k") == F.col("h_k")), "left").drop("h_id", "h_path", "h_k")
     direct = direct.withColumn("dir", F.when(F.col("__path").contains("/"), F.regexp_replace("__path", r"/[^/]*$", "")).when(F.col("__path").isNotNull(), ""))
     direct = common.checkpoint(direct)
 
