@@ -110,7 +110,7 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST_REPEATS) ->
     return got
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_patterns: int = 100_000) -> DataFrame:
     """(id, size, source_size, target, taken) for each row; ``taken`` is a multiple of the row's size, up to ``most``.
 
     ``source_col`` is a string, or an array of strings where sources overlap: then ``source_size`` and ``target`` are
@@ -118,14 +118,18 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPE
     own, ordered last; nulls and repeats inside an array do not count, an empty array is the null source. Size: words
     of the whole text (null: 0). Repeated rows each count. Reruns agree.
 
-    Only sums by pattern and by bins of seeded order reach the driver: their number follows the patterns, not the
-    documents. All of a pattern's documents are taken as often as its flow covers them all; the remainder goes to the
-    documents that come first by hash of seed and id, up to the one that crosses it (the nearer end is chosen).
+    Only one row for each pattern reaches the driver, which the flow needs whole: more than ``most_patterns`` of them
+    are refused before they are collected. All of a pattern's documents are taken as often as its flow covers them
+    all; the remainder goes to the documents that come first by hash of seed and id (of rows without an id, by text as
+    well), up to the one that crosses it (the nearer end is chosen). Ties of the hash are ordered by id, then size. A
+    text of any length is counted whole; an empty table gives an empty one; of the input only id, text and source are
+    read, so that other columns may have any name.
     """
     array = dict(df.dtypes)[source_col].startswith("array")
     members = F.array_sort(F.array_distinct(F.array_compact(F.col(source_col)))) if array else F.when(F.col(source_col).isNotNull(), F.array(source_col))
     members = F.when(F.size(members) > 0, members)
-    draw = F.xxhash64(F.lit(seed), F.col(id_col))
+    # a null argument leaves the hash as it is
+    draw = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
     bits = BINS.bit_length() - 1
     sized = df.select(
         F.col(id_col).alias("__id"),
@@ -136,36 +140,39 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPE
         F.shiftrightunsigned(draw, 64 - 2 * bits).bitwiseAND(F.lit(BINS - 1)).cast("int").alias("__b2"),
     )
     sized = common.checkpoint(sized)
-    by_bin: dict[tuple | None, dict[int, int]] = defaultdict(dict)
-    for p, b, n in sized.groupBy("__p", "__b1").agg(F.sum("size")).collect():
-        by_bin[tuple(p) if p else None][b] = n
-    patterns = {p or (None,): sum(b.values()) for p, b in by_bin.items()}
+    totals = sized.groupBy("__p").agg(F.sum("size").alias("n"))
+    found = totals.limit(most_patterns + 1).collect()
+    if len(found) > most_patterns:
+        raise ValueError(f"over {most_patterns} membership patterns: merge rare sources first")
+    patterns = {tuple(p) if p else (None,): n for p, n in found}
     sizes: dict = defaultdict(int)
     for p, n in patterns.items():
         for s in p:
             sizes[s] += n
     goal = targets(sizes, weights, most)
     flows = {p: sum(v.values()) for p, v in route(patterns, goal, most).items()}
-    plan = {}  # pattern -> (times all, remainder, bin of the cut, words before it)
+    plan = {}  # pattern -> [times all, remainder]
     for p, n in patterns.items():
         base = min(most, flows.get(p, 0) // n) if n else 0
-        rest = flows.get(p, 0) - base * n if base < most else 0
-        cut, before = _crossing(by_bin[p if p != (None,) else None], rest)
-        plan[p] = [base, rest, cut, before]
-    spark = df.sparkSession
-    told = [(list(p) if p != (None,) else None, *v, float(sum(goal[s] for s in p)), int(sum(sizes[s] for s in p))) for p, v in plan.items()]
-    rules = spark.createDataFrame(told, "p array<string>, base int, rest long, cut int, before long, target double, source_size long")
-    # the second level: bins within the bin of the cut
-    near = sized.join(F.broadcast(rules), F.col("__p").eqNullSafe(F.col("p")) & (F.col("__b1") == F.col("cut")) & (F.col("rest") > 0))
-    fine: dict[tuple, dict[int, int]] = defaultdict(dict)
-    for p, b, n in near.groupBy("__p", "__b2").agg(F.sum("size")).collect():
-        fine[tuple(p) if p else (None,)][b] = n
-    told = []
-    for p, (base, rest, cut, before) in plan.items():
-        cut2, inside = _crossing(fine.get(p, {}), rest - before)
-        told.append((list(p) if p != (None,) else None, base, rest, cut, cut2, before + inside, float(sum(goal[s] for s in p)), int(sum(sizes[s] for s in p))))
-    rules = spark.createDataFrame(told, "p array<string>, base int, rest long, cut int, cut2 int, before long, target double, source_size long")
-    joined = sized.join(F.broadcast(rules), F.col("__p").eqNullSafe(F.col("p")))
+        plan[p] = [base, flows.get(p, 0) - base * n if base < most else 0]
+    spark, key = df.sparkSession, lambda p: list(p) if p != (None,) else None
+
+    # rules are a table of the driver whose size Spark knows: it is broadcast below the session's bound only
+    def rules(extra: dict[tuple, tuple], names: str) -> DataFrame:
+        return spark.createDataFrame([(key(p), *plan[p], *v) for p, v in extra.items()], f"p array<string>, base int, rest long{names}")
+
+    same = F.col("__p").eqNullSafe(F.col("p"))
+    short = {p: () for p, (_, rest) in plan.items() if rest}
+    first = _crossings(sized.join(rules(short, ""), same), "__b1")
+    cuts = {p: first.get(p, (BINS, 0)) for p in short}
+    near = sized.join(rules(cuts, ", cut int, before long"), same & (F.col("__b1") == F.col("cut"))).withColumn("rest", F.col("rest") - F.col("before"))
+    second = _crossings(near, "__b2")
+    told = {}
+    for p in patterns:
+        cut, before = cuts.get(p, (BINS, 0))
+        cut2, inside = second.get(p, (BINS, 0))
+        told[p] = (cut, cut2, before + inside, float(sum(goal[s] for s in p)), int(sum(sizes[s] for s in p)))
+    joined = sized.join(rules(told, ", cut int, cut2 int, before long, target double, source_size long"), same)
     early = (F.col("__b1") < F.col("cut")) | ((F.col("__b1") == F.col("cut")) & (F.col("__b2") < F.col("cut2")))
     here = (F.col("__b1") == F.col("cut")) & (F.col("__b2") == F.col("cut2")) & (F.col("rest") > 0)
     columns = [F.col("__id").alias(id_col), "size", "source_size", "target"]
@@ -178,14 +185,13 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPE
     return clear.unionByName(edge)
 
 
-def _crossing(bins: dict[int, int], rest: int) -> tuple[int, int]:
-    """The bin in whose words the first ``rest`` words end, and the words before it."""
-    before = 0
-    for b in sorted(bins):
-        if before + bins[b] > rest:
-            return b, before
-        before += bins[b]
-    return BINS, before
+def _crossings(rows: DataFrame, bin_col: str) -> dict[tuple, tuple[int, int]]:
+    """For each pattern, the bin in whose words its first ``rest`` words end, and the words before that bin."""
+    bins = rows.groupBy("__p", "rest", bin_col).agg(F.sum("size").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("__p").orderBy(bin_col).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    over = bins.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
+    found = over.groupBy("__p").agg(F.min(F.struct(F.col(bin_col).alias("bin"), (F.col("upto") - F.col("n")).alias("before"))).alias("c")).collect()
+    return {tuple(r["__p"]) if r["__p"] else (None,): (r["c"]["bin"], r["c"]["before"]) for r in found}
 
 
 def take(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
