@@ -88,9 +88,13 @@ def table_of(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.schema(df.schema).parquet(path), lambda: where.getFileSystem(conf).delete(where, True)
+    return spark.read.schema(df.schema).parquet(path), lambda: delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def planned_bytes(df: DataFrame) -> int:
