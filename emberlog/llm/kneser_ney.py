@@ -203,7 +203,7 @@ def _find(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def count_grams(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
-    """(gram, n) over all texts; counts are folded in each slice of a task before their shuffle."""
+    """(gram, a) over all texts; counts are folded in each slice of a task before their shuffle."""
 
     common.ship(docs)
 
@@ -211,10 +211,7 @@ def count_grams(docs: DataFrame, order: int = ORDER, text_col: str = "text") ->
         for whole in batches:
             for b in common.text_slices(whole, 0, SLICE_BYTES):
                 grams, inverse, _ = _windows([fold(t) for t in b.column(0).to_pylist()], order)
-                n = np.bincount(inverse, minlength=len(grams))
-                text = grams.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                cut = [text[i : i + order] for i in range(0, len(text), order)]
-                yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()), pa.array(n, pa.int64())], names=["gram", "n"])
+                yield from _gram_rows(grams, np.bincount(inverse, minlength=len(grams))).to_batches()
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("a"))
 
@@ -229,13 +226,14 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(float(i), max(0.0, d)) for i, d in enumerate(raw, 1))  # type: ignore[return-value]
 
 
-def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> tuple[DataFrame, float]:
+def train(docs: DataFrame, order: int = ORDER, text_col: str = "text", counts: DataFrame | None = None) -> tuple[DataFrame, float]:
     """((gram, logp, bow), log probability of an unseen character): probabilities of all seen grams, back-off weights of contexts.
 
     The highest order uses counts, lower orders the number of different characters on the left. Every table is keyed
     by the gram's text, so all joins are equi-joins sharded by it, and none grows beyond the distinct grams.
+    ``counts``: (gram, a) of the texts, counted already.
     """
-    counted, forget = common.table_of(count_grams(docs, order, text_col))
+    counted, forget = common.table_of(count_grams(docs, order, text_col) if counts is None else counts)
     adjusted = {order: counted}
     for k in range(order - 1, 0, -1):
         adjusted[k] = common.checkpoint(adjusted[k + 1].groupBy(F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count(F.lit(1)).alias("a")))
@@ -272,6 +270,82 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> tuple[
     return model, unseen
 
 
+def _block(df: DataFrame, id_col: str, blocks: int, text_col: str | None = None):
+    """Block of a row by its id; rows without one are dealt by their text."""
+    key = F.col(id_col).cast("string")
+    text = F.when(F.col(id_col).isNull(), F.col(text_col).cast("string")) if text_col else F.lit(None).cast("string")
+    return F.pmod(F.xxhash64(key, text, F.lit(7)), F.lit(blocks)).cast("int")
+
+
+def _dealt(df: DataFrame, keep: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(__block, packed): documents as compressed Arrow streams of (keep, __text, __block), dealt to blocks by one shuffle."""
+    width, blocks = len(keep), common.parts_for(df, BLOCK_BYTES, text_col=text_col)
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for whole in batches:
+            for b in common.text_slices(whole, width, 16 << 20):
+                number = b.column(width + 1).to_numpy()
+                by = np.argsort(number, kind="stable")
+                ends = np.flatnonzero(np.diff(number[by], append=-1)) + 1
+                rows, start = [], 0
+                for end in ends.tolist():
+                    sink = pa.BufferOutputStream()
+                    part = b.take(pa.array(by[start:end]))
+                    with pa.ipc.new_stream(sink, part.schema) as w:
+                        w.write_batch(part)
+                    rows.append((int(number[by[start]]), squeeze(sink.getvalue().to_pybytes())))
+                    start = end
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["__block", "packed"])
+        common.release()
+
+    src = df.select(*[df[f"`{c}`"] for c in keep], F.col(text_col).cast("string").alias("__text"), _block(df, id_col, blocks, text_col).alias("__block"))
+    return src.mapInArrow(pack, "__block int, packed binary").repartition(blocks, "__block")
+
+
+def _unpacked(t: pa.Table) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x)).read_all() for x in t.column("packed").to_pylist())
+
+
+def _gram_rows(grams: np.ndarray, n: np.ndarray) -> pa.Table:
+    order = grams.shape[1]
+    text = grams.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return pa.table({"gram": pa.array([text[i : i + order] for i in range(0, len(text), order)], pa.string()), "n": pa.array(n, pa.int64())})
+
+
+def count_trusted(df: DataFrame, ids: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(gram, a) over the texts of rows whose id is in ``ids`` (one column), counted where the documents are dealt.
+
+    Ids travel to their block instead of texts to a join, so that the amount moved does not depend on how many there are.
+    """
+    common.ship(df)
+    blocks = common.parts_for(df, BLOCK_BYTES, text_col=text_col)
+    name = ids.columns[0]
+    wanted = ids.select(F.col(name).alias("__good"), _block(ids, name, blocks).alias("__b")).repartition(blocks, "__b")
+
+    def run(t: pa.Table, good: pa.Table) -> pa.Table:
+        known = set(good.column("__good").to_pylist())
+        if not t.num_rows or not known:
+            return _gram_rows(np.zeros((0, order), np.uint32), np.zeros(0, np.int64))
+        t = _unpacked(t)
+        some = [x for i, x in zip(t.column(id_col).to_pylist(), t.column("__text").to_pylist(), strict=True) if i in known]
+        grams = _Grams(some, order)
+        n = np.zeros(len(grams.rows), np.int64)
+        at = 0
+        for count, inverse, _ in grams.slices:
+            n += np.bincount(grams.number[at : at + count][inverse], minlength=len(n)) if len(inverse) else 0
+            at += count
+        rows = np.concatenate([grams.rows[:, -2::-1], grams.rows[:, -1:]], axis=1)
+        out = _gram_rows(rows, n)
+        del t, some, grams, rows
+        common.release()
+        return out
+
+    placed = _dealt(df, [id_col], id_col, text_col)
+    found = placed.groupBy("__block").cogroup(wanted.groupBy("__b")).applyInArrow(run, "gram string, n long")
+    return found.groupBy("gram").agg(F.sum("n").alias("a"))
+
+
 def _edges(df: DataFrame, shards: int, order: int, id_col: str, text_col: str) -> np.ndarray:
     """Contexts that cut the reversed contexts of a sample of documents into ``shards`` ranges of about one size.
 
@@ -304,41 +378,15 @@ def perplexities(df: DataFrame, model: DataFrame, unseen: float, order: int = OR
     """
     common.ship(df)
     keep = common.without(df, ["n_scored", "perplexity"]) if keep is None else keep
-    blocks = common.parts_for(df, BLOCK_BYTES, text_col=text_col)
     edges = _edges(df, common.parts_for(df, SHARD_BYTES, text_col=text_col), order, id_col, text_col)
     shards = len(edges) + 1
-    block = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(7)), F.lit(blocks)).cast("int")
-    width = len(keep)
-
-    def pack(batches):
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for whole in batches:
-            for b in common.text_slices(whole, width, 16 << 20):
-                number = b.column(width + 1).to_numpy()
-                by = np.argsort(number, kind="stable")
-                ends = np.flatnonzero(np.diff(number[by], append=-1)) + 1
-                rows, start = [], 0
-                for end in ends.tolist():
-                    sink = pa.BufferOutputStream()
-                    part = b.take(pa.array(by[start:end]))
-                    with pa.ipc.new_stream(sink, part.schema) as w:
-                        w.write_batch(part)
-                    rows.append((int(number[by[start]]), squeeze(sink.getvalue().to_pybytes())))
-                    start = end
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["__block", "packed"])
-        common.release()
-
-    def unpacked(t: pa.Table) -> pa.Table:
-        return pa.concat_tables(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x)).read_all() for x in t.column("packed").to_pylist())
-
-    src = df.select(*[df[f"`{c}`"] for c in keep], F.col(text_col).cast("string").alias("__text"), block.alias("__block"))
-    placed = src.mapInArrow(pack, "__block int, packed binary").repartition(blocks, "__block")
+    placed = _dealt(df, keep, id_col, text_col)
 
     def cuts(rows: np.ndarray) -> list[int]:
         return [0, *np.searchsorted(_places(rows[:, :-1]), edges).tolist(), len(rows)]
 
     def emit(t: pa.Table) -> pa.Table:
-        t = unpacked(t)
+        t = _unpacked(t)
         rows = _Grams(t.column("__text").to_pylist(), order).rows
         some = [(s, a, b) for s, (a, b) in enumerate(pairwise(cuts(rows))) if b > a]
         n = t.column("__block")[0].as_py()
@@ -374,7 +422,7 @@ def perplexities(df: DataFrame, model: DataFrame, unseen: float, order: int = OR
         return pa.table(rows | {"logp": pa.array(rows["logp"], pa.binary())})
 
     def add_up(t: pa.Table, answers: pa.Table) -> pa.Table:
-        t = unpacked(t)
+        t = _unpacked(t)
         grams = _Grams(t.column("__text").to_pylist(), order)
         lp = np.full(len(grams.rows), np.nan)
         at = cuts(grams.rows)
@@ -410,9 +458,8 @@ def classify(df: DataFrame, trusted: DataFrame, quantile: float = 0.995, order:
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("__good")).filter("__good IS NOT NULL").distinct()
     train_on = F.pmod(F.xxhash64(F.col("__good"), F.lit(11)), F.lit(5)) != 0
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    model, unseen = train(texts.join(ids.filter(train_on), F.col("__id") == F.col("__good"), "left_semi"), order)
     src = df.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("text"))
+    model, unseen = train(src, order, counts=count_trusted(src, ids.filter(train_on), order, "__id", "text"))
     scored = common.checkpoint(perplexities(src, model, unseen, order, "__id", "text", ["__id", "__lang"]))
     held = scored.join(ids.filter(~train_on), F.col("__id") == F.col("__good"), "left_semi").filter("perplexity IS NOT NULL")
     cut = held.groupBy("__lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
