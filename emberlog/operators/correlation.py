@@ -18,16 +18,31 @@ def shared_values(parts: dict[str, DataFrame], least: int = 2, n: int = 20) -> D
 def nearest_pairs(left: DataFrame, right: DataFrame, keys: list[str], within_ms: int, left_id: str = "id", right_id: str = "id", time: str = "ms") -> DataFrame:
     """(left_id, right_id, diff_ms) of the right row nearest in time to each left row, keys null-safe equal.
 
-    A plain join on the keys meets every pair of a busy key. Time is cut into buckets of ``within_ms``: a left row is
-    sent to its bucket and both neighbours, so the join is on keys and bucket, and a busy key spreads over buckets.
+    Time is cut into buckets of ``within_ms``, over which a busy key spreads. In each (keys, bucket) both sides are
+    sorted together, so that a left row sees the right rows just before and after it; from the buckets beside it only
+    the last and the first right row can be nearest. The work is a sort, however many rows a burst has.
     """
-    bucket = F.floor(F.col(time) / within_ms)
-    a = left.select(F.col(left_id).alias("l_id"), F.col(time).alias("l_ms"), *[F.col(k).alias(f"l_{k}") for k in keys]).withColumn("l_b", F.explode(F.array(*[F.floor(F.col("l_ms") / within_ms) + d for d in (-1, 0, 1)])))
-    b = right.select(F.col(right_id).alias("r_id"), F.col(time).alias("r_ms"), *[F.col(k).alias(f"r_{k}") for k in keys], bucket.alias("r_b"))
-    on = reduce(lambda x, y: x & y, [F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}")) for k in keys], F.col("l_b") == F.col("r_b"))
-    near = a.join(b, on & (F.abs(F.col("l_ms") - F.col("r_ms")) <= within_ms))
-    w = Window.partitionBy("l_id").orderBy(F.abs(F.col("r_ms") - F.col("l_ms")), "r_ms", "r_id")
-    return near.withColumn("rk", F.row_number().over(w)).filter("rk = 1").select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), (F.col("r_ms") - F.col("l_ms")).alias("diff_ms"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    cut = lambda d, i: d.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(time).alias("ms"), F.col(i).alias("id"))
+    b = F.floor(F.col("ms") / within_ms).cast("long").alias("b")
+    rows = cut(right, right_id).filter("ms IS NOT NULL").groupBy(*names, "ms").agg(F.min("id").alias("id")).select("*", b)
+    point = F.struct("ms", "id")
+    both = cut(left, left_id).filter("ms IS NOT NULL").select(*names, b, "ms", F.col("id").alias("l_id"), F.lit(None).cast(rows.select(point.alias("p")).schema["p"].dataType).alias("r"))
+    both = both.unionByName(rows.select(*names, "b", "ms", F.lit(None).cast(both.schema["l_id"].dataType).alias("l_id"), point.alias("r")))
+    w = Window.partitionBy(*names, "b").orderBy("ms", F.col("r").isNull())
+    seen = both.withColumn("before", F.last("r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("r", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    seen = seen.filter("l_id IS NOT NULL")
+    ends = rows.groupBy(*names, "b").agg(F.min(point).alias("lo"), F.max(point).alias("hi"))
+
+    def beside(df: DataFrame, step: int, end: str) -> DataFrame:
+        e = ends.select(*[F.col(n).alias(f"e{n}") for n in names], (F.col("b") - step).alias("e_b"), F.col(end).alias(f"beside_{end}"))
+        on = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"e{n}")) for n in names], F.col("b") == F.col("e_b"))
+        return df.join(e, on, "left").drop("e_b", *[f"e{n}" for n in names])
+
+    seen = beside(beside(seen, -1, "hi"), 1, "lo")
+    near = F.transform(F.array_compact(F.array("before", "after", "beside_hi", "beside_lo")), lambda r: F.struct(F.abs(r["ms"] - F.col("ms")).alias("d"), r["ms"].alias("ms"), r["id"].alias("id")))
+    best = seen.withColumn("n", F.array_min(F.filter(near, lambda r: r["d"] <= within_ms))).filter("n IS NOT NULL")
+    return best.select(F.col("l_id").alias("left_id"), F.col("n.id").alias("right_id"), (F.col("n.ms") - F.col("ms")).alias("diff_ms"))
 
 
 def skew_estimate(pairs: DataFrame, keys: list[str], tolerance_ms: int = 2000) -> DataFrame:
@@ -37,14 +52,28 @@ def skew_estimate(pairs: DataFrame, keys: list[str], tolerance_ms: int = 2000) -
     return per.crossJoin(F.broadcast(whole)).groupBy("skew_ms").agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.abs(F.col("m") - F.col("skew_ms")) <= tolerance_ms).alias("agree"))
 
 
-def hour_hint(left: DataFrame, right: DataFrame, keys: list[str], within_ms: int = 120_000, time: str = "ms") -> DataFrame:
-    """(hours, pairs) for offsets of -14 to 14 hours: one bucketed join against exploded offsets."""
-    hours = F.explode(F.sequence(F.lit(-14), F.lit(14)))
-    a = left.select(F.col(time).alias("l_ms"), *[F.col(k).alias(f"l_{k}") for k in keys], hours.alias("hours")).filter("hours <> 0").withColumn("l_ms", F.col("l_ms") + F.col("hours") * 3_600_000)
-    a = a.withColumn("l_b", F.explode(F.array(*[F.floor(F.col("l_ms") / within_ms) + d for d in (-1, 0, 1)])))
-    b = right.select(F.col(time).alias("r_ms"), *[F.col(k).alias(f"r_{k}") for k in keys], F.floor(F.col(time) / within_ms).alias("r_b"))
-    on = reduce(lambda x, y: x & y, [F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}")) for k in keys], F.col("l_b") == F.col("r_b"))
-    return a.join(b, on & (F.abs(F.col("l_ms") - F.col("r_ms")) <= within_ms)).groupBy("hours").agg(F.count(F.lit(1)).alias("pairs"))
+HOUR = 3_600_000
+
+
+def hour_hint(left: DataFrame, right: DataFrame, keys: list[str], within_ms: int = 120_000, time: str = "ms", most: int = 14) -> DataFrame:
+    """(hours, pairs) for offsets of -14 to 14 hours, by one equality join.
+
+    Rows that are whole hours apart, give or take ``within_ms``, share their place in the hour: a left row goes to that
+    part of the hour and its neighbours, and to its stretch of ``most + 1`` hours and its neighbours.
+    """
+    if not 0 < within_ms <= HOUR // 2:
+        raise ValueError("within_ms must be half an hour at most")
+    parts = HOUR // within_ms
+    stretch = (most + 1) * HOUR
+    part = lambda c: F.floor(F.pmod(c, F.lit(HOUR)) * parts / HOUR)
+    around = F.array_distinct(F.array(*[F.pmod(part(F.col("l_ms")) + d, F.lit(parts)) for d in (-1, 0, 1)]))
+    a = left.select(F.col(time).alias("l_ms"), *[F.col(k).alias(f"l_{k}") for k in keys]).filter("l_ms IS NOT NULL").withColumn("l_p", F.explode(around))
+    a = a.withColumn("l_s", F.explode(F.array(*[F.floor(F.col("l_ms") / stretch) + d for d in (-1, 0, 1)])))
+    b = right.select(F.col(time).alias("r_ms"), *[F.col(k).alias(f"r_{k}") for k in keys]).withColumn("r_p", part(F.col("r_ms"))).withColumn("r_s", F.floor(F.col("r_ms") / stretch))
+    on = reduce(lambda x, y: x & y, [F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}")) for k in keys], (F.col("l_p") == F.col("r_p")) & (F.col("l_s") == F.col("r_s")))
+    apart = a.join(b, on).select((F.col("r_ms") - F.col("l_ms")).alias("d")).withColumn("hours", F.round(F.col("d") / HOUR).cast("int"))
+    fits = (F.abs(F.col("d") - F.col("hours").cast("long") * HOUR) <= within_ms) & (F.col("hours") != 0) & (F.abs("hours") <= most)
+    return apart.filter(fits).groupBy("hours").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def flows(left: DataFrame, pairs: DataFrame, right: DataFrame, keys: list[str], action: str, n: int = 25) -> DataFrame:
@@ -67,6 +96,21 @@ def range_lookup(values: DataFrame, ranges: DataFrame, value: str, lo: str = "lo
     return v.join(r, (F.col("__vb") == F.col("__b")) & F.col(value).between(F.col("__lo"), F.col("__hi")), "left").select(*values.columns, "label")
 
 
+def ip_hosts(df: DataFrame, ip: str = "src_ip", host: str = "host", time: str = "ms") -> DataFrame:
+    """(ip, host, events, first_ms, last_ms): which host used which address, and when."""
+    rows = df.filter(F.col(ip).isNotNull() & F.col(host).isNotNull()).groupBy(F.col(ip).alias("ip"), F.col(host).alias("host"))
+    return rows.agg(F.count(F.lit(1)).alias("events"), F.min(time).alias("first_ms"), F.max(time).alias("last_ms"))
+
+
+def attributions(connections: DataFrame, pairs: DataFrame, firewall: DataFrame, group: str = "dst_ip", process: str = "process_name", most: int = 3) -> DataFrame:
+    """(value of ``group``, processes): the processes behind most of the matched firewall rows, ties by name."""
+    who = pairs.join(connections.select(F.col("id").alias("left_id"), F.col(process).alias("process")), "left_id").join(firewall.select(F.col("id").alias("right_id"), group), "right_id")
+    counts = who.filter("process IS NOT NULL").groupBy(group, "process").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(group).orderBy(F.col("n").desc(), "process")
+    top = counts.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= most)
+    return top.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "process", "n"))), lambda x: F.struct(x["process"].alias("process"), x["n"].alias("events"))).alias("processes"))
+
+
 def correlate_project(connections: DataFrame, firewall: DataFrame, keys: tuple[str, ...] = ("src_ip", "dst_ip", "dst_port"), within_ms: int = 120_000, max_skew_ms: int = 120_000, tolerance_ms: int = 2000) -> dict:
     """Endpoint connections against firewall rows: skew, whether it is consistent, and matched pairs.
 
@@ -77,4 +121,13 @@ def correlate_project(connections: DataFrame, firewall: DataFrame, keys: tuple[s
     row = skew_estimate(keyed, list(keys), tolerance_ms).first()
     skew = row["skew_ms"] if row else None
     ok = bool(row and row["keys"] and 2 * row["agree"] >= row["keys"] and abs(skew) <= max_skew_ms)
-    return {"skew_ms": skew, "consistent": ok, "pairs": pairs}
+    out = {"skew_ms": skew, "consistent": ok, "pairs": pairs}
+    if not ok:
+        best = hour_hint(connections, firewall, list(keys), min(within_ms, HOUR // 2)).orderBy(F.col("pairs").desc(), "hours").first()
+        total = connections.count()
+        out["hour_hint"] = best["hours"] if best and 2 * best["pairs"] >= total else None
+    if "host" in connections.columns and "src_ip" in connections.columns:
+        out["ip_hosts"] = ip_hosts(connections)
+    if "process_name" in connections.columns and "dst_ip" in firewall.columns:
+        out["attributions"] = attributions(connections, pairs, firewall)
+    return out

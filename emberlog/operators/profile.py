@@ -30,20 +30,21 @@ def column_top(df: DataFrame, cols: list[str], n: int = 10) -> DataFrame:
     return ranked.filter(F.col("rk") <= n)
 
 
+def _by_column(df: DataFrame, cols: list[str], cells) -> DataFrame:
+    """One row for each column, of one aggregation over the table: ``cells(column)`` gives its named measures."""
+    names = [name for name, _ in cells(cols[0])]
+    row = df.agg(*[F.struct(F.lit(c).alias("col"), *[v.alias(n) for n, v in cells(c)]).alias(f"c{i}") for i, c in enumerate(cols)])
+    return row.select(F.explode(F.array(*[f"c{i}" for i in range(len(cols))])).alias("x")).select("x.col", *[f"x.{n}" for n in names])
+
+
 def numeric_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """min, max, mean, p50 and p95 (interpolated, exact) of numeric columns."""
-    parts = [
-        df.agg(
-            F.lit(c).alias("col"),
-            F.min(c).cast("double").alias("min"),
-            F.max(c).cast("double").alias("max"),
-            F.round(F.avg(c), 3).alias("avg"),
-            F.round(F.percentile(c, F.lit(0.5)), 3).alias("p50"),
-            F.round(F.percentile(c, F.lit(0.95)), 3).alias("p95"),
-        )
-        for c in cols
-    ]
-    return reduce(DataFrame.unionByName, parts)
+
+    def cells(c: str):
+        at = lambda p: F.round(F.percentile(c, F.lit(p)), 3)
+        return [("min", F.min(c).cast("double")), ("max", F.max(c).cast("double")), ("avg", F.round(F.avg(c), 3).cast("double")), ("p50", at(0.5)), ("p95", at(0.95))]
+
+    return _by_column(df, cols, cells)
 
 
 def hour_histogram(df: DataFrame, time_col: str) -> DataFrame:
@@ -53,15 +54,15 @@ def hour_histogram(df: DataFrame, time_col: str) -> DataFrame:
 def gaps(df: DataFrame, time_col: str) -> DataFrame:
     """(before_us, at_us, gap_ms) between consecutive distinct moments.
 
-    A window over all rows would be one task. Moments are first folded into distinct ones, lagged within their day,
-    and the first moment of each day is linked to the last of the day before it that has any: only days meet in one
+    A window over all rows would be one task. Moments are first folded into distinct ones, lagged within their hour,
+    and the first moment of each hour is linked to the last of the hour before it that has any: only hours meet in one
     window.
     """
     t = df.filter(F.col(time_col).isNotNull()).select(F.unix_micros(F.col(time_col).cast("timestamp")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    t = t.withColumn("day", F.floor(F.col("t") / 86_400_000_000))
-    inner = t.withColumn("before", F.lag("t").over(Window.partitionBy("day").orderBy("t")))
-    days = t.groupBy("day").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    linked = days.select(F.col("lo").alias("t"), F.lag("hi").over(Window.orderBy("day")).alias("before"))
+    t = t.withColumn("hour", F.floor(F.col("t") / 3_600_000_000))
+    inner = t.withColumn("before", F.lag("t").over(Window.partitionBy("hour").orderBy("t")))
+    hours = t.groupBy("hour").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    linked = hours.select(F.col("lo").alias("t"), F.lag("hi").over(Window.orderBy("hour")).alias("before"))
     pairs = inner.filter("before IS NOT NULL").select("before", "t").unionByName(linked.filter("before IS NOT NULL").select("before", "t"))
     gap = pairs.select(F.col("before").alias("before_us"), F.col("t").alias("at_us"), F.floor((F.col("t") - F.col("before") + 500) / 1000).alias("gap_ms"))
     return gap
@@ -111,14 +112,41 @@ def value_formats(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def text_lengths(df: DataFrame, cols: list[str]) -> DataFrame:
-    parts = [df.agg(F.lit(c).alias("col"), F.min(F.length(c)).alias("shortest"), F.round(F.avg(F.length(c)), 3).alias("mean"), F.max(F.length(c)).alias("longest")) for c in cols]
-    return reduce(DataFrame.unionByName, parts)
+    return _by_column(df, cols, lambda c: [("shortest", F.min(F.length(c))), ("mean", F.round(F.avg(F.length(c)), 3)), ("longest", F.max(F.length(c)))])
 
 
 def ip_scopes(df: DataFrame, ip_col: str) -> DataFrame:
     return df.groupBy(C.ip_scope(F.col(ip_col)).alias("scope")).agg(F.count(F.lit(1)).alias("events"), F.countDistinct(ip_col).alias("ips"))
 
 
+#: Pairs of columns whose relation a profile shows, and columns whose first and last appearance it shows
+RELATIONS = [
+    ("src_ip", "dst_ip"),
+    ("src_ip", "dst_port"),
+    ("host", "process_name"),
+    ("process_name", "dst_ip"),
+    ("user_id", "src_ip"),
+    ("rule_name", "action"),
+    ("src_ip", "endpoint"),
+    ("user_id", "host"),
+    ("host", "dst_ip"),
+    ("user_id", "endpoint"),
+]
+MOST_RELATIONS = 6
+SEEN = ["src_ip", "dst_ip", "user_id", "host", "process_name"]
+
+
+def time_profile(df: DataFrame, time_col: str, raw_col: str = "timestamp_raw") -> DataFrame:
+    """One row: first and last moment, days with data, rows without a moment and, of those, rows whose raw time was there."""
+    raw = F.col(raw_col).isNotNull() if raw_col in df.columns else F.lit(False)
+    t = F.col(time_col).cast("timestamp")
+    return df.agg(F.min(t).alias("first"), F.max(t).alias("last"), F.countDistinct(F.to_date(t)).alias("days"), F.count_if(t.isNull()).alias("missing"), F.count_if(t.isNull() & raw).alias("unreadable"))
+
+
+def day_histogram(df: DataFrame, time_col: str) -> DataFrame:
+    return df.filter(F.col(time_col).isNotNull()).groupBy(F.to_date(F.col(time_col).cast("timestamp")).cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def data_profile(df: DataFrame, time_col: str, skip: tuple[str, ...] = ("source_row", "timestamp_raw")) -> dict[str, DataFrame]:
     """All blocks that a table's columns allow, each a DataFrame."""
     kinds = dict(df.dtypes)
@@ -129,4 +157,11 @@ def data_profile(df: DataFrame, time_col: str, skip: tuple[str, ...] = ("source_
     out = {"columns": column_profile(df, cols), "top": column_top(df, cols), "duplicates": duplicate_rows(df, cols), "hours": hour_histogram(df, time_col), "gaps": largest_gaps(df, time_col), "median_gap": median_gap(df, time_col)}
     out |= {"numeric": numeric_stats(df, numeric)} if numeric else {}
     out |= {"formats": value_formats(df, text), "lengths": text_lengths(df, text)} if text else {}
+    out |= {"time": time_profile(df, time_col), "days": day_histogram(df, time_col)}
+    some = [(a, b) for a, b in RELATIONS if a in cols and b in cols][:MOST_RELATIONS]
+    out |= {f"relation_{a}_{b}": relations(df, a, b) for a, b in some}
+    out |= {f"seen_{c}": first_last_seen(df, c, time_col) for c in SEEN if c in cols}
+    if {"src_ip", "dst_ip"} <= set(cols):
+        # of single columns, the block of columns has the distinct values
+        out["entities"] = entities({"addresses": df.select(F.col("src_ip").alias("ip")).unionByName(df.select(F.col("dst_ip").alias("ip")))})
     return out | {f"scopes_{c}": ip_scopes(df, c) for c in ips}

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import values as V
-from ..operators import correlation, detectors, documents, privacy, profile, summaries
+from ..operators import correlation, detectors, documents, passages, privacy, profile, summaries
+from ..sources import raw_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,7 +155,7 @@ def _(s, d):
     return profile.first_last_seen(events(s, d), "user_id", "ts")
 
 
-_FORMAT = r"CASE WHEN regexp_matches(value, '^[A-Z]{1,8}-[0-9]{4,}$') THEN 'alias' WHEN regexp_matches(value, '^([0-9]{1,3}\.){3}[0-9]{1,3}$') THEN 'ipv4' WHEN regexp_matches(value, '^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$') THEN 'ipv6' WHEN regexp_matches(value, '^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$') THEN 'email' WHEN regexp_matches(value, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN 'url' WHEN regexp_matches(value, '^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$') THEN 'hash' WHEN regexp_matches(value, '^(/|[A-Za-z]:\\)') THEN 'path' WHEN regexp_matches(value, '^-?[0-9]+(\.[0-9]+)?$') THEN 'number' ELSE 'text' END"
+_FORMAT = "CASE " + " ".join(f"WHEN regexp_matches(value, '{rx}') THEN '{name}'" for name, rx in V.FORMATS.items()) + " ELSE 'text' END"
 
 
 @query("value_formats", f"WITH l AS (SELECT 'url' AS col, url AS value FROM pages UNION ALL SELECT 'page_id', page_id::VARCHAR FROM pages UNION ALL SELECT 'host', split_part(url, '/', 3) FROM pages) SELECT col, {_FORMAT} AS format, count(*) AS n FROM l GROUP BY 1, 2")
@@ -215,7 +216,18 @@ def _(s, d):
     return pairs.join(mine.select("ip").distinct(), "ip", "left_semi").join(found.select("actor"), "actor", "left_anti").select("actor", "ip", "n")
 
 
-@query("det_components")
+_WIDE = _PAIRS.replace("event_type AS ip", "props AS ip")
+
+
+@query(
+    "det_components",
+    _robust(_WIDE, "ratio", 1.0, "0.05 * med").replace("WITH pairs", "WITH RECURSIVE pairs", 1)
+    + """, c AS (SELECT actor FROM z WHERE actors >= 5 AND ratio > threshold AND ips <= 100 ORDER BY ratio DESC, actor LIMIT 40), mine AS (SELECT actor, ip FROM pairs WHERE actor IN (SELECT actor FROM c)), link AS (SELECT DISTINCT a.actor AS x, b.actor AS y FROM mine a JOIN mine b ON a.ip = b.ip),
+    reach(x, y) AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x), root AS (SELECT x AS actor, min(y) AS root FROM reach GROUP BY 1),
+    g AS (SELECT root, list(DISTINCT mine.actor ORDER BY mine.actor)::VARCHAR[] AS actors, list(DISTINCT ip ORDER BY ip) AS ips FROM mine JOIN root ON root.actor = mine.actor GROUP BY 1),
+    n AS (SELECT 'C' || row_number() OVER (ORDER BY len(actors) DESC, actors[1])::VARCHAR AS cluster, actors, ips, NOT EXISTS (SELECT 1 FROM pairs WHERE list_contains(ips, pairs.ip) AND pairs.actor NOT IN (SELECT actor FROM c)) AS closed FROM g)
+    SELECT cluster, actors, ips, closed, CASE WHEN closed AND len(actors) >= 2 THEN 'high' ELSE 'medium' END AS severity FROM n""",
+)
 def _(s, d):
     return detectors.actor_ip_cluster(events(s, d), "user_id", "props", k=1, max_ips=100)
 
@@ -225,7 +237,7 @@ def _(s, d):
     return detectors.activity_ramp(events(s, d), "user_id", "ts", k=1, min_total=40, min_final=10, min_ratio=1.5)
 
 
-@query("det_fanout", _robust("WITH per AS (SELECT o_custkey AS actor, count(DISTINCT o_orderpriority || ':' || o_orderstatus) AS services, count(*) AS events FROM orders GROUP BY 1)", "services", 3.0, "0.05 * med") + f" SELECT actor, services, events, med, mad, {_grade(3)} FROM z WHERE services > threshold AND services >= 10")
+@query("det_fanout", _robust("WITH per AS (SELECT o_custkey AS actor, count(DISTINCT o_orderpriority || ':' || o_orderstatus) AS services, count(*) AS events FROM orders GROUP BY 1)", "services", 3.0, "0.05 * med") + f" SELECT actor, services, events, NULL::DOUBLE AS pct_denied, med, mad, {_grade(3)} FROM z WHERE actors >= 5 AND services > threshold AND services >= 10")
 def _(s, d):
     return detectors.service_fanout(t(s, d, "orders"), "o_custkey", F.concat_ws(":", "o_orderpriority", "o_orderstatus"))
 
@@ -240,7 +252,7 @@ def _(s, d):
     return detectors.risky_outbound(t(s, d, "lineitem"), "l_suppkey", "l_partkey", "l_linenumber", F.col("l_returnflag") == "R")
 
 
-@query("det_volume", _robust("WITH by_t AS (SELECT user_id AS actor, event_type AS target, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS b FROM events GROUP BY 1, 2), f AS (SELECT actor, target AS main_target FROM by_t QUALIFY row_number() OVER (PARTITION BY actor ORDER BY b DESC, target) = 1), per AS (SELECT actor, sum(b)::BIGINT AS size, ln(1 + sum(b)) AS lb FROM by_t GROUP BY 1)", "lb", 1.0, "0.05") + f" SELECT z.actor, size, main_target, {_grade(1)} FROM z JOIN f ON f.actor = z.actor WHERE lb > threshold AND size >= 1")
+@query("det_volume", _robust("WITH by_t AS (SELECT user_id AS actor, event_type AS target, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS b FROM events GROUP BY 1, 2), f AS (SELECT actor, target AS main_target FROM by_t QUALIFY row_number() OVER (PARTITION BY actor ORDER BY b DESC, target) = 1), per AS (SELECT actor, sum(b)::BIGINT AS size, ln(1 + sum(b)) AS lb FROM by_t GROUP BY 1)", "lb", 1.0, "0.05") + f" SELECT z.actor, size, main_target, {_grade(1)} FROM z JOIN f ON f.actor = z.actor WHERE actors >= 5 AND lb > threshold AND size >= 1")
 def _(s, d):
     return detectors.volume_outlier(events(s, d), "user_id", "event_type", F.round(F.col("value") * 100).cast("long"), F.lit(True), k=1, floor=0.05, min_size=1)
 
@@ -325,23 +337,23 @@ def ips(s, d):
     return t(s, d, "documents").select(F.explode(found).alias("ip"))
 
 
-def _scope_sql() -> str:
+def _ranges_sql() -> str:
+    """Rows (lo, hi, scope, priority) of the address ranges."""
     import ipaddress
 
-    n = "(CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT))"
-    whens = " ".join(f"WHEN {' OR '.join(f'{n} BETWEEN {int(ipaddress.ip_network(x).network_address)} AND {int(ipaddress.ip_network(x).broadcast_address)}' for x in nets)} THEN '{scope}'" for scope, nets in V.IPV4_RANGES)
-    return f"CASE WHEN NOT regexp_matches(ip, '{V.STRICT_IPV4}') THEN 'invalid' {whens} ELSE 'public' END"
+    rows = [(n[0], n[-1], scope, i) for i, (scope, nets) in enumerate(V.IPV4_RANGES) for n in map(ipaddress.ip_network, nets)]
+    return "VALUES " + ", ".join(f"({int(lo)}, {int(hi)}, '{scope}', {i})" for lo, hi, scope, i in rows)
 
 
-_IPS = f"WITH i AS (SELECT unnest(regexp_extract_all(text, '{_IP_RX}', 2)) AS ip FROM documents)"
+_IPS = f"WITH r(lo, hi, scope, place) AS ({_ranges_sql()}), i AS (SELECT unnest(regexp_extract_all(text, '{_IP_RX}', 2)) AS ip FROM documents), u AS (SELECT ip, count(*) AS n, regexp_matches(ip, '{V.STRICT_IPV4}') AS fine FROM i GROUP BY 1), v AS (SELECT ip, list_reduce(list_transform(string_split(ip, '.'), lambda x: x::BIGINT), lambda a, b: a * 256 + b) AS num FROM u WHERE fine), s AS (SELECT v.ip, coalesce(arg_min(r.scope, r.place), 'public') AS scope FROM v LEFT JOIN r ON v.num BETWEEN r.lo AND r.hi GROUP BY 1), t AS (SELECT u.ip, u.n, u.fine, coalesce(s.scope, 'invalid') AS scope FROM u LEFT JOIN s ON s.ip = u.ip)"
 
 
-@query("ip_scope_net", f"{_IPS} SELECT ip, {_scope_sql()} AS scope, CASE WHEN regexp_matches(ip, '{V.STRICT_IPV4}') THEN regexp_extract(ip, '^(.*)\\.[0-9]+$', 1) || '.0/24' END AS net, count(*) AS n FROM i GROUP BY 1, 2, 3")
+@query("ip_scope_net", f"{_IPS} SELECT ip, scope, CASE WHEN fine THEN regexp_extract(ip, '^(.*)\\.[0-9]+$', 1) || '.0/24' END AS net, n FROM t")
 def _(s, d):
     return ips(s, d).groupBy("ip").agg(F.count(F.lit(1)).alias("n")).select("ip", C.ip_scope(F.col("ip")).alias("scope"), C.ip_net(F.col("ip")).alias("net"), "n")
 
 
-@query("ip_scope_summary", f"{_IPS} SELECT {_scope_sql()} AS scope, count(*) AS events, count(DISTINCT ip) AS ips FROM i GROUP BY 1")
+@query("ip_scope_summary", f"{_IPS} SELECT scope, sum(n)::BIGINT AS events, count(*) AS ips FROM t GROUP BY 1")
 def _(s, d):
     return profile.ip_scopes(ips(s, d), "ip")
 
@@ -375,7 +387,7 @@ def _(s, d):
     return t(s, d, "documents").select("doc_id", C.scrub(F.col("text")).alias("scrubbed"))
 
 
-@query("pseudo_parity")
+@query("pseudo_parity", "SELECT ''::VARCHAR AS actor, 0::BIGINT AS resources, 0::BIGINT AS requests, 0.0::DOUBLE AS med, 0.0::DOUBLE AS mad, 0.0::DOUBLE AS threshold, '' AS severity FROM events WHERE event_id < 0 AND event_id > 0")
 def _(s, d):
     e = events(s, d)
     table = privacy.alias_table(e, "user_id", "event_id")
@@ -397,10 +409,9 @@ def _(s, d):
 _KEYS_RX = r"[?&;]([^=&#;\s]{1,40})="
 
 
-@query("param_keys", f"WITH k AS (SELECT unnest(regexp_extract_all(url, '{_KEYS_RX}', 1)) AS key FROM pages) SELECT key, count(*) AS n FROM k GROUP BY 1 ORDER BY n DESC, key LIMIT 20")
+@query("param_keys", f"WITH k AS (SELECT unnest(regexp_extract_all(url, '{_KEYS_RX}', 1)) AS key FROM pages) SELECT key, count(*) AS n FROM k WHERE (SELECT count(*) FILTER (regexp_matches(url, '[?&]')) >= 0.1 * count(url) FROM pages) GROUP BY 1 ORDER BY n DESC, key LIMIT 20")
 def _(s, d):
-    k = t(s, d, "pages").select(F.explode(F.regexp_extract_all("url", F.lit(_KEYS_RX), F.lit(1))).alias("key"))
-    return k.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "key").limit(20)
+    return s.createDataFrame(raw_profile.parameter_keys(raw_profile.flat_text(t(s, d, "pages").select("url")), "url"), "key string, n long")
 
 
 @query("request_line", "WITH r AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE 'GET ' || url || ' HTTP/1.1' END AS line FROM pages) SELECT page_id, NULLIF(regexp_extract(line, '^([A-Z]+) ', 1), '') AS method, NULLIF(regexp_extract(line, '^[A-Z]+ (\\S+)', 1), '') AS uri FROM r")
@@ -409,11 +420,13 @@ def _(s, d):
     return r.select("page_id", C.request_method(F.col("line")).alias("method"), C.request_uri(F.col("line")).alias("uri"))
 
 
-@query("semantic_scan", "SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(v, '{rx}')) AS n_{k}" for k, rx in V.SEMANTICS.items()) + " FROM (SELECT url AS v FROM pages UNION ALL SELECT split_part(url, '/', 3) FROM pages UNION ALL SELECT source FROM documents)")
+_SCAN = [*V.SEMANTICS.items(), ("secret", V.SECRET_IN_VALUE)]
+
+
+@query("semantic_scan", " UNION ALL ".join(f"SELECT '{c}' AS col, '{k}' AS kind, round(count(*) FILTER (regexp_matches(v, '{rx}')) / count(v), 9) AS share FROM (SELECT {e} AS v FROM pages) HAVING count(*) FILTER (regexp_matches(v, '{rx}')) > 0" for c, e in (("url", "url"), ("host", "split_part(url, '/', 3)"), ("page_id", "page_id::VARCHAR")) for k, rx in _SCAN))
 def _(s, d):
-    p = t(s, d, "pages")
-    v = p.select(F.col("url").alias("v")).unionByName(p.select(F.split_part("url", F.lit("/"), F.lit(3)).alias("v"))).unionByName(t(s, d, "documents").select(F.col("source").alias("v")))
-    return v.agg(*[F.count_if(F.col("v").rlike(rx)).alias(f"n_{k}") for k, rx in V.SEMANTICS.items()])
+    flat = raw_profile.flat_text(t(s, d, "pages").select("url", F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), "page_id"))
+    return s.createDataFrame([(c, k, round(x, 9)) for c, kinds in raw_profile.semantics(flat).items() for k, x in kinds.items()], "col string, kind string, share double")
 
 
 @query("shapes", r"SELECT left(regexp_replace(regexp_replace(left(url, 300), '\p{L}+', 'a', 'g'), '\p{N}+', '9', 'g'), 80) AS shape, count(*) AS n FROM pages GROUP BY 1")
@@ -421,31 +434,83 @@ def _(s, d):
     return t(s, d, "pages").groupBy(C.shape(F.col("url")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("full_pass_profile", "SELECT count(props) AS n_props, min(length(props)) AS shortest, max(length(props)) AS longest, round(avg(length(props)), 6) AS mean, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM events")
+@query("full_pass_profile", " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) AS rows, count({c}) AS filled, min(length({c}::VARCHAR))::INTEGER AS shortest, max(length({c}::VARCHAR))::INTEGER AS longest FROM orders" for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")))
 def _(s, d):
-    return events(s, d).agg(F.count("props").alias("n_props"), F.min(F.length("props")).alias("shortest"), F.max(F.length("props")).alias("longest"), F.round(F.avg(F.length("props")), 6).alias("mean"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"))
+    found = raw_profile.full_pass(t(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+    return s.createDataFrame([(c, x["rows"], x["filled"], x["shortest"], x["longest"]) for c, x in found.items()], "col string, rows long, filled long, shortest int, longest int")
 
 
-@query("ts_scores", "WITH x AS (SELECT CASE event_id % 3 WHEN 0 THEN strftime(ts, '%d/%m/%Y %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE props END AS v FROM events) SELECT count(try_strptime(v, '%d/%m/%Y %H:%M:%S')) AS dmy, count(try_strptime(v, '%m/%d/%Y %H:%M:%S')) AS mdy, count(try_strptime(v, '%Y-%m-%d %H:%M:%S')) AS iso FROM x")
-def _(s, d):
+def written(s, d):
+    """Moments in three ways of writing, and texts that are none."""
     v = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "dd/MM/yyyy HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.col("props"))
-    x = events(s, d).select(v.alias("v"))
-    return x.agg(*[F.count(F.try_to_timestamp("v", F.lit(p))).alias(k) for k, p in (("dmy", "d/M/y H:m:s"), ("mdy", "M/d/y H:m:s"), ("iso", "y-M-d H:m:s"))])
+    return events(s, d).select(v.alias("v"))
+
+
+_WRITTEN = "WITH x AS (SELECT CASE event_id % 3 WHEN 0 THEN strftime(ts, '%d/%m/%Y %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE props END AS v FROM events)"
+_TRIED = [f for f in raw_profile.FORMATS if f.startswith("%") and "%f" not in f and "%z" not in f and "%b" not in f]
+
+
+@query("ts_scores", _WRITTEN + " " + " UNION ALL ".join(f"SELECT '{f}' AS format, round(count(try_strptime(v, '{f}')) / count(v), 9) AS share FROM x HAVING count(try_strptime(v, '{f}')) > 0" for f in _TRIED))
+def _(s, d):
+    found = raw_profile.timestamp_scores(raw_profile.flat_text(written(s, d)), "v")
+    return s.createDataFrame([(f, round(x, 9)) for f, x in found.items() if f in _TRIED], "format string, share double")
+
+
+@query("day_month", "WITH x AS (SELECT strftime(ts, '%Y-%d-%mT%H:%M') AS v FROM events WHERE day(ts) <= 12) SELECT '%Y-%m-%dT%H:%M' AS other, count(try_strptime(v, '%Y-%m-%dT%H:%M')) >= 0.95 * count(v) AND count(*) FILTER (try_strptime(v, '%Y-%m-%dT%H:%M') <> try_strptime(v, '%Y-%d-%mT%H:%M')) > 0 AS required FROM x")
+def _(s, d):
+    e = events(s, d).filter(F.dayofmonth("ts") <= 12).select(F.date_format("ts", "yyyy-dd-MM'T'HH:mm").alias("v"))
+    other = raw_profile.day_month(raw_profile.flat_text(e), "v", "%Y-%d-%mT%H:%M")
+    return s.createDataFrame([("%Y-%m-%dT%H:%M", other is not None)], "other string, required boolean")
+
+
+@query("safe_enum", "SELECT DISTINCT upper(CASE event_type WHEN 'purchase' THEN 'allow' WHEN 'error' THEN 'deny' ELSE 'success' END) AS value FROM events")
+def _(s, d):
+    e = events(s, d).select(F.upper(F.when(F.col("event_type") == "purchase", "allow").when(F.col("event_type") == "error", "deny").otherwise("success")).alias("v"))
+    return s.createDataFrame([(v,) for v in raw_profile.safe_enum(e, "v")], "value string")
 
 
 # documents
 
 @query("ioc_hashes", f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9A-Fa-f]+')) AS v FROM documents), h AS (SELECT doc_id, lower(v) AS value FROM w WHERE length(v) IN (32, 40, 64) AND regexp_matches(lower(v), '[a-f]')) SELECT CASE length(value) WHEN 64 THEN 'sha256' WHEN 40 THEN 'sha1' ELSE 'md5' END AS kind, value, count(*) AS mentions, count(DISTINCT doc_id) AS docs, NULL::VARCHAR AS tag FROM h GROUP BY 1, 2")
 def _(s, d):
-    return documents.indicators(t(s, d, "documents"), "doc_id", "text").filter(F.col("kind").isin("sha256", "sha1", "md5"))
+    return documents.indicators(t(s, d, "documents"), "doc_id", "text", ["sha256", "sha1", "md5"])
 
 
-@query("ioc_emails", r"WITH m AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}'))) AS value FROM documents) SELECT 'email' AS kind, value, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM m WHERE regexp_extract(value, '\.([a-z]+)$', 1) IN (" + ", ".join(f"'{x}'" for x in V.TLDS) + ") GROUP BY 1, 2")
+_ENDINGS = ", ".join(f"'{x}'" for x in V.TLDS)
+
+
+@query("ioc_emails", r"WITH m AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}'))) AS value FROM documents) SELECT 'email' AS kind, value, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM m WHERE regexp_extract(value, '\.([a-z]+)$', 1) IN (" + _ENDINGS + ") GROUP BY 1, 2")
 def _(s, d):
-    return documents.indicators(t(s, d, "documents"), "doc_id", "text").filter("kind = 'email'").drop("tag")
+    return documents.indicators(t(s, d, "documents"), "doc_id", "text", ["email"]).drop("tag")
+
+
+def _ioc_sql() -> str:
+    """Indicators by cutting texts at what cannot belong to one, and matching the pieces from their start."""
+    refanged = "text"
+    for rx, to in V.REFANG:
+        refanged = f"regexp_replace({refanged}, '{rx}', '{to}', 'g')"
+    label = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\."
+    known = "|".join(x.replace(".", r"\.") for x in V.KNOWN_SERVICES)
+    parts = [
+        r"SELECT id, CASE length(v) WHEN 64 THEN 'sha256' WHEN 40 THEN 'sha1' ELSE 'md5' END AS kind, lower(v) AS value FROM (SELECT id, unnest(regexp_extract_all(t, '[0-9A-Fa-f]+')) AS v FROM d) WHERE length(v) IN (32, 40, 64) AND regexp_matches(lower(v), '[a-f]')",
+        rf"SELECT id, 'ip', v FROM (SELECT id, regexp_extract(w, '^((?:\d{{1,3}}\.){{3}}\d{{1,3}})(?:\.(?:[^0-9].*)?)?$', 1) AS v FROM (SELECT id, unnest(string_split_regex(t, '[^\w.]+')) AS w FROM d)) WHERE regexp_matches(v, '{V.STRICT_IPV4}')",
+        "SELECT id, 'url', v FROM u",
+        rf"SELECT id, 'domain', v FROM (SELECT id, lower(regexp_extract(w, '^((?:{label})+[A-Za-z]{{2,24}})(?:[.@].*)?$', 1)) AS v FROM (SELECT id, unnest(string_split_regex(t, '[^\w@.-]+')) AS w FROM d)) WHERE regexp_extract(v, '\.([a-z]+)$', 1) IN ({_ENDINGS})",
+        rf"SELECT id, 'domain', h FROM (SELECT id, lower(regexp_extract(v, '://(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS h FROM u) WHERE regexp_matches(h, '^[a-z0-9.-]*\.[a-z0-9.-]*$') AND NOT regexp_matches(h, '\.onion$') AND NOT regexp_matches(h, '{V.STRICT_IPV4}')",
+        r"SELECT id, 'onion', lower(v) FROM (SELECT id, unnest(regexp_extract_all(t, '(?i)\b([a-z2-7]{10,56}\.onion)\b', 1)) AS v FROM d) WHERE length(v) IN (22, 62)",
+        rf"SELECT id, 'email', lower(v) FROM (SELECT id, unnest(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,24}}')) AS v FROM d) WHERE regexp_extract(lower(v), '\.([a-z]+)$', 1) IN ({_ENDINGS})",
+        r"SELECT id, 'cve', upper(v) FROM (SELECT id, unnest(regexp_extract_all(t, '(?i)\b(CVE-\d{4}-\d{4,7})\b', 1)) AS v FROM d)",
+    ]
+    scope = f"WITH RECURSIVE r(lo, hi, scope, place) AS ({_ranges_sql()})"
+    return (
+        rf"""{scope}, d AS (SELECT id, {refanged} AS t FROM (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages)), u AS (SELECT id, v FROM (SELECT id, regexp_replace(unnest(regexp_extract_all(t, '(?i)(?:https?|ftp)://[^\s<>"''`\])]+')), '[.,;:!?]+$', '') AS v FROM d) WHERE contains(v, '://') AND length(v) > 8),
+        m(id, kind, value) AS ({' UNION ALL '.join(parts)}), g AS (SELECT kind, value, count(*) AS mentions, count(DISTINCT id) AS docs FROM m GROUP BY 1, 2),
+        n AS (SELECT value, list_reduce(list_transform(string_split(value, '.'), lambda x: x::BIGINT), lambda a, b: a * 256 + b) AS num FROM g WHERE kind = 'ip'), p AS (SELECT DISTINCT n.value FROM n JOIN r ON n.num BETWEEN r.lo AND r.hi)
+        SELECT kind, g.value, mentions, docs, CASE WHEN kind = 'ip' AND p.value IS NOT NULL THEN 'not_public' WHEN kind = 'domain' AND regexp_matches(g.value, '(^|\.)({known})$') OR kind = 'url' AND regexp_matches(lower(regexp_extract(g.value, '://([^/:]*)', 1)), '(^|\.)({known})$') THEN 'known_service' END AS tag FROM g LEFT JOIN p ON kind = 'ip' AND p.value = g.value"""
+    )
 
 
-@query("ioc_extract")
+@query("ioc_extract", _ioc_sql())
 def _(s, d):
     docs = t(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     return documents.indicators(docs.unionByName(t(s, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))), "id", "text")
@@ -456,31 +521,61 @@ def _(s, d):
     return documents.doubtful_hex(t(s, d, "documents"), "doc_id", "text")
 
 
-@query("repeated_lines", "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS raw FROM documents), f AS (SELECT doc_id, regexp_replace(raw, '[0-9]+', '#', 'g') AS line FROM l WHERE length(raw) >= 6 AND NOT regexp_matches(raw, '^[0-9a-fA-F]+$')) SELECT line, count(DISTINCT doc_id) AS docs FROM f GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3")
+def sites(s, d):
+    """Pages by host: a host is a document, its pages are the document's."""
+    return t(s, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), "page_id", F.col("html").alias("text"))
+
+
+_LINE = rf"CASE WHEN length(trim(raw)) >= 6 AND NOT regexp_matches(trim(raw), '^[0-9a-fA-F]+$') THEN regexp_replace(lower(trim(raw)), '{V.PAGE_COUNTER}', '#/#', 'g') END"
+_REPEATED = f"l AS (SELECT id, page, {_LINE} AS line FROM (SELECT id, page, unnest(string_split(text, chr(10))) AS raw FROM pg)), rep AS (SELECT l.id, line, count(DISTINCT l.page) AS pages FROM l WHERE line IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT l.page) >= greatest(3, (SELECT ceil(0.5 * count(DISTINCT page)) FROM pg WHERE pg.id = l.id)))"
+_SITES = f"WITH RECURSIVE pg AS (SELECT split_part(url, '/', 3) AS id, page_id AS page, html AS text FROM pages), {_REPEATED}"
+
+
+@query("repeated_lines", f"{_SITES} SELECT id, line, pages FROM rep")
 def _(s, d):
-    return documents.repeated_lines(t(s, d, "documents"), "doc_id", "text")
+    return documents.repeated_lines(sites(s, d), "host", "page_id", "text")
 
 
+_CLEAN = f"parts AS (SELECT id, page, k, raw FROM (SELECT id, page, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM pg)), clean AS (SELECT id, page, coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (NOT EXISTS (SELECT 1 FROM rep WHERE rep.id = parts.id AND rep.line = {_LINE})), '') AS text FROM parts GROUP BY 1, 2)"
+
+
+@query("strip_repeated", f"{_SITES}, {_CLEAN} SELECT id AS host, page AS page_id, sha256(text) AS sha FROM clean")
+def _(s, d):
+    return documents.strip_repeated(sites(s, d), "host", "page_id", "text").select("host", "page_id", F.sha2("text", 256).alias("sha"))
+
+
+_DOCS = f"WITH RECURSIVE pg AS (SELECT doc_id AS id, 1 AS page, text FROM documents), {_REPEATED}"
+_PASSAGES = r"""blk AS (SELECT id, page, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS bs FROM pg), mer AS (SELECT id, page, CASE WHEN len(bs) = 0 THEN [] ELSE string_split(list_reduce(bs, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) < 200 THEN a || ' ' || x ELSE a || chr(1) || x END), chr(1)) END AS ms FROM blk), one AS (SELECT id, page, unnest(ms) AS rest, generate_subscripts(ms, 1) AS k FROM mer),
+piece(id, page, k, i, rest, passage) AS (SELECT id, page, k, 0, rest, NULL::VARCHAR FROM one UNION ALL SELECT id, page, k, i + 1, trim(substr(rest, cut + 1)), trim(substr(rest, 1, cut)) FROM (SELECT *, CASE WHEN length(rest) <= 1100 THEN length(rest) WHEN sp > 551 THEN sp ELSE 1100 END AS cut FROM (SELECT *, CASE WHEN strpos(substr(rest, 1, 1100), ' ') > 0 THEN 1101 - strpos(reverse(substr(rest, 1, 1100)), ' ') ELSE 0 END AS sp FROM piece WHERE length(rest) > 0))),
+psg AS (SELECT id, page, (row_number() OVER (PARTITION BY id, page ORDER BY k, i) - 1)::INTEGER AS idx, passage FROM piece WHERE passage <> '')"""
 _STOPS = "[" + ", ".join(f"'{w}'" for w in sorted(set(V.STOP_EN + V.STOP_ES))) + "]"
-_TOKENS = r"list_concat(list_filter(ws, lambda x: NOT regexp_matches(x, '[._:-]') AND length(x) >= 2 AND NOT list_contains({0}, x)), list_concat(list_filter(ws, lambda x: regexp_matches(x, '[._:-]')), list_filter(flatten(list_transform(list_filter(ws, lambda x: regexp_matches(x, '[._:-]')), lambda x: string_split_regex(x, '[._:-]'))), lambda x: length(x) >= 3 AND NOT list_contains({0}, x))))".format(_STOPS)
-_WORDS = r"regexp_extract_all(lower({0}), '[a-z0-9]+(?:[._:-][a-z0-9]+)*')"
+_TOKENS = r"list_concat(list_filter(ws, lambda x: regexp_matches(x, '[._:-]') OR (length(x) >= 2 AND NOT list_contains({0}, x))), list_filter(flatten(list_transform(list_filter(ws, lambda x: regexp_matches(x, '[._:-]')), lambda x: string_split_regex(x, '[._:-]'))), lambda x: length(x) >= 3 AND NOT list_contains({0}, x)))".format(_STOPS)
+_FOLD = r"lower(regexp_replace(strip_accents({0}), '[^\x00-\x7F]', '', 'g'))"
+_WORDS = "regexp_extract_all(" + _FOLD + r", '[a-z0-9]+(?:[._:-][a-z0-9]+)*')"
+
+
+@query("split_passages", f"{_DOCS}, {_PASSAGES} SELECT id, page, idx, sha256(passage) AS sha FROM psg")
+def _(s, d):
+    docs = t(s, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return passages.split(docs, "doc_id", "page", "text").select("id", "page", "idx", F.sha2("passage", 256).alias("sha"))
 
 
-@query("bm25_search", f"WITH d AS (SELECT doc_id AS id, {_TOKENS} AS ws FROM (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents)), q AS (SELECT item_id AS q, unnest(list_distinct({_TOKENS})) AS w FROM (SELECT item_id, {_WORDS.format('text')} AS ws FROM benchmark)), st AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM d), tf AS (SELECT id, len, w, count(*) AS tf FROM (SELECT id, len(ws) AS len, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY 1, 2, 3), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT q.q AS q, tf.id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 4) AS score FROM q JOIN tf ON q.w = tf.w JOIN df ON df.w = q.w CROSS JOIN st GROUP BY 1, 2) SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rk FROM s QUALIFY rk <= 5")
+@query("bm25_search", f"{_DOCS}, {_PASSAGES}, d AS (SELECT id, page, idx, {_TOKENS} AS ws FROM (SELECT id, page, idx, {_WORDS.format('passage')} AS ws FROM psg)), q AS (SELECT item_id AS q, unnest(list_distinct({_TOKENS})) AS w FROM (SELECT item_id, {_WORDS.format('text')} AS ws FROM benchmark)), st AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM d), tf AS (SELECT id, page, idx, len, w, count(*) AS tf FROM (SELECT id, page, idx, len(ws) AS len, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM q) GROUP BY 1, 2, 3, 4, 5), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT q.q AS q, id, page, idx, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 4) AS score FROM q JOIN tf ON q.w = tf.w JOIN df ON df.w = q.w CROSS JOIN st GROUP BY 1, 2, 3, 4) SELECT q, id, page, idx, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id, page, idx) AS rk FROM s QUALIFY rk <= 5")
 def _(s, d):
-    return documents.bm25(t(s, d, "documents"), "doc_id", "text", t(s, d, "benchmark"), "item_id", "text")
+    docs = t(s, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return passages.search(docs, "doc_id", "page", "text", t(s, d, "benchmark"), "item_id", "text")
 
 
-@query("key_sentences", rf"WITH s AS (SELECT doc_id AS id, unnest(list_zip(range(len(p)), p)) AS z FROM (SELECT doc_id, string_split_regex(text, '[.!?]\s+|\n') AS p FROM documents)), w AS (SELECT id, pos, unnest({_TOKENS}) AS w FROM (SELECT id, z[1] AS pos, {_WORDS.format('z[2]')} AS ws FROM s)), c AS (SELECT id, w, count(*) AS c FROM w GROUP BY 1, 2), x AS (SELECT w.id, pos, round(sum(c - 1) / sqrt(count(*)), 6) AS score FROM w JOIN c ON c.id = w.id AND c.w = w.w GROUP BY 1, 2) SELECT id, pos::INTEGER AS pos, score FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) <= 3")
+@query("key_sentences", rf"""{_DOCS}, cutup AS (SELECT id, page, string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?]) ([A-Z0-9¿¡"“])', '\1' || chr(10) || '\2', 'g'), chr(10)) AS p FROM pg), sen AS (SELECT id, page, pos, trim(x) AS sentence FROM (SELECT id, page, unnest(p) AS x, generate_subscripts(p, 1) - 1 AS pos FROM cutup) WHERE length(trim(x)) BETWEEN 40 AND 400 AND regexp_matches(x, '\p{{L}}')), w AS (SELECT id, page, pos, unnest(list_distinct({_TOKENS})) AS w FROM (SELECT id, page, pos, {_WORDS.format('sentence')} AS ws FROM sen)), c AS (SELECT id, w, count(*) AS c FROM w GROUP BY 1, 2), x AS (SELECT w.id, w.page, w.pos, round(sum(c - 1) / sqrt(count(*)), 6) AS score FROM w JOIN c ON c.id = w.id AND c.w = w.w GROUP BY 1, 2, 3), best AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, page, pos) <= 5) SELECT best.id AS id, best.page AS page, best.pos::INTEGER AS pos, sentence, score FROM best JOIN sen ON sen.id = best.id AND sen.page = best.page AND sen.pos = best.pos""")
 def _(s, d):
-    return documents.key_sentences(t(s, d, "documents"), "doc_id", "text")
+    return documents.key_sentences(t(s, d, "documents").select("doc_id", F.lit(1).alias("page"), "text"), "doc_id", "page", "text")
 
 
 def _in(words):
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query("language_hint", f"WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), c AS (SELECT id, len(list_filter(ws, lambda x: list_contains({_in(V.STOP_EN)}, x)))::INTEGER AS en, len(list_filter(ws, lambda x: list_contains({_in(V.STOP_ES)}, x)))::INTEGER AS es FROM w) SELECT id, en, es, CASE WHEN en > es THEN 'en' WHEN es > en THEN 'es' ELSE 'unknown' END AS hint FROM c")
+@query("language_hint", f"WITH w AS (SELECT doc_id AS id, {_WORDS.format('text')} AS ws FROM documents), c AS (SELECT id, len(list_filter(ws, lambda x: list_contains({_in(V.STOP_EN)}, x)))::INTEGER AS en, len(list_filter(ws, lambda x: list_contains({_in(V.STOP_ES)}, x)))::INTEGER AS es FROM w) SELECT id, en, es, CASE WHEN en > es THEN 'en' WHEN es > en THEN 'es' ELSE 'unknown' END AS hint FROM c")
 def _(s, d):
     return documents.language_hint(t(s, d, "documents"), "doc_id", "text")
 

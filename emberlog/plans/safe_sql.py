@@ -14,9 +14,11 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.digest import content_digest
+
 VIEW = "logs"
 #: Plan nodes that a SELECT over the view may have after analysis; anything else is rejected
-NODES = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Join", "Union", "Distinct", "Window", "SubqueryAlias", "WithCTE", "CTERelationDef", "CTERelationRef", "View", "LogicalRelation", "LogicalRDD", "LocalRelation", "OneRowRelation", "Generate", "Expand", "Deduplicate", "Intersect", "Except", "Pivot", "LogicalQueryStage", "Tail", "LateralJoin", "Sample", "Range", "ResolvedHint"}
+NODES = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Join", "Union", "Distinct", "Window", "SubqueryAlias", "WithCTE", "CTERelationDef", "CTERelationRef", "View", "LogicalRelation", "LogicalRDD", "LocalRelation", "OneRowRelation", "Generate", "Expand", "Deduplicate", "Intersect", "Except", "Pivot", "LogicalQueryStage", "Tail", "LateralJoin", "ResolvedHint"}
 #: Expressions that reach outside the data
 DENIED = {"CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "CurrentUser", "PythonUDF", "ScalaUDF", "JavaUDF", "HiveSimpleUDF", "HiveGenericUDF", "SparkPartitionID", "Version"}
 
@@ -52,7 +54,37 @@ def digest(columns: list[str], rows: list[tuple]) -> str:
     return hashlib.sha256(json.dumps([columns, lines]).encode()).hexdigest()
 
 
-def _classes(tree) -> set[str]:
+def _children(plan) -> list:
+    """Child plans and the plans of subqueries in expressions."""
+    out = []
+    for found in (plan.children(), plan.subqueries()):
+        out += [found.apply(i) for i in range(found.size())]
+    return out
+
+
+def _leaves(plan) -> tuple[set[str], set[str]]:
+    """(plan nodes, relations) of an analysed plan down to its views: what lies below a view is the table's own matter.
+
+    A relation is the name of a temporary view, or the class of any other leaf.
+    """
+    nodes, sources, todo = set(), set(), [plan]
+    while todo:
+        at = todo.pop()
+        kind = at.getClass().getSimpleName()
+        nodes.add(kind)
+        if kind == "View":
+            name = at.desc().identifier()
+            sources.add(name.table() if at.isTempView() and name.database().isEmpty() else f"view {name.table()}")
+            continue
+        below = _children(at)
+        if not below and kind not in ("OneRowRelation", "CTERelationRef"):
+            sources.add(kind)
+        todo += below
+    return nodes, sources
+
+
+def _expressions(plan) -> set[str]:
+    """Classes of everything in an analysed plan, of the view's table as well."""
     found = set()
 
     def walk(x) -> None:
@@ -65,13 +97,16 @@ def _classes(tree) -> set[str]:
             for v in x:
                 walk(v)
 
-    walk(tree)
+    walk(json.loads(plan.toJSON()))
     return found
 
 
 @dataclass
 class QueryEngine:
-    """Runs SELECTs over ``table`` as the view ``logs`` in a session of its own."""
+    """Runs SELECTs over ``table`` as the view ``logs`` in a session of its own.
+
+    ``dataset_sha256`` names the data: the manifest's where there is one, else the digest of the table's rows.
+    """
 
     table: DataFrame
     dataset_sha256: str = ""
@@ -84,7 +119,7 @@ class QueryEngine:
         jdf = self.table._jdf
         view = DataFrame(self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, jdf.queryExecution().logical()), self.spark)
         view.createOrReplaceTempView(VIEW)
-        self.dataset_sha256 = self.dataset_sha256 or hashlib.sha256(self.table.schema.json().encode()).hexdigest()
+        self.dataset_sha256 = self.dataset_sha256 or content_digest(self.table)
 
     @property
     def copy_id(self) -> str:
@@ -102,16 +137,15 @@ class QueryEngine:
         name = plan.getClass().getSimpleName()
         if name not in NODES | {"UnresolvedWith", "UnresolvedHaving", "UnresolvedSubqueryColumnAliases"}:
             raise Rejected(f"only SELECT is allowed, not {name}")
-        df = self.spark.sql(text)
-        analysed = df._jdf.queryExecution().analyzed()
-        tree = json.loads(analysed.toJSON())
-        kinds = _classes(tree)
-        plans = {x["class"].rsplit(".", 1)[-1] for x in tree if isinstance(x, dict) and "class" in x}
-        if bad := kinds & DENIED:
+        analysed = self.spark.sql(text)._jdf.queryExecution().analyzed()
+        nodes, sources = _leaves(analysed)
+        if bad := _expressions(analysed) & DENIED:
             raise Rejected(f"not allowed: {', '.join(sorted(bad))}")
-        if bad := plans - NODES:
+        if bad := nodes - NODES:
             raise Rejected(f"not allowed: {', '.join(sorted(bad))}")
-        if VIEW not in text.lower():
+        if bad := sources - {VIEW, "LocalRelation"}:
+            raise Rejected(f"only {VIEW} can be read, not {', '.join(sorted(bad))}")
+        if VIEW not in sources:
             raise Rejected(f"the statement does not read {VIEW}")
         return text
 
@@ -155,4 +189,4 @@ class QueryEngine:
 
 def sandbox(table: DataFrame) -> QueryEngine:
     """An empty twin with the same schema: statements are analysed and run without data."""
-    return QueryEngine(table.sparkSession.createDataFrame([], table.schema))
+    return QueryEngine(table.sparkSession.createDataFrame([], table.schema), "0" * 64)

@@ -7,7 +7,7 @@ from .safe_sql import QueryEngine, QueryResult, Rejected, sandbox
 
 ROWS, CELL, TOTAL = 50, 120, 8000
 #: Reasons for which a proposed query or mapping is discarded
-CODES = {"policy_rejected", "sql_error", "timeout", "no_logs_reference", "unknown_canonical", "unknown_field", "already_mapped", "duplicate_id", "over_limit"}
+CODES = {"policy_rejected", "sql_error", "timeout", "no_logs_reference", "unknown_canonical", "unknown_field", "already_mapped", "not_in_profile_mapping", "not_mapped_yet", "duplicate_id", "over_limit"}
 
 
 def shown(result: QueryResult) -> str:
@@ -52,36 +52,47 @@ class Toolkit:
         return documents.injection_scan(self.engine.table, column).count()
 
 
-def review(proposals: list[dict], table, known: set[str], most: int = 20) -> tuple[list[dict], list[tuple[str, str]]]:
-    """(accepted, discarded with a code) of proposed queries and field mappings, tried on an empty twin of the table."""
+def review(proposals: list[dict], table, known: set[str], most: int = 20, proposed: dict[str, str] | None = None, mapped: set[str] | None = None) -> tuple[list[dict], list[tuple[str, str]]]:
+    """(accepted, discarded with a code) of proposed queries and field mappings, tried on an empty twin of the table.
+
+    ``proposed``: canonical column -> field of the profile's mapping; a proposal that says ``confirm`` must be in it.
+    ``mapped``: columns that are mapped already; a query that says what it ``needs`` waits for them.
+    """
     engine, ok, out, ids = sandbox(table), [], [], set()
-    mapped: set[str] = set()
+    done = set(mapped or ())
     for p in proposals:
-        code = None
-        if p["id"] in ids:
-            code = "duplicate_id"
-        elif len(ok) >= most:
-            code = "over_limit"
-        elif "sql" in p:
-            try:
-                engine.query(p["sql"])
-            except Rejected as e:
-                code = "no_logs_reference" if "does not read" in str(e) else "policy_rejected"
-            except TimeoutError:
-                code = "timeout"
-            except Exception:  # noqa: BLE001  whatever Spark says, the statement does not run
-                code = "sql_error"
-        elif p.get("canonical") not in known:
-            code = "unknown_canonical"
-        elif p.get("field") not in table.columns:
-            code = "unknown_field"
-        elif p["canonical"] in mapped:
-            code = "already_mapped"
-        else:
-            mapped.add(p["canonical"])
+        code = _refusal(p, engine, table, known, proposed, done, mapped)
+        code = "duplicate_id" if p["id"] in ids else "over_limit" if len(ok) >= most else code
         ids.add(p["id"])
         if code:
+            assert code in CODES
             out.append((p["id"], code))
-        else:
-            ok.append(p)
+            continue
+        if "sql" not in p:
+            done.add(p["canonical"])
+        ok.append(p)
     return ok, out
+
+
+def _refusal(p: dict, engine: QueryEngine, table, known: set[str], proposed: dict[str, str] | None, done: set[str], mapped: set[str] | None) -> str | None:
+    if "sql" in p:
+        if mapped is not None and set(p.get("needs", ())) - done:
+            return "not_mapped_yet"
+        try:
+            engine.query(p["sql"])
+        except Rejected as e:
+            return "no_logs_reference" if "does not read" in str(e) else "policy_rejected"
+        except TimeoutError:
+            return "timeout"
+        except Exception:  # noqa: BLE001  whatever Spark says, the statement does not run
+            return "sql_error"
+        return None
+    if p.get("canonical") not in known:
+        return "unknown_canonical"
+    if p.get("field") not in table.columns:
+        return "unknown_field"
+    if p["canonical"] in done:
+        return "already_mapped"
+    if p.get("confirm") and (proposed or {}).get(p["canonical"]) != p["field"]:
+        return "not_in_profile_mapping"
+    return None

@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.digest import content_digest
 from ..operators import detectors, privacy, profile
-from ..sources import ingest, raw_profile
+from ..sources import ingest, raw_profile, store
 from ..sources.readers import open_source
 from .ledger import Ledger
 from .safe_sql import QueryEngine
 
+#: Rows of a profile's block, and findings of a detector, that go to the ledger; it says where there are more.
+MOST = 100
 STAGES = ["draft", "ingest", "copy", "profile", "detectors", "correlate"]
 
 
 class Case:
-    """A folder with the canonical table, its pseudonymised copy, the ledger and the state of the stages."""
+    """The canonical table of a file, its pseudonymised copy and their manifests in a folder of any store.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
-        self.ledger = Ledger(self.folder / "ledger.jsonl")
-        self.state_file = self.folder / "state.json"
+    The ledger and the state of the stages are small files that are locked and appended, so they stay on the analyst's
+    machine: in ``local``, or in the folder itself where that is a local path.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, local: str | None = None):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        if local is None and "://" in folder:
+            raise ValueError("a case in a remote store needs a local folder for its ledger")
+        home = Path(local or folder)
+        home.mkdir(parents=True, exist_ok=True)
+        self.ledger = Ledger(home / "ledger.jsonl")
+        self.state_file, self.mapping_file = home / "state.json", home / "mapping.json"
 
     @property
     def state(self) -> dict:
@@ -32,11 +44,43 @@ class Case:
     def done(self, stage: str, facts: dict) -> None:
         self.state_file.write_text(json.dumps(self.state | {stage: facts}, default=str, indent=1))
 
+    @property
+    def manifest(self) -> dict:
+        return json.loads(store.read_text(self.spark, f"{self.folder}/canonical.manifest.json"))
+
     def table(self, copy: str = "real") -> DataFrame:
-        return self.spark.read.parquet(str(self.folder / ("canonical" if copy == "real" else "pseudonymized")))
+        return self.spark.read.parquet(f"{self.folder}/{'canonical' if copy == 'real' else 'pseudonymized'}")
 
     def engine(self, copy: str = "real") -> QueryEngine:
-        return QueryEngine(self.table(copy), copy=copy)
+        return QueryEngine(self.table(copy), self.manifest["data_sha256"] if copy == "real" else "", copy)
+
+    def dictionary(self) -> privacy.Dictionary:
+        """Values and aliases of the copy, for texts that come from or go to the analyst."""
+        names = self.state["copy"]["aliases"]
+        return privacy.Dictionary({n: self.spark.read.parquet(f"{self.folder}/aliases/{n}") for n in names})
+
+    def verify(self) -> dict[str, bool | None]:
+        """Custody checks: table, mapping and raw file against the manifest, the ledger's chain, both against the ledger.
+
+        None: nothing is recorded to check against.
+        """
+        names = ("parquet_manifest", "mapping_manifest", "raw", "ledger_chain", "parquet_ledger", "mapping_ledger")
+        out: dict[str, bool | None] = dict.fromkeys(names)
+        if not store.exists(self.spark, f"{self.folder}/canonical.manifest.json"):
+            return out | {"parquet_manifest": False}
+        made, entries = self.manifest, self.ledger.entries()
+        data = content_digest(self.table())
+        mapping = hashlib.sha256(self.mapping_file.read_bytes()).hexdigest() if self.mapping_file.exists() else None
+        out["parquet_manifest"] = data == made["data_sha256"]
+        first = next((e["data"] for e in entries if e["type"] == "case_opened"), None)
+        out["ledger_chain"] = not self.ledger.verify()
+        if store.exists(self.spark, made["input"]["path"]):
+            out["raw"] = content_digest(open_source(self.spark, made["input"]["path"])[0]) == made["input"]["sha256"]
+        if first:
+            out["mapping_manifest"] = first["mapping_sha256"] == made["mapping_sha256"]
+            out["parquet_ledger"] = first["data_sha256"] == data
+            out["mapping_ledger"] = mapping is not None and first.get("mapping_file_sha256") == mapping
+        return out
 
     def draft(self, path: str) -> dict:
         """Profile of the raw file with a proposed mapping; decisions that are open are listed."""
@@ -54,53 +98,96 @@ class Case:
         if "draft" not in self.state:
             self.done("draft", {"status": self.draft(path)["status"]})
         if "ingest" not in self.state:
-            facts = ingest.ingest(self.spark, path, mapping, str(self.folder / "canonical"), overwrite=True)
-            self.ledger.append("case_opened", facts)
+            facts = ingest.ingest(self.spark, path, mapping, f"{self.folder}/canonical", overwrite=True)
+            self.mapping_file.write_text(json.dumps(mapping.__dict__, sort_keys=True, default=str, indent=1))
+            self.ledger.append("case_opened", facts | {"mapping_file_sha256": hashlib.sha256(self.mapping_file.read_bytes()).hexdigest()})
             self.done("ingest", facts)
         real = self.table()
         if "copy" not in self.state:
-            copy, tables = privacy.pseudonymize(real)
-            copy.write.mode("overwrite").parquet(str(self.folder / "pseudonymized"))
-            for name, t in tables.items():
-                t.write.mode("overwrite").parquet(str(self.folder / "aliases" / name))
             rules = privacy.policy(real)
-            self.done("copy", {"policy": privacy.fingerprint(rules)})
-            self.ledger.append("data_copy", {"policy": privacy.fingerprint(rules), "aliases": sorted(tables)})
+            copy, tables = privacy.pseudonymize(real, rules)
+            copy.write.mode("overwrite").parquet(f"{self.folder}/pseudonymized")
+            for name, t in tables.items():
+                t.write.mode("overwrite").parquet(f"{self.folder}/aliases/{name}")
+            facts = {"policy": privacy.fingerprint(rules), "aliases": sorted(tables)}
+            self.done("copy", facts)
+            self.ledger.append("data_copy", facts)
         if "profile" not in self.state:
             blocks = profile.data_profile(real, "timestamp_utc")
-            facts = {k: [r.asDict() for r in v.limit(100).collect()] for k, v in blocks.items()}
+            facts = {}
+            for name, block in blocks.items():
+                rows = block.orderBy(*[F.col(f"`{c}`").cast("string") for c in block.columns]).limit(MOST + 1).collect()
+                facts[name] = {"rows": [r.asDict(recursive=True) for r in rows[:MOST]], "more": len(rows) > MOST}
+            text = json.dumps(facts, sort_keys=True, default=str)
+            store.write_text(self.spark, f"{self.folder}/data_profile.json", text)
             self.done("profile", {"blocks": sorted(facts)})
-            self.ledger.append("data_profile", facts)
+            self.ledger.append("data_profile", {"sha256": hashlib.sha256(text.encode()).hexdigest(), "blocks": facts})
         if "detectors" not in self.state:
+            roles = detectors.resolve_roles(real, declared=mapping.roles)
+            self.ledger.append("roles", roles)
             counts = {}
-            for name, found in detectors.run_all(real, mapping.schema, **options).items():
+            for name, found in detectors.run_all(real, mapping.schema, roles, most=MOST + 1, **options).items():
                 if isinstance(found, str):
                     counts[name] = found
                     continue
                 try:
-                    rows = found.limit(100).collect()
+                    rows = found.collect()
                 except Exception as e:  # noqa: BLE001  one detector must not stop the others
                     counts[name] = f"failed: {type(e).__name__}"
                     continue
-                counts[name] = len(rows)
-                for r in rows:
+                # findings come in a total order; what is left out is said
+                counts[name] = len(rows) if len(rows) <= MOST else f"{MOST} and more"
+                spec = detectors.REGISTRY[name]
+                for r in rows[:MOST]:
                     facts = r.asDict(recursive=True)
-                    self.ledger.add_finding(name, {k: v for k, v in facts.items() if isinstance(v, str) and k != "severity"}, facts, facts.get("severity", "info"), "real")
+                    entity = {c: facts[c] for c in spec.holds}
+                    self.ledger.add_finding(name, entity, facts | {"mitre": list(spec.mitre)}, facts.get("severity", "info"), "real")
             self.ledger.append("detector_run", counts)
             self.done("detectors", counts)
         if "correlate" not in self.state:
-            rows = [(str(next(iter(e["data"]["entity"].values()), "")), e["data"]["detector"], e["data"]["severity"]) for e in self.ledger.entries() if e["type"] == "finding"]
+            said = [e["data"] for e in self.ledger.entries() if e["type"] == "finding"]
+            # a group counts for each of its members
+            rows = [(str(x), e["detector"], e["severity"]) for e in said for v in [next(iter(e["entity"].values()), "")] for x in (v if isinstance(v, list) else [v])]
             found = self.spark.createDataFrame(rows, "entity string, detector string, severity string")
-            top = [r.asDict() for r in detectors.correlate(found).collect()]
+            top = [r.asDict() for r in detectors.correlate(found).orderBy(F.col("signals").desc(), "entity").collect()]
             self.ledger.append("correlation", {"candidates": top})
             self.done("correlate", {"candidates": len(top)})
         return self.state
 
-    def report(self) -> str:
-        """A Markdown report of what the ledger holds."""
+    def report(self, shareable: bool = False) -> str:
+        """A Markdown report of what the ledger holds; entries' texts are escaped.
+
+        ``shareable``: entities as aliases, and refused if a real value is left in the text.
+        """
         e = self.ledger.entries()
-        out = ["# Case report", "", f"Entries: {len(e)}; chain: {'holds' if not self.ledger.verify() else 'BROKEN'}", "", "## Findings", "", "| severity | detector | entity |", "|-|-|-|"]
-        found = [x["data"] for x in e if x["type"] == "finding"]
-        for f in sorted(found, key=lambda f: (-detectors.SEVERITY.get(f["severity"], 0), f["detector"], f["id"])):
-            out.append(f"| {f['severity']} | {f['detector']} | {', '.join(map(str, f['entity'].values()))} |")
-        return "\n".join(out) + "\n"
+        of = lambda kind: [x["data"] for x in e if x["type"] == kind]
+        opened, words = (of("case_opened") or [{}])[0], self.dictionary() if shareable else None
+        flat = lambda x: str(x).replace("|", "\\|").replace("<", "&lt;").replace("\n", " ")
+
+        def name(column: str, value) -> str:
+            if isinstance(value, list):
+                return ", ".join(name(column, v) for v in value)
+            return flat(words.alias(column, value) if words else value)
+
+        def entity(f: dict) -> str:
+            holds = detectors.REGISTRY[f["detector"]].holds
+            roles = (of("roles") or [{}])[-1]
+            return ", ".join(name(roles.get(h[1:], h) if h[:1] == "@" else h, f["entity"].get(c)) for c, h in holds.items())
+
+        out = ["# Case report", "", f"Entries: {len(e)}; chain: {'holds' if not self.ledger.verify() else 'BROKEN'}", ""]
+        out += ["## Data", "", f"* rows: {opened.get('rows')}", f"* time: {' to '.join(opened.get('time_range', []))}", f"* zone: {opened.get('timezone')}", f"* table: {opened.get('data_sha256')}", f"* input: {opened.get('input', {}).get('sha256')}", f"* mapping: {opened.get('mapping_sha256')}"]
+        out += ["", "## Quality", "", *([f"* {flat(w)}" for w in opened.get("warnings", [])] or ["* nothing to say"])]
+        out += ["", "## Roles", "", *[f"* {k}: {v}" for r in of("roles")[-1:] for k, v in r.items()]]
+        out += ["", "## Detectors", "", *[f"* {k}: {v}" for r in of("detector_run")[-1:] for k, v in sorted(r.items())]]
+        out += ["", "## Findings", "", "| severity | detector | entity | techniques |", "|-|-|-|-|"]
+        for f in sorted(of("finding"), key=lambda f: (-detectors.SEVERITY.get(f["severity"], 0), f["detector"], f["id"])):
+            out.append(f"| {f['severity']} | {f['detector']} | {entity(f)} | {', '.join(f['metrics'].get('mitre', []))} |")
+        actor = (of("roles") or [{}])[-1].get("actor", "src_ip")
+        out += ["", "## Signals that agree", "", *[f"* {name(actor, c['entity'])}: {', '.join(c['detectors'])} ({c['severity']})" for r in of("correlation")[-1:] for c in r["candidates"] if c["signals"] >= 2]]
+        out += ["", "## Hypotheses and notes", "", *[f"* {flat(x)}" for x in of("hypothesis") + of("note")]]
+        out += ["", "## Queries", "", *[f"* `{flat(q['sql'])}` on {q['copy']}: {q.get('rows')} rows, {q.get('result_sha256', '')[:12]}" for q in of("query")]]
+        out += ["", "## Replay", "", *[f"* entry {s}: {r}" for x in of("replay")[-1:] for s, r in x["results"]]]
+        body = "\n".join(out) + "\n"
+        if words and (left := words.real_hits(body)):
+            raise ValueError(f"the report still names {sorted(left)}")
+        return body + f"\nBody SHA-256: {hashlib.sha256(body.encode()).hexdigest()}\n"

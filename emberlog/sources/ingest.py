@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from .readers import leaves, open_source, with_source_row
+from ..functions.digest import content_digest
+from . import store
+from .readers import leaves, open_source, skipped_lines, with_source_row
 
 #: The canonical schema
 CORE = {"source_row": "bigint", "timestamp_utc": "timestamp", "src_ip": "string", "user_id": "string", "session_id": "string", "http_method": "string", "host": "string", "endpoint": "string", "query_string": "string", "status_code": "smallint", "user_agent": "string", "referer": "string", "bytes_out": "bigint"}
@@ -61,6 +63,8 @@ class Mapping:
                 raise ValueError(f"{name}: type must be one of {sorted(DERIVED_TYPES)}")
             if re.compile(d["regex"]).groups < 1:
                 raise ValueError(f"{name}: the pattern needs a group")
+            if why := java_error(d["regex"]):
+                raise ValueError(f"{name}: {why}")
         check_zone(self.timestamp.get("timezone"), bool(self.timestamp.get("timezone_fixed_offset")))
         outputs = set(CORE) | have | {"endpoint", "query_string", "http_method"}
         if wrong := [r for r in self.roles.values() if r not in outputs]:
@@ -70,6 +74,18 @@ class Mapping:
         return hashlib.sha256(json.dumps(self.__dict__, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def java_error(pattern: str) -> str | None:
+    """Why Java's regular expressions, which run it, refuse a pattern; None where no session is up to ask."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return None
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:  # noqa: BLE001  whatever Java says, the pattern does not run
+        return str(getattr(e, "java_exception", e)).splitlines()[0]
+    return None
+
+
 def check_zone(zone: object, fixed: bool = False) -> None:
     if zone is None:
         return
@@ -200,9 +216,14 @@ def quality(df: DataFrame) -> dict:
 def ingest(spark: SparkSession, path: str, mapping: Mapping, out: str, overwrite: bool = False) -> dict:
     """Read, map, sort by time and row, write Parquet (zstd), and give the manifest.
 
-    The sort is range-partitioned, so that files hold neighbouring times and later filters can skip them.
+    The sort is range-partitioned, so that files hold neighbouring times and later filters can skip them. The manifest is
+    kept beside the table and names both by the digest of their rows; a table made from other input is not replaced
+    unless ``overwrite`` says so.
     """
     raw, spec = open_source(spark, path)
+    source, beside = content_digest(raw), f"{out.rstrip('/')}.manifest.json"
+    if not overwrite and store.exists(spark, beside) and json.loads(store.read_text(spark, beside))["input"]["sha256"] != source:
+        raise ValueError(f"{out} was made from other input; overwrite to replace it")
     table = canonical(raw, mapping)
     table.orderBy("timestamp_utc", "source_row").write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").parquet(out)
     written = spark.read.parquet(out)
@@ -214,4 +235,8 @@ def ingest(spark: SparkSession, path: str, mapping: Mapping, out: str, overwrite
     if zone["provenance"] == "declared" and zone["name"] != "UTC":
         ts = F.col("timestamp_raw")
         zone |= dst_counts(written, ts, mapping.timestamp).first().asDict()
-    return {"input": {"path": path, "format": spec.format}, "output": out, "mapping_sha256": mapping.digest(), "roles": mapping.roles, "log_schema": mapping.schema, "timezone": zone, **facts, "warnings": warnings}
+    if spec.format in ("access", "panos") and (gone := skipped_lines(spark, path, spec.format)):
+        warnings.append(f"{gone} lines could not be read")
+    manifest = {"input": {"path": path, "format": spec.format, "sha256": source}, "output": out, "data_sha256": content_digest(written), "mapping_sha256": mapping.digest(), "roles": mapping.roles, "log_schema": mapping.schema, "timezone": zone, **facts, "warnings": warnings}
+    store.write_text(spark, beside, json.dumps(manifest, default=str, sort_keys=True, indent=1))
+    return manifest

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +15,13 @@ from pyspark.sql import types as T
 ENDINGS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".ndjson": "json", ".jsonl": "json", ".parquet": "parquet", ".log": "text", ".txt": "text"}
 PACKED = (".gz", ".zst", ".bz2")
 ACCESS_LOG = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?'
-PANOS = r"(?:^|[\s:])(1?,?\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2},[^,]*,(?:TRAFFIC|THREAT),.*)$"
-#: Positions in PAN-OS CSV payloads, counted from the receive time at 1
-PANOS_FIELDS = {"receive_time": 1, "type": 3, "subtype": 4, "src_ip": 7, "dst_ip": 8, "rule_name": 11, "user_id": 12, "application": 14, "src_port": 24, "dst_port": 25, "protocol": 29, "action": 30}
+PANOS = r"(?:^|[\s>])(\d*,\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2},[^,]*,(?:TRAFFIC|THREAT),.*)$"
+#: Positions in PAN-OS payloads, counted from 0
+PANOS_FIELDS = {"receive_time": 1, "type": 3, "subtype": 4, "generated_time": 6, "src_ip": 7, "dst_ip": 8, "rule_name": 11, "user_id": 12, "application": 14, "source_zone": 16, "destination_zone": 17, "session_id": 22, "src_port": 24, "dst_port": 25, "protocol": 29, "action": 30}
 PANOS_TRAFFIC = {"bytes_out": 32, "bytes_in": 33}
+PANOS_THREAT = {"url": 31, "threat_id": 32, "category": 33, "severity": 34}
 PANOS_LEAST = {"TRAFFIC": 34, "THREAT": 35}
+PANOS_DEVICE, PANOS_SERIAL = 52, 2
 
 
 @dataclass(frozen=True)
@@ -58,11 +61,9 @@ def detect_format(spark: SparkSession, path: str) -> str:
 
 
 def detect_text_log(lines: list[str]) -> str | None:
-    """panos or access by which pattern more of the lines match (half at least); PAN-OS wins ties."""
-    import re
-
+    """panos or access by which pattern more of the lines match; PAN-OS wins ties, none where no line matches."""
     pan, acc = (sum(bool(re.search(rx, x)) for x in lines) for rx in (PANOS, ACCESS_LOG))
-    if max(pan, acc) * 2 < len(lines) or not lines:
+    if not pan and not acc:
         return None
     return "panos" if pan >= acc else "access"
 
@@ -89,14 +90,33 @@ def open_source(spark: SparkSession, path: str, spec: SourceSpec | None = None)
         df = spark.read.option("multiLine", multi).option("samplingRatio", 1.0).option("prefersDecimal", False).json(path)
         return df, spec or SourceSpec(path, kind, options={"multiLine": multi})
     if kind in ("access", "panos"):
-        return (access_log if kind == "access" else panos_log)(spark.read.text(path)), spec or SourceSpec(path, kind)
+        lines = (access_log if kind == "access" else panos_log)(spark.read.text(path))
+        return lines.filter(~F.col("bad")).drop("bad"), spec or SourceSpec(path, kind)
     encoding = spec.encoding if spec else detect_encoding(spark, path)
     delimiter, header = (spec.delimiter, spec.has_header) if spec and spec.delimiter else sniff(spark, path, encoding)
     delimiter = "\t" if kind == "tsv" else delimiter
-    df = spark.read.option("sep", delimiter).option("header", bool(header)).option("inferSchema", False).option("encoding", encoding).option("multiLine", False).option("escape", '"').csv(path)
+    df = spark.read.option("sep", delimiter).option("header", bool(header)).option("inferSchema", False).option("encoding", encoding).option("multiLine", quoted_breaks(spark, path, encoding)).option("escape", '"').csv(path)
     return df, SourceSpec(path, kind, encoding, delimiter, header)
 
 
+def skipped_lines(spark: SparkSession, path: str, kind: str) -> int:
+    """Lines of a text log, blank ones aside, that its reader leaves out."""
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    return (access_log if kind == "access" else panos_log)(lines).filter("bad").count()
+
+
+def quoted_breaks(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether some line holds an odd number of quotation marks: a quoted field then goes on in the next line.
+
+    Such a file is read as a whole by one task, so it is looked for instead of assumed.
+    """
+    lines = spark.read.option("sep", "\x00").option("encoding", encoding).option("header", False).option("quote", "").csv(path)
+    if not lines.columns:
+        return False
+    marks = F.regexp_count(F.col(lines.columns[0]), F.lit('"'))
+    return not lines.filter(marks % 2 == 1).limit(1).isEmpty()
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line does not decode, then Latin-1; the whole file is looked at."""
     bad = spark.read.text(path).filter(F.contains("value", F.lit("�"))).limit(1).count()
@@ -120,10 +140,19 @@ def leaves(schema: T.StructType, most: int = 6) -> dict[str, tuple[Column, T.Dat
 
 
 def with_source_row(df: DataFrame) -> DataFrame:
-    """Number rows from 1 in file order. Partitions are counted first, so that no task numbers all rows."""
-    schema = T.StructType([T.StructField("source_row", T.LongType()), *df.schema.fields])
-    rows = df.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0]))
-    return df.sparkSession.createDataFrame(rows, schema)
+    """Number rows from 1 in file order, without leaving the JVM.
+
+    A row's place is its partition's offset, of which there are as many as partitions, plus its place there.
+    """
+    placed = df.withColumn("__at", F.monotonically_increasing_id())
+    partition = F.shiftright("__at", 33)
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(partition.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    offset, cells = 1, []
+    for p in sorted(sizes):
+        cells += [F.lit(p).cast("long"), F.lit(offset).cast("long")]
+        offset += sizes[p]
+    first = F.create_map(*cells)[partition] if cells else F.lit(1)
+    return placed.select((first + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("long").alias("source_row"), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def access_log(lines: DataFrame) -> DataFrame:
@@ -133,22 +162,29 @@ def access_log(lines: DataFrame) -> DataFrame:
     parsed = lines.select("value", *cols)
     out = parsed.select((F.col("src_ip") == "").alias("bad"), *[F.when(F.col(n) == "-", "").otherwise(F.col(n)).alias(n) for n in names])
     iso = F.date_format(F.try_to_timestamp("timestamp", F.lit("dd/MMM/yyyy:HH:mm:ss Z")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return out.withColumn("timestamp", F.coalesce(iso, "timestamp"))
+    return out.withColumn("bad", F.col("bad") | iso.isNull()).withColumn("timestamp", iso)
 
 
 def panos_log(lines: DataFrame) -> DataFrame:
-    """PAN-OS TRAFFIC and THREAT lines by field position; lines that are too short are ``bad``."""
-    payload = F.regexp_extract("value", PANOS, 1)
-    parts = F.split(F.regexp_replace(F.regexp_replace(payload, r"^1,", ""), '"', ""), ",")
-    out = lines.select(parts.alias("p"))
-    kind = F.get("p", F.lit(2))
-    least = F.when(kind == "THREAT", PANOS_LEAST["THREAT"]).otherwise(PANOS_LEAST["TRAFFIC"])
-    cols = [F.get("p", F.lit(i - 1)).alias(n) for n, i in PANOS_FIELDS.items()]
-    cols += [F.when(kind == "TRAFFIC", F.get("p", F.lit(i - 1))).alias(n) for n, i in PANOS_TRAFFIC.items()]
-    return out.select(((F.size("p") + 1 < least) | kind.isNull()).alias("bad"), *cols)
+    """PAN-OS TRAFFIC and THREAT lines by field position; lines that are too short are ``bad``.
+
+    The payload is read as CSV, so that quoted fields may hold commas. The device is its name, else its serial number.
+    """
+    width = PANOS_DEVICE + 1
+    payload = F.nullif(F.regexp_extract("value", PANOS, 1), F.lit(""))
+    parsed = lines.select(payload.alias("payload"), F.from_csv(payload, F.lit(", ".join(f"f{i} STRING" for i in range(width)))).alias("p"))
+    at = lambda i: F.col(f"p.f{i}")
+    outside = F.regexp_replace("payload", r'"(?:[^"]|"")*"', "")
+    size = F.length(outside) - F.length(F.replace(outside, F.lit(","))) + 1
+    kind = at(3)
+    least = F.when(kind == "TRAFFIC", PANOS_LEAST["TRAFFIC"]).when(kind == "THREAT", PANOS_LEAST["THREAT"])
+    cols = [F.coalesce(at(i), F.lit("")).alias(n) for n, i in PANOS_FIELDS.items()]
+    cols += [F.when(kind == k, F.coalesce(at(i), F.lit(""))).alias(n) for k, names in (("TRAFFIC", PANOS_TRAFFIC), ("THREAT", PANOS_THREAT)) for n, i in names.items()]
+    device = F.coalesce(F.nullif(at(PANOS_DEVICE), F.lit("")), at(PANOS_SERIAL)).alias("device")
+    return parsed.select(F.coalesce(size < least, F.lit(True)).alias("bad"), *cols, device)
 
 
 def pages_from_text(spark: SparkSession, path: str) -> DataFrame:
     """(page, text) of a text document whose pages are cut by form feeds; other readers can give the same table."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)

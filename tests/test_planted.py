@@ -35,12 +35,21 @@ def test_firewall_endpoint_and_parity(spark):
     one = detectors.service_fanout(logs).select("actor", "services", "severity")
     two = detectors.service_fanout(copy).select("actor", "services", "severity")
     assert privacy.parity(one, two, tables["src_ip"]).count() == 0
+    same = privacy.detector_parity(logs, copy, tables, "network")
+    assert all(x["equivalent"] for x in same.values()) and len(same) >= 8, same
     ep, planted = synthetic.endpoint(spark, logs)
+    hidden, ep_tables = privacy.pseudonymize(ep.persist())
+    same = privacy.detector_parity(ep, hidden.persist(), ep_tables, "endpoint")
+    assert all(x["equivalent"] for x in same.values()) and "lolbin_network" in same, same
     for name, want in planted.items():
         assert {r.host for r in detectors.REGISTRY[name][1](ep).collect()} == want, name
     ms = lambda d: d.select(F.col("source_row").alias("id"), "src_ip", "dst_ip", "dst_port", F.unix_millis("timestamp_utc").alias("ms"))
     got = correlation.correlate_project(ms(ep.filter("src_port IS NOT NULL AND host <> 'pc-lol'")), ms(logs.filter("action = 'ALLOW'")), within_ms=5000)
     assert got["skew_ms"] == -2500 and got["consistent"]
+    whole = lambda d, *c: ms(d).join(d.select(F.col("source_row").alias("id"), *c), "id")
+    got = correlation.correlate_project(whole(ep.filter("src_port IS NOT NULL AND host <> 'pc-lol'"), "host", "process_name"), ms(logs.filter("action = 'ALLOW'")), within_ms=5000)
+    assert got["ip_hosts"].count() == got["ip_hosts"].select("ip").distinct().count() > 5
+    assert all(1 <= len(r.processes) <= 3 for r in got["attributions"].collect())
 
 
 def test_toolkit_and_review(spark):
@@ -53,10 +62,12 @@ def test_toolkit_and_review(spark):
 
 
 def test_passages(spark, tmp_path):
-    text = "short\n\n" + "long sentence here. " * 100 + "\n\nend"
-    parts = passages.split_passages(text)
-    assert all(len(p) <= 1100 for p in parts) and parts[0].startswith("short") and " ".join(parts).split()[-1] == "end"
-    assert len(passages.prepare_for_model(["a" * 4000, "b" * 4000])[0]) == 4000
+    text = "short\n\n" + "long sentence here. " * 100 + "\n\nend\n\n" + "x" * 2500
+    parts = [r.passage for r in passages.split(spark.createDataFrame([(1, 1, text)], "d int, p int, t string"), "d", "p", "t").orderBy("idx").collect()]
+    assert all(len(p) <= 1100 for p in parts) and parts[0].startswith("short long") and parts[-1] == "x" * (len(parts[-1])) and "".join(parts).count("x") == 2500
+    assert " ".join(parts[:2]).split() == text.split()[: len(" ".join(parts[:2]).split())] and len(parts[0]) > 1050
+    told = passages.prepare_for_model([(3, "a" * 4000), (1, "b" * 4000)])
+    assert told["pages"] == [3] and told["text"] == "[p.3] " + "a" * 4000 and told["chars"] == 4006
     df = spark.createDataFrame([(1, "evil.com 8.8.8.8")], "id int, text string")
     passages.write_iocs(df, "id", "text", str(tmp_path))
     assert spark.read.option("header", True).csv(str(tmp_path / "blocklist")).count() == 2
