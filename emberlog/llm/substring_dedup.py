@@ -19,7 +19,7 @@ WINDOW = 20
 #: Bytes of input files for each block of documents, and for each shard of window hashes or passages.
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
-#: Words of passages in one automaton, and different words, each of which is one character of it.
+#: Words of passages in one automaton, and words that are told apart by one character each.
 AUTOMATON_WORDS = 250_000
 ALPHABET = 1_000_000
 #: Words of the run whose least hash tells the shard of a window.
@@ -238,54 +238,58 @@ def _send(shards: int, width: int, bits: int):
     return f
 
 
-def occurrences(docs: list[np.ndarray], passages: list[np.ndarray]) -> list[list[tuple[int, int]]]:
-    """(start, number of the passage) of every occurrence in each document (word numbers), found by automata.
+class _Letters(dict):
+    """A character for each word, given out in the order of first use; surrogates are left out."""
 
-    The passages are dealt to automata of bounded size; every document streams through each of them. A word is one
-    character of an automaton; words that occur in none of its passages share character 0.
+    def __missing__(self, word: bytes) -> str:
+        n = len(self) + 1
+        self[word] = c = chr(n if n < 0xD800 else n + 0x800)
+        return c
+
+
+def occurrences(docs: list[str], passages: list[str]) -> list[list[tuple[int, int]]]:
+    """(start, number of the passage) of every occurrence in each document, found by automata; a word is a character.
+
+    The passages are dealt to automata of bounded size; every document streams through each of them.
     """
     hits: list[list[tuple[int, int]]] = [[] for _ in docs]
     at = 0
     while at < len(passages):
-        size, vocabulary, to = 0, set(), at
-        while to < len(passages) and (to == at or (size + len(passages[to]) <= AUTOMATON_WORDS and len(vocabulary) < ALPHABET // 2)):
-            size += len(passages[to])
-            vocabulary.update(passages[to].tolist())
-            to += 1
-        known = np.array(sorted(vocabulary))
-        auto = ahocorasick.Automaton()
-        for i in range(at, to):
-            auto.add_word(_chars(np.searchsorted(known, passages[i]) + 1), (len(passages[i]), i))
+        size, auto = 0, ahocorasick.Automaton()
+        while at < len(passages) and (not size or size + len(passages[at]) <= AUTOMATON_WORDS):
+            size += len(passages[at])
+            auto.add_word(passages[at], (len(passages[at]) - 1, at))
+            at += 1
         auto.make_automaton()
         for d, found in zip(docs, hits, strict=True):
-            i = np.minimum(np.searchsorted(known, d), len(known) - 1)
-            found += [(end + 1 - n, p) for end, (n, p) in auto.iter(_chars(np.where(known[i] == d, i + 1, 0)))]
-        at = to
+            found += [(end - n, p) for end, (n, p) in auto.iter(d)]
     return hits
 
 
-def _chars(numbers: np.ndarray) -> str:
-    """Numbers as characters, with the surrogates' range left out."""
-    n = numbers.astype("<u4")
-    n[n >= 0xD800] += 0x800
-    return n.tobytes().decode("utf-32-le")
-
-
 def _late(segments: list[bytes], width: int) -> list[list[int]]:
     """For each segment, in the order of the corpus: its windows whose words start earlier, confirmed word by word."""
-    number: dict[bytes, int] = {}
-    words = [np.array([number.setdefault(w, len(number)) for w in s.split(b" ")], np.int32) for s in segments]
-    seen = Counter(w[i : i + width].tobytes() for w in words for i in range(len(w) - width + 1))
-    passages = [np.frombuffer(k, np.int32) for k, n in seen.items() if n > 1]
-    del seen
+    split = [s.split(b" ") for s in segments]
+    letters, per = _Letters(), 1
+    coded = ["".join(map(letters.__getitem__, w)) for w in split] if sum(map(len, split)) < ALPHABET else None
+    if coded is None:
+        # more words than characters, perhaps: a word is two, and occurrences start at even places
+        number: dict[bytes, int] = {}
+        per, pair = 2, lambda n: letters[n % ALPHABET] + letters[-1 - n // ALPHABET]
+        coded = ["".join(pair(number.setdefault(w, len(number))) for w in words) for words in split]
+    step = width * per
+    seen = Counter([c[i : i + step] for c in coded for i in range(0, len(c) - step + 1, per)])
+    passages = [k for k, n in seen.items() if n > 1]
+    del seen, split
     first: set[int] = set()
     late = []
-    for found in occurrences(words, passages):
+    for found in occurrences(coded, passages):
         mine = []
         for start, p in sorted(found):
-            if p in first:
-                mine.append(start)
-            first.add(p)
+            if start % per == 0:
+                if p in first:
+                    mine.append(start // per)
+                else:
+                    first.add(p)
         late.append(mine)
     return late
 

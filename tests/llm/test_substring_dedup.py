@@ -70,8 +70,7 @@ def test_edge_cases(spark, small_blocks):
 def test_packing_and_automata():
     h = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
     assert (sd.unpack_sorted(sd.pack_sorted(h)) == h).all()
-    docs = [np.array([1, 2, 3, 70000, 1, 2]), np.array([9, 3, 70000])]
-    hits = sd.occurrences(docs, [np.array([1, 2]), np.array([3, 70000])])
+    hits = sd.occurrences(["abc\U00011170ab", "ic\U00011170"], ["ab", "c\U00011170"])
     assert [sorted(x) for x in hits] == [[(0, 0), (2, 1), (4, 0)], [(1, 1)]]
 
 
@@ -94,6 +93,15 @@ def test_hash_collisions_change_nothing(spark, sf, monkeypatch):
     assert got(docs) == sorted(brute(rows, 20), key=key)
 
 
+def test_more_words_than_characters(monkeypatch):
+    rng = random.Random(2)
+    some = [" ".join(rng.choices("abcdefgh", k=30)).encode() for _ in range(20)]
+    want = sd._late(some, 3)
+    assert any(want)
+    monkeypatch.setattr(sd, "ALPHABET", 3)
+    assert sd._late(some, 3) == want
+
+
 def test_automata_decide(monkeypatch):
     a, b = b"a b c d e f", b"x c d e f y"
     assert sd._late([a, b], 4) == [[], [1]]
