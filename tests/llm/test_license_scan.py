@@ -74,3 +74,15 @@ def test_inheritance_and_edge_cases(spark):
     assert by["a/b/d/e/f.txt"].inherited == "GPL-3.0" and by["a/b/d/e/f.txt"].inherited_from == "a/b/d/COPYING"
     assert by["z/x.txt"].inherited == by["top.txt"].inherited == "GPL-3.0" and by[None].inherited is None
     assert ls.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_rows_change_nothing(spark):
+    """One row of a file, or three of it, make the same directory a licensed one or not."""
+    text = "Released under the MIT License.\n" + "other words of a file\n" * 2
+    rows = [(1, "d/a.txt", text), (2, "d/b.txt", "plain words")]
+    once = {r.doc_id: tuple(r) for r in ls.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    thrice = ls.scan(spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, path string, text string")).collect()
+    assert len(thrice) == 4
+    assert {r.doc_id: (r.license, r.inherited) for r in thrice} == {i: (r[2], r[5]) for i, r in once.items()}
+    apart = ls.scan(spark.createDataFrame([(1, "p/a", "Released under the MIT License."), (1, "p/a", "nothing here")], "doc_id long, path string, text string")).collect()
+    assert sorted((r.license or "") for r in apart) == ["", "MIT"]

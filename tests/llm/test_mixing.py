@@ -62,3 +62,47 @@ def test_edge_cases(spark):
     assert mixing.take(df).columns == df.columns
     over = spark.createDataFrame([(1, "a b", ["x", "y", None]), (2, "a b c d", ["x"]), (3, "q", []), (4, "r s t", ["y", "y"])], "doc_id long, text string, source array<string>")
     assert {r.doc_id for r in mixing.mix(over).collect()} == {1, 2, 3, 4}
+
+
+def test_overlapping_sources(spark):
+    """Each source of an overlap comes near its target, by the flow worked out for patterns; most documents once before any twice."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(1, 30), rng.choice([["a"], ["a", "b"], ["b", "c"], ["c"], ["a", "b", "c"], [], None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    sizes, patterns = {}, {}
+    for _, t, s in rows:
+        p = tuple(sorted(s)) if s else (None,)
+        patterns[p] = patterns.get(p, 0) + t.count("w")
+        for x in p:
+            sizes[x] = sizes.get(x, 0) + t.count("w")
+    goal = mixing.targets(sizes)
+    flows = mixing.route(patterns, goal)
+    for x, g in goal.items():
+        assert abs(sum(f.get(x, 0) for f in flows.values()) - g) <= 1 or sum(patterns[p] * 3 for p in patterns if x in p) < g
+    taken = {}
+    for i, t, s in rows:
+        p = tuple(sorted(s)) if s else (None,)
+        r = got[i]
+        assert r.size == t.count("w") and 0 <= r.taken <= 3 * r.size and r.source_size == sum(sizes[x] for x in p)
+        taken[p] = taken.get(p, 0) + r.taken
+    for p, n in taken.items():
+        assert abs(n - sum(flows[p].values())) <= 16
+
+
+def test_too_many_patterns_are_refused(spark):
+    import pytest
+
+    df = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(12)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.mix(df, most_patterns=11)
+    assert mixing.mix(df, most_patterns=12).count() == 12
+
+
+def test_rows_without_an_id_are_told_apart_by_text(spark):
+    df = spark.createDataFrame([(None, "w " * (1 + i % 7) + str(i), "a") for i in range(300)] + [(1, "x " * 3000, "b")], "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    a = [r for r in got if r.source_size != 3000]
+    assert abs(sum(r.taken for r in a) - a[0].target) <= 8 and len({r.taken // r.size for r in a}) > 1
