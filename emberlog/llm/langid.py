@@ -92,10 +92,11 @@ def training_sample(df: DataFrame, docs_each: int, dict_bytes: int, shards: int,
     found = src.filter(draw < bound).select("__id", "__lang", draw.alias("d"), F.octet_length("__text").alias("n")).collect()
     room = dict.fromkeys(share, (docs_each, dict_bytes * shards))
     rank: dict = {}
-    for r in sorted(found, key=lambda r: (r["d"], r["__id"] is None, r["__id"] or 0)):
+    for r in sorted((r for r in found if r["__id"] is not None), key=lambda r: (r["d"], r["__id"])):
         rows, size = room[r["__lang"]]
-        if rows and r["n"] <= size and r["__id"] is not None:
-            room[r["__lang"]] = rows - 1, size - r["n"]
+        # the first row that does not fit closes its language
+        room[r["__lang"]] = (rows - 1, size - r["n"]) if r["n"] <= size else (0, 0)
+        if rows and r["n"] <= size:
             rank.setdefault((r["__lang"], r["__id"]), len(rank))
     ids = sorted({i for _, i in rank})
     samples: dict[str, list[tuple]] = {}

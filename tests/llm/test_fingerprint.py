@@ -1,8 +1,13 @@
 """Fingerprints: edits, equal texts, and collision rates against generalised Jaccard similarity."""
 
 import hashlib
+import math
+import struct
 from collections import Counter
 
+import xxhash
+from pyspark.sql import functions as F
+
 from emberlog.llm import fingerprint
 
 SCHEMA = "doc_id long, text string, n_chars string"
@@ -51,3 +56,28 @@ def test_edge_cases(spark):
     assert fingerprint.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
     one = fingerprint.fingerprints(spark.createDataFrame([(4, "abcdef", "x")], SCHEMA)).collect()
     assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
+
+
+def test_samples_against_plain_python(spark):
+    """Every sample's value from Python's own XXH64, logarithms and gamma draws."""
+    def uniform(h, part):
+        return ((h >> 21 * part & (1 << 21) - 1) + 0.5) * 0.5**21
+
+    def value(term, weight, d):
+        base = xxhash.xxh64_intdigest(struct.pack("<q", term), 42)
+        one, two = (xxhash.xxh64_intdigest(struct.pack("<i", 2 * d + k), base) for k in (0, 1))
+        r, c = -math.log(uniform(one, 0) * uniform(one, 1)), -math.log(uniform(two, 0) * uniform(two, 1))
+        b = uniform(one, 2)
+        t = math.floor(math.log(weight) / r + b)
+        return math.log(c) - r * (t - b + 1)
+
+    texts = ["a b b c c c c", "b b a", "  ", "one two three " * 40, "ünï a"]
+    rows = [(i, word, n) for i, t in enumerate(texts) for word, n in Counter(t.split()).items()]
+    df = spark.createDataFrame(rows, "id int, w string, n long").withColumn("t", F.xxhash64("w"))
+    got = df.groupBy("id").agg(*[F.min(fingerprint.sample(F.col("t"), F.ln("n"), d)).alias(f"s{d}") for d in range(fingerprint.SAMPLES)]).collect()
+    terms = {r.w: r.t for r in df.select("w", "t").distinct().collect()}
+    assert len(got) == 4
+    for r in got:
+        for d in range(fingerprint.SAMPLES):
+            want = min(value(terms[w], n, d) for w, n in Counter(texts[r.id].split()).items())
+            assert abs(r[f"s{d}"] - want) < 1e-9 * max(1.0, abs(want))
