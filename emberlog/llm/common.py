@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,12 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by a sort: many times as fast as numpy's own hashing of them."""
+    a = np.sort(a, axis=None)
+    return a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the system: workers live on and other stages need it."""
     gc.collect()

@@ -86,7 +86,7 @@ def _ordered(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(grams):
         return grams, np.zeros(0, np.int64)
     rows = np.concatenate([grams[:, -2::-1], grams[:, -1:]], axis=1)
-    letters = np.unique(rows)
+    letters = common.distinct(rows)
     if len(letters) ** rows.shape[1] < 1 << 63:
         number = np.zeros(len(rows), np.int64)
         for column in np.searchsorted(letters, rows).T:
@@ -159,7 +159,7 @@ class _Shard:
         for depth in range(order - 1):
             deep = [x for x, m in paths.items() if m.shape[1] > depth]
             made = {x: nodes[x] * self.size + paths[x][:, depth] for x in deep}
-            level = np.unique(np.concatenate(list(made.values())))
+            level = common.distinct(np.concatenate(list(made.values())))
             self.levels.append(level)
             nodes |= {x: np.searchsorted(level, v) for x, v in made.items()}
         self.backoff = [np.full(len(v), 0.0) for v in self.levels]

@@ -166,7 +166,7 @@ def _search(batches: Iterator[pa.RecordBatch], most_bits: int, crowded: int | No
     def close():
         if count < 2 or not held:
             return None
-        fps = np.unique(np.concatenate(held).view(np.uint64))
+        fps = common.distinct(np.concatenate(held).view(np.uint64))
         a, b = _forest(fps, _free_bits(current[0], current[1]), most_bits)
         return (a.view(np.int64), b.view(np.int64)) if len(a) else None
 

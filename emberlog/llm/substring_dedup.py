@@ -166,7 +166,7 @@ def _emit(shards: int, width: int, bits: int):
 
     def f(table: pa.Table) -> pa.Table:
         block = table.column("__block")[0].as_py()
-        h = np.unique(_Block(table, width, bits).hashes)
+        h = common.distinct(_Block(table, width, bits).hashes)
         cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
         some = [(s, a, b) for s, (a, b) in enumerate(pairwise(cuts)) if b > a]
         common.release()
