@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import correlation
+from ..sources import store
 
 
 def timeline(cases: dict[str, DataFrame], skew_ms: dict[str, int] | None = None, n: int = 400) -> DataFrame:
@@ -24,6 +27,20 @@ def shared(cases: dict[str, DataFrame], col: str) -> DataFrame:
     return correlation.shared_values({k: d.select(col) for k, d in cases.items() if col in d.columns})
 
 
+def correlate_cases(endpoint, firewall) -> dict:
+    """Correlate an endpoint case with a firewall case and record the result, by its hash, in both ledgers."""
+    cut = lambda d, *c: d.select(F.col("source_row").alias("id"), "src_ip", "dst_ip", "dst_port", F.unix_millis("timestamp_utc").alias("ms"), *[x for x in c if x in d.columns])
+    left = cut(endpoint.table().filter("dst_ip IS NOT NULL"), "host", "process_name")
+    found = correlation.correlate_project(left, cut(firewall.table()))
+    rows = {k: [r.asDict(recursive=True) for r in v.orderBy(*[F.col(c).cast("string") for c in v.columns if c != "processes"]).limit(100).collect()] for k, v in found.items() if k in ("ip_hosts", "attributions")}
+    facts = {"skew_ms": found["skew_ms"], "consistent": found["consistent"], "hour_hint": found.get("hour_hint"), "matched": found["pairs"].count(), **rows}
+    text = json.dumps(facts, sort_keys=True, default=str)
+    for case in (endpoint, firewall):
+        store.write_text(case.spark, f"{case.folder}/correlation.json", text)
+        case.ledger.append("correlation", {"sha256": hashlib.sha256(text.encode()).hexdigest(), "candidates": [], **facts})
+    return facts
+
+
 def report(title: str, events: DataFrame, values: DataFrame) -> str:
     out = [f"# {title}", "", "## Timeline", ""]
     out += [f"* {r['at']} {r['case']} #{r['source_row']} {r['what']}" for r in events.collect()]

@@ -8,7 +8,8 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import profile, summaries
+from ..functions import columns as C
+from ..operators import correlation, profile, summaries
 
 #: Words for columns
 WORDS = {
@@ -44,13 +45,39 @@ def filters_of(question: str, columns: list[str]) -> dict[str, str]:
     return out | ({"endpoint": m[1]} if m and "endpoint" in columns else {})
 
 
-def answer(question: str, df: DataFrame, time_col: str = "timestamp_utc") -> tuple[str, DataFrame | None]:
-    """(kind, result): the first rule that fits; ``unmatched`` without a result otherwise."""
+#: Words that point back to the question before
+BACK = r"\b(those|these|them|esas|esos|estas|estos|dichas|dichos)\b"
+
+
+def country_rollup(df: DataFrame, ranges: DataFrame, ip: str, n: int = 20) -> DataFrame:
+    """(country, events, ips): public addresses by country, most events first; an address outside all ranges has none."""
+    found = df.filter(C.ip_scope(F.col(ip)) == "public").select(F.col(ip).alias("ip"), C.ipv4_number(F.col(ip)).alias("v")).filter("v IS NOT NULL")
+    out = correlation.range_lookup(found, ranges, "v").groupBy(F.col("label").alias("country")).agg(F.count(F.lit(1)).alias("events"), F.countDistinct("ip").alias("ips"))
+    return out.orderBy(F.col("events").desc(), F.col("country").asc_nulls_last()).limit(n)
+
+
+def address_counts(df: DataFrame) -> DataFrame:
+    """(side, ips): different source, destination and, over both, all addresses."""
+    sides = [c for c in ("src_ip", "dst_ip") if c in df.columns]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("ip")) for c in sides])).alias("x")
+    each = df.select(cells).select("x.side", "x.ip").filter("ip IS NOT NULL")
+    return each.unionByName(each.withColumn("side", F.lit("all"))).groupBy("side").agg(F.countDistinct("ip").alias("ips"))
+
+
+def answer(question: str, df: DataFrame, time_col: str = "timestamp_utc", ranges: DataFrame | None = None, context: dict[str, str] | None = None) -> tuple[str, DataFrame | None]:
+    """(kind, result): the first rule that fits; ``unmatched`` without a result otherwise.
+
+    ``ranges``: (lo, hi, label) of countries. ``context``: the filters of the question before, which count again where
+    a question points back to them.
+    """
     q, cols = fold(question), df.columns
-    rows = summaries.filtered(df, filters_of(question, cols))
+    back = context if context and re.search(BACK, q) else {}
+    rows = summaries.filtered(df, {**back, **filters_of(question, cols)})
     col = column_of(question, cols)
     n = next((min(50, int(x)) for x in re.findall(r"\btop (\d+)|\b(\d+) (?:mas|most)", q) for x in x if x), 10)
     n = 1 if re.search(r"\b(which is the|cual es el|cual es la)\b", q) else n
+    if re.search(r"\b(country|countries|pais|paises)\b", q) and ranges is not None and {"src_ip", "dst_ip"} & set(cols):
+        return "countries", country_rollup(rows, ranges, col if col in ("src_ip", "dst_ip") else "src_ip" if "src_ip" in cols else "dst_ip")
     if re.search(r"\b(columns|columnas|fields|campos)\b", q):
         return "columns", df.sparkSession.createDataFrame(df.dtypes, "name string, type string")
     if re.search(r"\b(first seen|last seen|primera vez|ultima vez)\b", q) and col:
@@ -59,6 +86,8 @@ def answer(question: str, df: DataFrame, time_col: str = "timestamp_utc") -> tup
         return "relations", profile.relations(rows, "src_ip", "dst_ip", n)
     if re.search(r"\b(top|most|mas frecuentes?|principales|cual es)\b", q) and col:
         return "top", summaries.top(rows, col, n)
+    if re.search(r"\b(how many|cuantas)\b.*\bips?\b", q) and not re.search(r"\b(source|destination|origen|destino)\b", q) and {"src_ip", "dst_ip"} & set(cols):
+        return "ip_counts", address_counts(rows)
     if re.search(r"\b(distinct|different|how many|cuantos|cuantas|distintos|distintas|unicos)\b", q) and col:
         return "distinct", rows.agg(F.countDistinct(col).alias("n"))
     if re.search(r"\b(rows|events|filas|eventos|registros)\b", q):

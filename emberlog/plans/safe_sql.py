@@ -105,15 +105,19 @@ def _expressions(plan) -> set[str]:
 class QueryEngine:
     """Runs SELECTs over ``table`` as the view ``logs`` in a session of its own.
 
-    ``dataset_sha256`` names the data: the manifest's where there is one, else the digest of the table's rows.
+    With a ``zone``, the view also has ``timestamp_local``. ``dataset_sha256`` names the data: the manifest's where there is one, else the digest of the table's rows.
     """
 
     table: DataFrame
     dataset_sha256: str = ""
     copy: str = "real"
+    zone: str | None = None
     history: list[dict] = field(default_factory=list)
 
     def __post_init__(self):
+        if self.zone and "timestamp_utc" in self.table.columns:
+            self.dataset_sha256 = self.dataset_sha256 or content_digest(self.table)
+            self.table = self.table.withColumn("timestamp_local", F.from_utc_timestamp("timestamp_utc", self.zone))
         self.spark = self.table.sparkSession.newSession()
         self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
         jdf = self.table._jdf

@@ -52,7 +52,9 @@ class Case:
         return self.spark.read.parquet(f"{self.folder}/{'canonical' if copy == 'real' else 'pseudonymized'}")
 
     def engine(self, copy: str = "real") -> QueryEngine:
-        return QueryEngine(self.table(copy), self.manifest["data_sha256"] if copy == "real" else "", copy)
+        made = self.manifest
+        zone = made["timezone"]["name"] if made["timezone"]["provenance"] == "declared" else None
+        return QueryEngine(self.table(copy), made["data_sha256"] if copy == "real" else "", copy, zone)
 
     def dictionary(self) -> privacy.Dictionary:
         """Values and aliases of the copy, for texts that come from or go to the analyst."""

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from emberlog.operators import correlation, detectors, passages, privacy
+from emberlog.plans import questions
 from emberlog.plans.safe_sql import QueryEngine
 from emberlog.plans.toolkit import Toolkit, review
-from emberlog.sources import ingest, synthetic
+from emberlog.sources import ingest, raw_profile, readers, synthetic
 
 
 def test_web(spark):
@@ -71,3 +72,38 @@ def test_passages(spark, tmp_path):
     df = spark.createDataFrame([(1, "evil.com 8.8.8.8")], "id int, text string")
     passages.write_iocs(df, "id", "text", str(tmp_path))
     assert spark.read.option("header", True).csv(str(tmp_path / "blocklist")).count() == 2
+
+
+def test_styles_lead_to_the_same_log(spark, tmp_path):
+    """A firewall log in each make's names, and as syslog lines, is proposed and read back as it was."""
+    logs, _ = synthetic.firewall(spark, hosts=6, days=1)
+    logs = logs.limit(300).persist()
+    want = sorted((r.src_ip, r.dst_ip, r.dst_port, r.action) for r in logs.collect())
+    names = ("src_ip", "dst_ip", "dst_port", "action", "src_port", "protocol", "rule_name")
+    for style in synthetic.STYLES:
+        raw = synthetic.styled(logs, style)
+        fields = raw_profile.profile(raw)["mapping"]["fields"]
+        assert {c: fields.get(c) for c in names} == {c: synthetic.STYLES[style][c] for c in names}, style
+        m = ingest.Mapping(style, {c: fields[c] for c in names}, {"field": synthetic.STYLES[style]["timestamp_utc"], "format": "%Y-%m-%d %H:%M:%S"}, schema="network")
+        got = ingest.canonical(raw, m).collect()
+        assert sorted((r.src_ip, r.dst_ip, r.dst_port, r.action) for r in got) == want, style
+        assert all(r.timestamp_utc is not None for r in got)
+    synthetic.panos_syslog(logs).coalesce(1).write.text(str(tmp_path / "fw"))
+    back, spec = readers.open_source(spark, str(tmp_path / "fw"))
+    assert spec.format == "panos" and sorted((r.src_ip, r.dst_ip, int(r.dst_port) if r.dst_port else None, r.action) for r in back.collect()) == want
+    ep, _ = synthetic.endpoint(spark, logs)
+    fields = raw_profile.profile(synthetic.falcon(ep))["mapping"]["fields"]
+    assert {fields[c] for c in ("host", "process_name", "command_line", "src_ip", "dst_ip")} == {"ComputerName", "ImageFileName", "CommandLine", "LocalAddressIP4", "RemoteAddressIP4"}
+
+
+def test_more_questions(spark):
+    logs, _ = synthetic.firewall(spark, hosts=6, days=1)
+    ranges = spark.createDataFrame([(93 << 24, (94 << 24) - 1, "NL"), (8 << 24, (9 << 24) - 1, "US")], "lo long, hi long, label string")
+    kind, got = questions.answer("which countries are the destinations", logs, ranges=ranges)
+    assert kind == "countries" and got.columns == ["country", "events", "ips"]
+    kind, got = questions.answer("How many IPs are there?", logs)
+    sides = {r.side: r.ips for r in got.collect()}
+    assert kind == "ip_counts" and sides["all"] >= max(sides["src_ip"], sides["dst_ip"])
+    few = questions.answer("how many rows", logs, context={"src_ip": "10.0.0.1"})[1].first().n
+    those = questions.answer("how many rows are those", logs, context={"src_ip": "10.0.0.1"})[1].first().n
+    assert those < few == logs.count()
