@@ -210,7 +210,8 @@ def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[s
     """Append ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` to each row.
 
     One pass without a shuffle. A null text counts as empty: no ids and an empty decoded text. Very long words are
-    merged in O(n log n). Repeated rows give repeated results. Input columns with the outputs' names are replaced.
+    merged in O(n log n); pairs of equal rank merge from the left. Repeated rows give repeated results, an empty table an
+    empty one. Input columns with the outputs' names are replaced.
     """
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 

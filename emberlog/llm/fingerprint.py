@@ -97,7 +97,11 @@ def fingerprints(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id",
     the next document's, in descending order of ids. A null text counts as empty; texts without a word have the
     fingerprint of zeros and are alike to each other. Null ids form one document, ordered last. Rows that repeat an id
     are each edited by the next smaller id's text (the greatest, where that id repeats); the next document's likeness
-    is then that of its greatest fingerprint. Repeated rows are kept. One document is its own successor.
+    is then that of its greatest fingerprint. Repeated rows are kept. One document is its own successor; an empty table
+    gives an empty one. A text of any length is sampled whole. Of the input only id and text are read, so that other
+    columns may have any name.
+
+    A likeness of 48 samples has a standard error of 0.072 at 0.5 (64 samples: 0.063); more cost CPU in proportion.
 
     Plan: documents are dealt by id once, and that shuffle serves as text and as its neighbour's beginning; words,
     weights and samples are then aggregated without another one.

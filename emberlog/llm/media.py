@@ -137,7 +137,8 @@ def media_columns(df: DataFrame, text_col: str = "text", kind: str = "pgm", tile
 
     Appends ``media`` (the stored PGM or BMP), ``payload`` (the bytes decoded from it), ``tile`` (an NPY file of the
     area-resized image) and ``feature`` (difference hash and mean brightness). One pass without a shuffle. A null
-    text counts as empty, whose payload is 64 zero bytes. Input columns with the outputs' names are replaced.
+    text counts as empty, whose payload is 64 zero bytes. A text of any length is one image, in one worker. Repeated rows
+    give repeated results, an empty table an empty one. Input columns with the outputs' names are replaced.
     """
     fields = [T.StructField("media", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("tile", T.BinaryType()), T.StructField("feature", T.StringType())]
     encode = {"pgm": encode_netpbm, "bmp": encode_bmp}[kind]

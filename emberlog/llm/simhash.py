@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,7 +225,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Copies are folded into one fingerprint before links are searched, so groups of any size cost one member. Rows with
     a null, empty or blank text share fingerprint zero and link like any other. Repeated rows are kept. An empty
-    table gives an empty one.
+    table gives an empty one. A text of any length is hashed whole, in one worker. Of the input only id and text are
+    read, so that other columns may have any name.
     """
     src = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     rows = common.checkpoint(with_fingerprint(src, text_col="__text", keep=["__id"]))
@@ -249,7 +250,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
     kept = df.join(stay, df[id_col].eqNullSafe(F.col("__stay")), "left_semi")
     if stay.filter("__n > 1").isEmpty():
         return kept
-    return kept.dropDuplicates([id_col])
+    # of rows that repeat an id the one of least hash, so that reruns agree
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return kept.withColumn("__first", F.row_number().over(first)).filter("__first = 1").drop("__first")
 
 
 def digests(found: DataFrame) -> DataFrame:

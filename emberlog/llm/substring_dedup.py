@@ -17,8 +17,8 @@ from . import common
 
 WINDOW = 20
 #: Bytes of input files for each block of documents, and for each shard of window hashes or passages.
-BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
+SHARD_BYTES = 4 << 20
 #: Words of passages in one automaton, and words that are told apart by one character each.
 AUTOMATON_WORDS = 250_000
 ALPHABET = 1_000_000

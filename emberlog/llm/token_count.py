@@ -161,7 +161,8 @@ def count_tokens(df: DataFrame, path: str, limit: int = 512, text_col: str = "te
     """Append ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens) to each row.
 
     One pass without a shuffle over whole texts. A null text counts as empty: 0 bytes, 0 tokens, not over the limit.
-    Repeated rows give repeated results; input columns with the outputs' names are replaced.
+    A text of any length is counted whole, in one worker. Repeated rows give repeated results, an empty table an empty
+    one; input columns with the outputs' names are replaced.
     """
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
 
