@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fingerprint, kneser_ney, langid, license_scan, media, mixing, simhash, substring_dedup, token_count
+from . import bpe, byte_bpe, common, fingerprint, kneser_ney, langid, license_scan, media, mixing, simhash, substring_dedup, token_count
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +60,16 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = common.tokenizer_path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(common.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
+    return byte_bpe.digests(byte_bpe.decode(ids, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_count, op3_document_fingerprint, op4_media_columns, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_bpe_codec, op9_quality_classifier, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_count, op3_document_fingerprint, op4_media_columns, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_bpe_codec, op9_quality_classifier, op10_source_mixing, op13_byte_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
