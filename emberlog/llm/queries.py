@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_bpe, common, fingerprint, kneser_ney, langid, license_scan, media, mixing, prefix_trie, simhash, sql, substring_dedup, token_count
+from . import bpe, byte_bpe, common, fingerprint, kneser_ney, langid, license_scan, media, mixing, phrases, prefix_trie, simhash, sql, substring_dedup, token_count
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(common.table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(common.table(spark, sf_dir, "conversations"))
 
@@ -73,7 +77,7 @@ def op13_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_count, op3_document_fingerprint, op4_media_columns, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_bpe_codec, op9_quality_classifier, op10_source_mixing, op12_prefix_trie, op13_byte_bpe_codec)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_count, op3_document_fingerprint, op4_media_columns, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_bpe_codec, op9_quality_classifier, op10_source_mixing, op11_phrase_collocations, op12_prefix_trie, op13_byte_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,4 +49,48 @@ SELECT n.id AS conv_id, n.depth::BIGINT AS depth, p.parent AS parent_conv_id, n.
 FROM node n JOIN parent p USING (depth, id) JOIN rolled r USING (depth, id) LEFT JOIN kids k USING (depth, id) LEFT JOIN ended e USING (depth, id)
 """
 
-SQL = {"op12_prefix_trie": PREFIX_TRIE}
+PHRASES = r"""
+WITH words AS (
+  SELECT lang, doc, piece, unnest(w) AS word, unnest(range(len(w))) AS pos
+  FROM (
+    SELECT lang, doc, piece, regexp_extract_all(part, '[^\x20\x09]+') AS w
+    FROM (
+      SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part,
+        generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[.,;:!?\x0A-\x0D]'), 1) AS piece
+      FROM documents
+    )
+  )
+), grams AS (
+  SELECT lang, word AS w1, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY doc, piece ORDER BY pos)
+), single AS (
+  SELECT lang, w1, count(*) AS f FROM grams GROUP BY ALL
+), pair AS (
+  SELECT lang, w1, w2, count(*) AS f FROM grams WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), triple AS (
+  SELECT lang, w1, w2, w3, count(*) AS f FROM grams WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT p.lang, w1 || ' ' || w2 AS phrase, 1 AS k, p.f AS a, x.f AS l, y.f AS r
+  FROM pair p JOIN single x USING (lang, w1) JOIN single y ON y.lang = p.lang AND y.w1 = p.w2
+  WHERE NOT EXISTS (
+    SELECT 1 FROM triple t WHERE t.lang = p.lang AND (t.w1 = p.w1 AND t.w2 = p.w2 OR t.w2 = p.w1 AND t.w3 = p.w2) AND 100 * t.f >= 50 * p.f
+  )
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 1, t.f, x.f, y.f
+  FROM triple t JOIN single x USING (lang, w1) JOIN pair y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 2, t.f, x.f, y.f
+  FROM triple t JOIN pair x USING (lang, w1, w2) JOIN single y ON y.lang = t.lang AND y.w1 = t.w3
+), scored AS (
+  SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+), least AS (
+  SELECT lang, phrase, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM least
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM ranked JOIN (SELECT lang, sum(f)::BIGINT AS n FROM single GROUP BY lang) USING (lang)
+WHERE rank <= 2000
+"""
+
+SQL = {"op11_phrase_collocations": PHRASES, "op12_prefix_trie": PREFIX_TRIE}
