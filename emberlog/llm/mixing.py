@@ -33,7 +33,8 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, mo
     total = sum(sizes.values())
     free, left, got = set(order), Fraction(total), {}
     while free:
-        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        each = left / sum(weight[x] for x in free)
+        share = {s: each * weight[s] for s in free}
         over = {s for s in free if share[s] > most * sizes[s]}
         if not over:
             got.update(share)
@@ -93,10 +94,19 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST_REPEATS) ->
 
     ``patterns``: sorted tuple of sources -> words of the documents with that membership. A pattern can be taken
     ``most`` times over, the r-th time at cost r - 1 for each word, so that all documents are taken once before any
-    is repeated where quotas allow it.
+    is repeated where quotas allow it. A source that shares no document with another gets what its quota and size
+    allow; only the others need a flow.
     """
     flow, used = _Flow(), {}
+    got: dict[tuple, dict] = defaultdict(dict)
+    mixed = {s for p in patterns if len(p) > 1 for s in p}
+    for p, size in patterns.items():
+        if mixed.isdisjoint(p):
+            got[p] = {s: min(round(quotas[s]), most * size) for s in p if s in quotas}
+    quotas = {s: q for s, q in quotas.items() if s in mixed}
     for p, size in patterns.items():
+        if mixed.isdisjoint(p):
+            continue
         for r in range(most):
             flow.edge("in", ("p", p), size, r)
         for s in p:
@@ -104,34 +114,21 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST_REPEATS) ->
     for s, q in quotas.items():
         flow.edge(("s", s), "out", round(q), 0)
     flow.run("in", "out")
-    got: dict[tuple, dict] = defaultdict(dict)
     for (p, s), (e, cap) in used.items():
         got[p][s] = cap - e[1]
     return got
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_patterns: int = 100_000) -> DataFrame:
-    """(id, size, source_size, target, taken) for each row; ``taken`` is a multiple of the row's size, up to ``most``.
-
-    ``source_col`` is a string, or an array of strings where sources overlap: then ``source_size`` and ``target`` are
-    sums over the row's sources and documents are routed by their membership pattern. A null source is one of its
-    own, ordered last; nulls and repeats inside an array do not count, an empty array is the null source. Size: words
-    of the whole text (null: 0). Repeated rows each count. Reruns agree.
-
-    Only one row for each pattern reaches the driver, which the flow needs whole: more than ``most_patterns`` of them
-    are refused before they are collected. All of a pattern's documents are taken as often as its flow covers them
-    all; the remainder goes to the documents that come first by hash of seed and id (of rows without an id, by text as
-    well), up to the one that crosses it (the nearer end is chosen). Ties of the hash are ordered by id, then size. A
-    text of any length is counted whole; an empty table gives an empty one; of the input only id, text and source are
-    read, so that other columns may have any name.
-    """
+def _sized(df: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, keep: list) -> DataFrame:
+    """``keep`` with what decides a row: id, pattern, size, draw and its bins."""
     array = dict(df.dtypes)[source_col].startswith("array")
     members = F.array_sort(F.array_distinct(F.array_compact(F.col(source_col)))) if array else F.when(F.col(source_col).isNotNull(), F.array(source_col))
     members = F.when(F.size(members) > 0, members)
     # a null argument leaves the hash as it is
     draw = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
     bits = BINS.bit_length() - 1
-    sized = df.select(
+    return df.select(
+        *keep,
         F.col(id_col).alias("__id"),
         members.alias("__p"),
         word_count(text_col).alias("size"),
@@ -139,12 +136,12 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPE
         F.shiftrightunsigned(draw, 64 - bits).cast("int").alias("__b1"),
         F.shiftrightunsigned(draw, 64 - 2 * bits).bitwiseAND(F.lit(BINS - 1)).cast("int").alias("__b2"),
     )
-    sized = common.checkpoint(sized)
-    totals = sized.groupBy("__p").agg(F.sum("size").alias("n"))
-    found = totals.limit(most_patterns + 1).collect()
-    if len(found) > most_patterns:
-        raise ValueError(f"over {most_patterns} membership patterns: merge rare sources first")
-    patterns = {tuple(p) if p else (None,): n for p, n in found}
+
+
+def _taken(df: DataFrame, keep: list, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``keep`` with size, source_size, target and taken of each row: rules are found from sizes, then each row meets its own."""
+    narrow = common.checkpoint(_sized(df, seed, id_col, text_col, source_col, []))
+    patterns = {tuple(p) if p else (None,): n for p, n in narrow.groupBy("__p").agg(F.sum("size").alias("n")).collect()}
     sizes: dict = defaultdict(int)
     for p, n in patterns.items():
         for s in p:
@@ -163,19 +160,20 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPE
 
     same = F.col("__p").eqNullSafe(F.col("p"))
     short = {p: () for p, (_, rest) in plan.items() if rest}
-    first = _crossings(sized.join(rules(short, ""), same), "__b1")
+    first = _crossings(narrow.join(rules(short, ""), same), "__b1")
     cuts = {p: first.get(p, (BINS, 0)) for p in short}
-    near = sized.join(rules(cuts, ", cut int, before long"), same & (F.col("__b1") == F.col("cut"))).withColumn("rest", F.col("rest") - F.col("before"))
+    near = narrow.join(rules(cuts, ", cut int, before long"), same & (F.col("__b1") == F.col("cut"))).withColumn("rest", F.col("rest") - F.col("before"))
     second = _crossings(near, "__b2")
     told = {}
     for p in patterns:
         cut, before = cuts.get(p, (BINS, 0))
         cut2, inside = second.get(p, (BINS, 0))
         told[p] = (cut, cut2, before + inside, float(sum(goal[s] for s in p)), int(sum(sizes[s] for s in p)))
-    joined = sized.join(rules(told, ", cut int, cut2 int, before long, target double, source_size long"), same)
+    rows = _sized(df, seed, id_col, text_col, source_col, keep) if keep else narrow
+    joined = rows.join(rules(told, ", cut int, cut2 int, before long, target double, source_size long"), same)
     early = (F.col("__b1") < F.col("cut")) | ((F.col("__b1") == F.col("cut")) & (F.col("__b2") < F.col("cut2")))
     here = (F.col("__b1") == F.col("cut")) & (F.col("__b2") == F.col("cut2")) & (F.col("rest") > 0)
-    columns = [F.col("__id").alias(id_col), "size", "source_size", "target"]
+    columns = [*(c for c in rows.columns if c not in narrow.columns or c == "__id" or c == "size"), "source_size", "target"]
     clear = joined.filter(~here).select(*columns, (F.col("size") * (F.col("base") + F.when(early & (F.col("rest") > 0), 1).otherwise(0))).alias("taken"))
     order = Window.partitionBy("__p").orderBy("__h", F.col("__id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("before") + F.sum("size").over(order)
@@ -185,6 +183,24 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPE
     return clear.unionByName(edge)
 
 
+def mix(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id, size, source_size, target, taken) for each row; ``taken`` is a multiple of the row's size, up to ``most``.
+
+    ``source_col`` is a string, or an array of strings where sources overlap: then ``source_size`` and ``target`` are
+    sums over the row's sources and documents are routed by their membership pattern. A null source is one of its
+    own, ordered last; nulls and repeats inside an array do not count, an empty array is the null source. Size: words
+    of the whole text (null: 0). Repeated rows each count. Reruns agree.
+
+    One row for each pattern reaches the driver, which decides them together: their number is that of the sources and
+    of the ways in which they overlap, not of documents. All of a pattern's documents are taken as often as its flow
+    covers them all; the remainder goes to the documents that come first by hash of seed and id (of rows without an
+    id, by text as well), up to the one that crosses it (the nearer end is chosen). Ties of the hash are ordered by id,
+    then size. A text of any length is counted whole; an empty table gives an empty one; of the input only id, text and
+    source are read, so that other columns may have any name.
+    """
+    return _taken(df, [], id_col=id_col, **options).withColumnRenamed("__id", id_col)
+
+
 def _crossings(rows: DataFrame, bin_col: str) -> dict[tuple, tuple[int, int]]:
     """For each pattern, the bin in whose words its first ``rest`` words end, and the words before that bin."""
     bins = rows.groupBy("__p", "rest", bin_col).agg(F.sum("size").alias("n"))
@@ -197,9 +213,10 @@ def _crossings(rows: DataFrame, bin_col: str) -> dict[tuple, tuple[int, int]]:
 def take(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` as often as the mix takes them, all columns as they are; rows of size 0 are not taken.
 
-    Rows that repeat an id are each taken as often as the mix takes the first of them.
+    Each row is decided where it is, whether or not its id is null or repeated; only the rows of the bin in which a
+    pattern's remainder ends move, to be put in order.
     """
-    found = mix(df, id_col=id_col, **options).filter("taken > 0")
-    times = found.groupBy(F.col(id_col).alias("__taken_id")).agg(F.max(F.expr("CAST(taken DIV size AS INT)")).alias("__times"))
-    rows = df.join(times, df[id_col].eqNullSafe(F.col("__taken_id")))
-    return rows.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[df[f"`{c}`"] for c in df.columns])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("__row")
+    found = _taken(df, [row], id_col=id_col, **options).filter("taken > 0")
+    times = F.expr("explode(sequence(1, CAST(taken DIV size AS INT)))")
+    return found.select("__row", times.alias("__again")).select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,21 +238,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(named, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
-    """The rows of ``df``, all columns as they are, that stay when each group keeps the document of its smallest id.
+def one_of_each(df: DataFrame, groups_of: Callable[[DataFrame, str, str], DataFrame] = near_duplicates, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, that stay when each group keeps one: that of its smallest id.
 
-    ``groups``: (id, component_id) for each row, those of ``near_duplicates`` if not given. A row with a null id stays only as the one of a group without ids. Of rows that repeat an id, one stays.
+    ``groups_of(rows, id column, text column)`` gives (id, component_id) for each row. A document is an id and a text:
+    rows without an id are told apart by their texts and come after those with one, and of rows that repeat an id with
+    other texts each is a document of its own. Of rows that repeat both, the one of least hash stays, so that reruns
+    agree. No group loses all its rows.
     """
-    groups = near_duplicates(df, id_col, text_col) if groups is None else groups
-    found = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    stay = found.groupBy(F.col(id_col).alias("__stay")).agg(F.count(F.lit(1)).alias("__n"))
+    text = F.col(text_col).cast("string")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("text"))
+    groups = groups_of(df.select(key.alias("__key"), text.alias("__text")), "__key", "__text")
+    stay = groups.filter(F.col("__key") == F.col("component_id")).groupBy(F.col("__key").alias("__stay")).agg(F.count(F.lit(1)).alias("__n"))
     stay = common.checkpoint(stay)
-    kept = df.join(stay, df[id_col].eqNullSafe(F.col("__stay")), "left_semi")
-    if stay.filter("__n > 1").isEmpty():
-        return kept
-    # of rows that repeat an id the one of least hash, so that reruns agree
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    return kept.withColumn("__first", F.row_number().over(first)).filter("__first = 1").drop("__first")
+    alone = df.join(stay.filter("__n = 1"), key == F.col("__stay"), "left_semi")
+    many = stay.filter("__n > 1")
+    if many.isEmpty():
+        return alone
+    # the least of each is found before rows move
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    again = df.join(many, key == F.col("__stay")).groupBy("__stay").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).alias("__row"))
+    return alone.unionByName(again.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(df.columns)]))
 
 
 def digests(found: DataFrame) -> DataFrame:

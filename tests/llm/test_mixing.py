@@ -92,17 +92,31 @@ def test_overlapping_sources(spark):
         assert abs(n - sum(flows[p].values())) <= 16
 
 
-def test_too_many_patterns_are_refused(spark):
-    import pytest
-
-    df = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(12)], "doc_id long, text string, source string")
-    with pytest.raises(ValueError, match="patterns"):
-        mixing.mix(df, most_patterns=11)
-    assert mixing.mix(df, most_patterns=12).count() == 12
-
-
 def test_rows_without_an_id_are_told_apart_by_text(spark):
     df = spark.createDataFrame([(None, "w " * (1 + i % 7) + str(i), "a") for i in range(300)] + [(1, "x " * 3000, "b")], "doc_id long, text string, source string")
     got = mixing.mix(df).collect()
     a = [r for r in got if r.source_size != 3000]
     assert abs(sum(r.taken for r in a) - a[0].target) <= 8 and len({r.taken // r.size for r in a}) > 1
+
+
+def test_many_rows_without_an_id_are_taken_one_by_one(spark):
+    rows = [(None, "w " * (10 + i % 7), "big", i) for i in range(400)] + [(5, "same words here", "big", i) for i in range(50)] + [(i, "x " * 20, "small", i) for i in range(100, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mark int").repartition(3)
+    mixed = mixing.mix(df)
+    want = {r["source_size"]: r["n"] for r in mixed.groupBy("source_size").sum("taken").withColumnRenamed("sum(taken)", "n").collect()}
+    taken = mixing.take(df)
+    assert taken.columns == df.columns
+    got = {}
+    for r in taken.collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    sizes = {s: sum(len(t.split()) for _, t, x, _ in rows if x == s) for s in ("big", "small")}
+    assert got == {s: want[n] for s, n in sizes.items()}
+    goal = mixing.targets(sizes)
+    assert all(abs(got[s] - goal[s]) <= 20 for s in sizes)
+
+
+def test_over_a_hundred_thousand_sources(spark):
+    df = spark.range(200_000).selectExpr("id AS doc_id", "repeat('w ', CAST(id % 9 AS INT)) AS text", "concat('s', id) AS source")
+    got = mixing.mix(df).selectExpr("count(*) AS n", "sum(taken) AS taken", "sum(size) AS size", "sum(target) AS target", "max(taken - 3 * size) AS over").first()
+    assert got.n == 200_000 and got.over <= 0
+    assert abs(got.target - got.size) < 1e-3 * got.size and abs(got.taken - got.size) < 0.2 * got.size

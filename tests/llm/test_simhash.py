@@ -94,7 +94,7 @@ def test_whole_table_against_brute_force(spark, sf):
     got = simhash.digests(simhash.near_duplicates(docs)).collect()
     assert {r.doc_id: r.component_id for r in got} == want
     assert {r.doc_id: r.fingerprint for r in got} == {r.doc_id: f"{f:016x}" for r, f in zip(rows, fps, strict=True)}
-    kept = simhash.keep_one(docs)
+    kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == set(want.values())
 
@@ -106,9 +106,31 @@ def test_edge_cases(spark):
     assert len(got) == 7
     comp = {r.doc_id: r.component_id for r in got}
     assert comp[1] == comp[2] == comp[3] == 1 and comp[7] == comp[8] == 7 and comp[None] is None
-    kept = simhash.keep_one(df)
+    kept = simhash.one_of_each(df)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 7]
     empty = df.limit(0)
     assert simhash.near_duplicates(empty).count() == 0
     long = spark.createDataFrame([(1, "w " * 300_000, "", 0), (2, "a b c", "", 0)], EDGE)
     assert {r.fp for r in simhash.with_fingerprint(long, keep=["doc_id"]).collect()} == {np.int64(np.uint64(brute_fp("w w w")).astype(np.int64)), np.int64(np.uint64(brute_fp("a b c")).astype(np.int64))}
+
+
+def test_no_group_loses_all_its_rows(spark):
+    """Null and repeated ids: a document is an id and a text."""
+    rows = [(None, "a text of its own", "x", 1), (None, "copied words of one", "x", 2), (1, "copied words of one", "x", 3), (2, "another text here", "x", 4), (2, "quite different words", "x", 5), (2, "another text here", "x", 6), (None, "twice without an id", "x", 7), (None, "twice without an id", "x", 8), (None, None, "x", 9), (5, "", "x", 10)]
+    df = spark.createDataFrame(rows, EDGE).repartition(3)
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(kept.collect(), key=lambda r: r[3])
+    assert [r[3] for r in got if r[3] not in (4, 6, 7, 8)] == [1, 3, 5, 10]
+    assert len([r for r in got if r[3] in (4, 6)]) == 1 and len([r for r in got if r[3] in (7, 8)]) == 1 and len(got) == 6
+    assert sorted(simhash.one_of_each(df).collect(), key=lambda r: r[3]) == got
+
+
+def test_random_ids_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(40)) for _ in range(12)]
+    rows = [(rng.choice([None, None, *range(5)]), rng.choice(texts), "x", i) for i in range(120)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, EDGE).repartition(4)).collect()
+    groups = brute_components(list(range(12)), [brute_fp(t) for t in texts])
+    group = {t: groups[i] for i, t in enumerate(texts)}
+    assert sorted(group[r[1]] for r in kept) == sorted({group[r[1]] for r in rows})
