@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -13,31 +11,9 @@ from ..functions.digest import content_digest
 from ..operators import correlation, detectors, documents, passages, privacy, profile, summaries
 from ..sources import ingest, raw_profile, readers
 from . import incident, questions
+from .registry import QUERIES, SQL, events, query, t  # noqa: F401
 from .safe_sql import QueryEngine
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def f(fn):
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return f
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def events(spark: SparkSession, d: str) -> DataFrame:
-    """`events` as a canonical log: its moment in UTC and its type as the endpoint."""
-    return t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 def error():
     return F.col("event_type") == "error"
 

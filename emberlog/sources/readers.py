@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import csv_records
+
 #: File endings of formats and compressions
 ENDINGS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".ndjson": "json", ".jsonl": "json", ".parquet": "parquet", ".log": "text", ".txt": "text"}
 PACKED = (".gz", ".zst", ".bz2")
@@ -95,7 +97,11 @@ def open_source(spark: SparkSession, path: str, spec: SourceSpec | None = None)
     encoding = spec.encoding if spec else detect_encoding(spark, path)
     delimiter, header = (spec.delimiter, spec.has_header) if spec and spec.delimiter else sniff(spark, path, encoding)
     delimiter = "\t" if kind == "tsv" else delimiter
-    df = spark.read.option("sep", delimiter).option("header", bool(header)).option("inferSchema", False).option("encoding", encoding).option("multiLine", quoted_breaks(spark, path, encoding)).option("escape", '"').csv(path)
+    if quoted_breaks(spark, path, encoding):
+        # all tasks cut the records; sorting puts those that cross chunks back into their place
+        df = csv_records.read(spark, path, delimiter, bool(header), encoding).orderBy("__file", "__number").drop("__file", "__number")
+    else:
+        df = spark.read.option("sep", delimiter).option("header", bool(header)).option("inferSchema", False).option("encoding", encoding).option("escape", '"').csv(path)
     return df, SourceSpec(path, kind, encoding, delimiter, header)
 
 
@@ -108,7 +114,7 @@ def skipped_lines(spark: SparkSession, path: str, kind: str) -> int:
 def quoted_breaks(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
     """Whether some line holds an odd number of quotation marks: a quoted field then goes on in the next line.
 
-    Such a file is read as a whole by one task, so it is looked for instead of assumed.
+    Spark's own reader would read such a file in one task; ``csv_records`` does not, but needs a pass more.
     """
     lines = spark.read.option("sep", "\x00").option("encoding", encoding).option("header", False).option("quote", "").csv(path)
     if not lines.columns:
@@ -119,7 +125,7 @@ def quoted_breaks(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bo
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line does not decode, then Latin-1; the whole file is looked at."""
-    bad = spark.read.text(path).filter(F.contains("value", F.lit("�"))).limit(1).count()
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if bad else "UTF-8"
 
 
@@ -139,20 +145,26 @@ def leaves(schema: T.StructType, most: int = 6) -> dict[str, tuple[Column, T.Dat
     return out
 
 
-def with_source_row(df: DataFrame) -> DataFrame:
+#: Partitions up to which their offsets go to all tasks: 16 bytes each.
+OFFSETS_SENT = 1 << 20
+
+
+def with_source_row(df: DataFrame, sent: int = OFFSETS_SENT) -> DataFrame:
     """Number rows from 1 in file order, without leaving the JVM.
 
-    A row's place is its partition's offset, of which there are as many as partitions, plus its place there.
+    A row's place is its partition's offset plus its place there. Offsets are a table of one row for each partition,
+    which goes to all tasks up to ``sent`` rows and is joined by partition beyond.
     """
-    placed = df.withColumn("__at", F.monotonically_increasing_id())
-    partition = F.shiftright("__at", 33)
-    sizes = {r["p"]: r["n"] for r in placed.groupBy(partition.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    offset, cells = 1, []
-    for p in sorted(sizes):
-        cells += [F.lit(p).cast("long"), F.lit(offset).cast("long")]
-        offset += sizes[p]
-    first = F.create_map(*cells)[partition] if cells else F.lit(1)
-    return placed.select((first + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("long").alias("source_row"), *[F.col(f"`{c}`") for c in df.columns])
+    placed = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    sizes = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    rows, offset = [], 1
+    for p, n in sizes:
+        rows.append((p, offset))
+        offset += n
+    table = df.sparkSession.createDataFrame(rows, "__p long, __first long")
+    table = F.broadcast(table) if len(rows) <= sent else table.hint("merge")
+    met = placed.join(table, F.col("__part") == F.col("__p"))
+    return met.select((F.col("__first") + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("long").alias("source_row"), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def access_log(lines: DataFrame) -> DataFrame:
