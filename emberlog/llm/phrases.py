@@ -18,6 +18,8 @@ from . import common
 BLOCK_BYTES = 8 << 20
 #: Fragments of a bucket, which is mined at once, and occurrences from which a pivot's fragments are dealt to several.
 BUCKET_FRAGMENTS, HOT = 1 << 20, 1 << 20
+#: Parts in which a language's phrases are ranked before they are ranked together.
+PARTS = 64
 #: Bytes that end a piece, and the white space within one. Fixed values of the contract.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -282,6 +284,8 @@ def collocations(df: DataFrame, longest: int = 3, least: int = 10, top: int = 20
     spelt = left.select("ids", F.posexplode("ids").alias("at", "id")).join(words.select("id", "lang", "word"), "id").groupBy("ids").agg(F.min("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     n = words.groupBy("lang").agg(F.sum("f").alias("n"))
     named = left.join(spelt, "ids").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    first = named.withColumn("rank", rank).filter(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
+    # the first of each language are among the first of its parts, so that one task ranks PARTS * top rows at most
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    parts = named.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", place("lang", "part")).filter(F.col("rank") <= top)
+    first = parts.withColumn("rank", place("lang")).filter(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
     return first.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
