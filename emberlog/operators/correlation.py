@@ -18,6 +18,8 @@ def shared_values(parts: dict[str, DataFrame], least: int = 2, n: int = 20) -> D
 def nearest_pairs(left: DataFrame, right: DataFrame, keys: list[str], within_ms: int, left_id: str = "id", right_id: str = "id", time: str = "ms") -> DataFrame:
     """(left_id, right_id, diff_ms) of the right row nearest in time to each left row, keys null-safe equal.
 
+    ``diff_ms`` is the left row's time minus the right one's: positive where the left clock is ahead.
+
     Time is cut into buckets of ``within_ms``, over which a busy key spreads. In each (keys, bucket) both sides are
     sorted together, so that a left row sees the right rows just before and after it; from the buckets beside it only
     the last and the first right row can be nearest. The work is a sort, however many rows a burst has.
@@ -42,7 +44,7 @@ def nearest_pairs(left: DataFrame, right: DataFrame, keys: list[str], within_ms:
     seen = beside(beside(seen, -1, "hi"), 1, "lo")
     near = F.transform(F.array_compact(F.array("before", "after", "beside_hi", "beside_lo")), lambda r: F.struct(F.abs(r["ms"] - F.col("ms")).alias("d"), r["ms"].alias("ms"), r["id"].alias("id")))
     best = seen.withColumn("n", F.array_min(F.filter(near, lambda r: r["d"] <= within_ms))).filter("n IS NOT NULL")
-    return best.select(F.col("l_id").alias("left_id"), F.col("n.id").alias("right_id"), (F.col("n.ms") - F.col("ms")).alias("diff_ms"))
+    return best.select(F.col("l_id").alias("left_id"), F.col("n.id").alias("right_id"), (F.col("ms") - F.col("n.ms")).alias("diff_ms"))
 
 
 def skew_estimate(pairs: DataFrame, keys: list[str], tolerance_ms: int = 2000) -> DataFrame:
@@ -56,24 +58,34 @@ HOUR = 3_600_000
 
 
 def hour_hint(left: DataFrame, right: DataFrame, keys: list[str], within_ms: int = 120_000, time: str = "ms", most: int = 14) -> DataFrame:
-    """(hours, pairs) for offsets of -14 to 14 hours, by one equality join.
+    """(hours, connections): left rows that have a partner where the right source is moved by that many hours.
 
-    Rows that are whole hours apart, give or take ``within_ms``, share their place in the hour: a left row goes to that
-    part of the hour and its neighbours, and to its stretch of ``most + 1`` hours and its neighbours.
+    A right row covers the times up to ``within_ms`` from it. Within a key and an hour, covered times are merged into
+    stretches by one sort, of which an hour holds few however many rows a burst has. An hour of the left then gets the
+    stretches of the hours around it, each with its offset, and a row sets a bit for each offset of a stretch that
+    holds it: every connection counts once for an offset, and no pair of rows is formed.
     """
     if not 0 < within_ms <= HOUR // 2:
         raise ValueError("within_ms must be half an hour at most")
-    parts = HOUR // within_ms
-    stretch = (most + 1) * HOUR
-    part = lambda c: F.floor(F.pmod(c, F.lit(HOUR)) * parts / HOUR)
-    around = F.array_distinct(F.array(*[F.pmod(part(F.col("l_ms")) + d, F.lit(parts)) for d in (-1, 0, 1)]))
-    a = left.select(F.col(time).alias("l_ms"), *[F.col(k).alias(f"l_{k}") for k in keys]).filter("l_ms IS NOT NULL").withColumn("l_p", F.explode(around))
-    a = a.withColumn("l_s", F.explode(F.array(*[F.floor(F.col("l_ms") / stretch) + d for d in (-1, 0, 1)])))
-    b = right.select(F.col(time).alias("r_ms"), *[F.col(k).alias(f"r_{k}") for k in keys]).withColumn("r_p", part(F.col("r_ms"))).withColumn("r_s", F.floor(F.col("r_ms") / stretch))
-    on = reduce(lambda x, y: x & y, [F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}")) for k in keys], (F.col("l_p") == F.col("r_p")) & (F.col("l_s") == F.col("r_s")))
-    apart = a.join(b, on).select((F.col("r_ms") - F.col("l_ms")).alias("d")).withColumn("hours", F.round(F.col("d") / HOUR).cast("int"))
-    fits = (F.abs(F.col("d") - F.col("hours").cast("long") * HOUR) <= within_ms) & (F.col("hours") != 0) & (F.abs("hours") <= most)
-    return apart.filter(fits).groupBy("hours").agg(F.count(F.lit(1)).alias("pairs"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    right = right.filter(F.col(time).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(time).cast("long").alias("ms")).distinct()
+    reach = [F.floor((F.col("ms") + d) / HOUR).cast("long") for d in (-within_ms, within_ms)]
+    part = right.withColumn("b", F.explode(F.array_distinct(F.array(*reach))))
+    part = part.select(*names, "b", F.greatest(F.lit(0), F.col("ms") - within_ms - F.col("b") * HOUR).alias("lo"), F.least(F.lit(HOUR - 1), F.col("ms") + within_ms - F.col("b") * HOUR).alias("hi"))
+    w = Window.partitionBy(*names, "b").orderBy("lo", "hi")
+    new = (F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1).cast("int")
+    runs = part.withColumn("new", F.coalesce(new, F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*names, "b", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # an hour has at most HOUR / (2 within_ms) + 2 stretches, and 2 * most hours have it as a neighbour
+    offsets = F.array(*[F.lit(h) for h in range(-most, most + 1) if h])
+    near = runs.withColumn("h", F.explode(offsets)).groupBy(*names, (F.col("b") + F.col("h")).alias("b")).agg(F.collect_list(F.struct("h", "lo", "hi")).alias("covers"))
+    rows = left.filter(F.col(time).isNotNull()).select(*[F.col(k).alias(f"l{n}") for k, n in zip(keys, names, strict=True)], F.floor(F.col(time) / HOUR).cast("long").alias("lb"), F.pmod(F.col(time).cast("long"), F.lit(HOUR)).alias("at"))
+    on = reduce(lambda x, y: x & y, [F.col(f"l{n}").eqNullSafe(F.col(n)) for n in names], F.col("lb") == F.col("b"))
+    hit = lambda x: F.when((F.col("at") >= x["lo"]) & (F.col("at") <= x["hi"]), F.call_function("shiftleft", F.lit(1).cast("long"), (x["h"] + most).cast("int"))).otherwise(F.lit(0).cast("long"))
+    bits = rows.join(near, on).select(F.aggregate("covers", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(hit(x))).alias("mask")).filter("mask != 0")
+    told = bits.agg(*[F.count_if(F.getbit("mask", F.lit(h + most)) == 1).alias(f"h{h + most}") for h in range(-most, most + 1) if h])
+    each = F.array(*[F.struct(F.lit(h).alias("hours"), F.col(f"h{h + most}").alias("connections")) for h in range(-most, most + 1) if h])
+    return told.select(F.explode(each).alias("x")).select("x.hours", "x.connections").filter("connections > 0")
 
 
 def flows(left: DataFrame, pairs: DataFrame, right: DataFrame, keys: list[str], action: str, n: int = 25) -> DataFrame:
@@ -114,7 +126,9 @@ def attributions(connections: DataFrame, pairs: DataFrame, firewall: DataFrame,
 def correlate_project(connections: DataFrame, firewall: DataFrame, keys: tuple[str, ...] = ("src_ip", "dst_ip", "dst_port"), within_ms: int = 120_000, max_skew_ms: int = 120_000, tolerance_ms: int = 2000) -> dict:
     """Endpoint connections against firewall rows: skew, whether it is consistent, and matched pairs.
 
-    Both need ``id``, ``ms`` and the keys. The skew is consistent if half of the keys or more agree within tolerance.
+    Both need ``id``, ``ms`` and the keys. The skew, how far the connections' clock is ahead, is consistent if half of
+    the keys or more agree within tolerance; ``matched`` pairs agree with it themselves. Otherwise ``hour_hint`` says by
+    how many whole hours the firewall would have to be moved for half of the connections to have a partner.
     """
     pairs = nearest_pairs(connections, firewall, list(keys), within_ms)
     keyed = pairs.join(connections.select(F.col("id").alias("left_id"), *keys), "left_id")
@@ -122,10 +136,11 @@ def correlate_project(connections: DataFrame, firewall: DataFrame, keys: tuple[s
     skew = row["skew_ms"] if row else None
     ok = bool(row and row["keys"] and 2 * row["agree"] >= row["keys"] and abs(skew) <= max_skew_ms)
     out = {"skew_ms": skew, "consistent": ok, "pairs": pairs}
+    out["matched"] = pairs.filter(F.abs(F.col("diff_ms") - F.lit(skew)) <= tolerance_ms).count() if skew is not None else 0
     if not ok:
-        best = hour_hint(connections, firewall, list(keys), min(within_ms, HOUR // 2)).orderBy(F.col("pairs").desc(), "hours").first()
-        total = connections.count()
-        out["hour_hint"] = best["hours"] if best and 2 * best["pairs"] >= total else None
+        best = hour_hint(connections, firewall, list(keys), min(within_ms, HOUR // 2)).orderBy(F.col("connections").desc(), "hours").first()
+        total = connections.filter("ms IS NOT NULL").count()
+        out["hour_hint"] = best["hours"] if best and 2 * best["connections"] >= total else None
     if "host" in connections.columns and "src_ip" in connections.columns:
         out["ip_hosts"] = ip_hosts(connections)
     if "process_name" in connections.columns and "dst_ip" in firewall.columns:

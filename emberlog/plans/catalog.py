@@ -269,7 +269,7 @@ def sides(s, d, shift_ms=0):
 
 
 _SIDES = "WITH e AS (SELECT event_id AS id, user_id, event_type, (epoch_us(ts) + 500) // 1000 AS ms FROM events), l AS (SELECT * FROM e WHERE id % 2 = 0), r AS (SELECT * FROM e WHERE id % 2 = 1)"
-_NEAR = _SIDES + ", n AS (SELECT l.id AS left_id, r.id AS right_id, r.ms - l.ms AS diff_ms, l.user_id, l.event_type, l.ms, r.event_type AS action FROM l JOIN r ON l.user_id IS NOT DISTINCT FROM r.user_id AND l.event_type IS NOT DISTINCT FROM r.event_type AND abs(r.ms - l.ms) <= 36000000 QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY abs(r.ms - l.ms), r.ms, r.id) = 1)"
+_NEAR = _SIDES + ", n AS (SELECT l.id AS left_id, r.id AS right_id, l.ms - r.ms AS diff_ms, l.user_id, l.event_type, l.ms, r.event_type AS action FROM l JOIN r ON l.user_id IS NOT DISTINCT FROM r.user_id AND l.event_type IS NOT DISTINCT FROM r.event_type AND abs(r.ms - l.ms) <= 36000000 QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY abs(r.ms - l.ms), r.ms, r.id) = 1)"
 
 
 @query("pair_nearest", _NEAR + " SELECT left_id, right_id, diff_ms FROM n")
@@ -284,7 +284,7 @@ def _(s, d):
     return correlation.skew_estimate(pairs.join(left.select(F.col("id").alias("left_id"), "user_id", "event_type"), "left_id"), ["user_id", "event_type"], 3_600_000)
 
 
-@query("hour_hint", _SIDES + ", h AS (SELECT unnest(range(-14, 15)) AS hours) SELECT h.hours AS hours, count(*) AS pairs FROM l CROSS JOIN h JOIN r ON l.user_id IS NOT DISTINCT FROM r.user_id AND abs(l.ms + h.hours * 3600000 - r.ms) <= 600000 WHERE h.hours <> 0 GROUP BY 1")
+@query("hour_hint", _SIDES + ", h AS (SELECT unnest(range(-14, 15)) AS hours) SELECT h.hours AS hours, count(DISTINCT l.id) AS connections FROM l CROSS JOIN h JOIN r ON l.user_id IS NOT DISTINCT FROM r.user_id AND abs(r.ms + h.hours * 3600000 - l.ms) <= 600000 WHERE h.hours <> 0 GROUP BY 1")
 def _(s, d):
     return correlation.hour_hint(*sides(s, d), ["user_id"], 600_000)
 

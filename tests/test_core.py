@@ -211,7 +211,7 @@ def test_gaps_skew_and_lookup(spark):
     a = spark.createDataFrame([(i, f"h{i % 4}", 10_000 * i) for i in range(40)], "id long, src_ip string, ms long")
     b = a.withColumn("ms", F.col("ms") + 2500)
     got = correlation.correlate_project(a, b, ("src_ip",), 5000)
-    assert got["skew_ms"] == 2500 and got["consistent"] and got["pairs"].count() == 40
+    assert got["skew_ms"] == -2500 and got["consistent"] and got["pairs"].count() == got["matched"] == 40
     ranges = spark.createDataFrame([(0, 10, "a"), (100_000, 300_000, "b")], "lo long, hi long, label string")
     out = correlation.range_lookup(spark.createDataFrame([(5,), (50,), (299_999,)], "v long"), ranges, "v")
     assert {r.v: r.label for r in out.collect()} == {5: "a", 50: None, 299_999: "b"}

@@ -46,7 +46,7 @@ def test_firewall_endpoint_and_parity(spark):
         assert {r.host for r in detectors.REGISTRY[name][1](ep).collect()} == want, name
     ms = lambda d: d.select(F.col("source_row").alias("id"), "src_ip", "dst_ip", "dst_port", F.unix_millis("timestamp_utc").alias("ms"))
     got = correlation.correlate_project(ms(ep.filter("src_port IS NOT NULL AND host <> 'pc-lol'")), ms(logs.filter("action = 'ALLOW'")), within_ms=5000)
-    assert got["skew_ms"] == -2500 and got["consistent"]
+    assert got["skew_ms"] == 2500 and got["consistent"]
     whole = lambda d, *c: ms(d).join(d.select(F.col("source_row").alias("id"), *c), "id")
     got = correlation.correlate_project(whole(ep.filter("src_port IS NOT NULL AND host <> 'pc-lol'"), "host", "process_name"), ms(logs.filter("action = 'ALLOW'")), within_ms=5000)
     assert got["ip_hosts"].count() == got["ip_hosts"].select("ip").distinct().count() > 5
