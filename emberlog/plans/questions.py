@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import correlation, profile, summaries
+from ..operators import correlation, networks, profile, summaries
 
 #: Words for columns
 WORDS = {
@@ -50,9 +50,16 @@ BACK = r"\b(those|these|them|esas|esos|estas|estos|dichas|dichos)\b"
 
 
 def country_rollup(df: DataFrame, ranges: DataFrame, ip: str, n: int = 20) -> DataFrame:
-    """(country, events, ips): public addresses by country, most events first; an address outside all ranges has none."""
-    found = df.filter(C.ip_scope(F.col(ip)) == "public").select(F.col(ip).alias("ip"), C.ipv4_number(F.col(ip)).alias("v")).filter("v IS NOT NULL")
-    out = correlation.range_lookup(found, ranges, "v").groupBy(F.col("label").alias("country")).agg(F.count(F.lit(1)).alias("events"), F.countDistinct("ip").alias("ips"))
+    """(country, events, ips): public addresses by country, most events first; an address outside all ranges has none.
+
+    ``ranges``: networks (hi, lo, len, label) of either kind of address, or ranges (lo, hi, label) of IPv4 numbers.
+    """
+    found = df.filter(C.ip_scope(F.col(ip)) == "public").select(F.col(ip).alias("ip"))
+    if "len" in ranges.columns:
+        named = networks.lookup(found, "ip", ranges)
+    else:
+        named = correlation.range_lookup(found.withColumn("v", C.ipv4_number(F.col("ip"))).filter("v IS NOT NULL"), ranges, "v")
+    out = named.groupBy(F.col("label").alias("country")).agg(F.count(F.lit(1)).alias("events"), F.countDistinct("ip").alias("ips"))
     return out.orderBy(F.col("events").desc(), F.col("country").asc_nulls_last()).limit(n)
 
 
