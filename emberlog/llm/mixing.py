@@ -14,6 +14,8 @@ from . import common
 #: Most times that a document is taken, and the weights that sources get in code-point order.
 MOST_REPEATS = 3
 WEIGHTS = (5, 2, 1)
+#: Rows of a table of rules up to which it is broadcast: some 100 bytes each.
+RULES_SENT = 20_000
 #: Bins of a pattern's seeded order at each of two levels; only the bin that holds the cut is ordered in full.
 BINS = 1024
 
@@ -154,9 +156,10 @@ def _taken(df: DataFrame, keep: list, weights: tuple[int, ...] = WEIGHTS, most:
         plan[p] = [base, flows.get(p, 0) - base * n if base < most else 0]
     spark, key = df.sparkSession, lambda p: list(p) if p != (None,) else None
 
-    # rules are a table of the driver whose size Spark knows: it is broadcast below the session's bound only
+    # rules are a table of the driver: up to RULES_SENT rows of it go to all tasks, a larger one is joined by pattern
     def rules(extra: dict[tuple, tuple], names: str) -> DataFrame:
-        return spark.createDataFrame([(key(p), *plan[p], *v) for p, v in extra.items()], f"p array<string>, base int, rest long{names}")
+        table = spark.createDataFrame([(key(p), *plan[p], *v) for p, v in extra.items()], f"p array<string>, base int, rest long{names}")
+        return F.broadcast(table) if len(extra) <= RULES_SENT else table
 
     same = F.col("__p").eqNullSafe(F.col("p"))
     short = {p: () for p, (_, rest) in plan.items() if rest}
