@@ -143,3 +143,7 @@ KNOWN_SERVICES = ["x.com", "twitter.com", "torproject.org", "google.com", "micro
 # Stop words, ASCII-folded
 STOP_EN = ["the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "by", "from", "at", "as", "is", "are", "was", "were", "be", "been", "it", "its", "this", "that", "these", "those", "not", "no", "but", "if", "then", "than", "which", "who", "whom", "their", "they", "them", "we", "you", "he", "she", "his", "her", "our", "your", "has", "have", "had", "do", "does", "did", "can", "could", "would", "should", "will", "may", "might", "also", "into", "over", "under", "between", "about", "after", "before", "such"]
 STOP_ES = ["el", "la", "los", "las", "un", "una", "unos", "unas", "y", "o", "de", "del", "al", "en", "con", "por", "para", "como", "es", "son", "fue", "fueron", "ser", "se", "su", "sus", "lo", "le", "les", "que", "cual", "quien", "no", "pero", "si", "mas", "menos", "muy", "tambien", "entre", "sobre", "tras", "desde", "hasta", "este", "esta", "estos", "estas", "ese", "esa", "eso", "esto", "hay", "ha", "han", "he", "habia", "puede", "pueden", "donde", "cuando", "cuanto"]
+
+#: Columns whose bare program names a copy keeps, and the endings of programs
+PROGRAM_COLUMNS = ("process_name", "parent_process", "command_line", "file_path")
+PROGRAM_ENDINGS = (".exe", ".dll", ".bat", ".cmd", ".ps1", ".com", ".scr", ".sys", ".msi")

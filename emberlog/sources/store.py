@@ -31,6 +31,38 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none where it is not there."""
+    where, store = _at(spark, folder)
+    return [x.getPath().getName() for x in store.listStatus(where)] if store.exists(where) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, store = _at(spark, path)
+    store.delete(where, True)
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a new file; False, and nothing written, where there is one already."""
+    from . import shared
+
+    where, store = _at(spark, path)
+    local = shared.local_path(store.resolvePath(where.getParent()).toString() if store.exists(where.getParent()) else store.makeQualified(where).getParent().toString())
+    if local is not None:
+        return shared.create_local(f"{local}/{where.getName()}", text)
+    try:
+        out = store.create(where, False)
+    except Exception as e:  # noqa: BLE001  the store's own kind of error
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a temporary one of a local master."""
     sc = spark.sparkContext
