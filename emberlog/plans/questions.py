@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import correlation, networks, profile, summaries
+from ..operators import correlation, networks, presence, profile, summaries
 
 #: Words for columns
 WORDS = {
@@ -86,11 +86,18 @@ def answer(question: str, df: DataFrame, time_col: str = "timestamp_utc", ranges
     if re.search(r"\b(country|countries|pais|paises)\b", q) and ranges is not None and {"src_ip", "dst_ip"} & set(cols):
         return "countries", country_rollup(rows, ranges, col if col in ("src_ip", "dst_ip") else "src_ip" if "src_ip" in cols else "dst_ip")
     if re.search(r"\b(columns|columnas|fields|campos)\b", q):
-        return "columns", df.sparkSession.createDataFrame(df.dtypes, "name string, type string")
+        types = df.sparkSession.createDataFrame(df.dtypes, "col string, type string")
+        return "columns", types.join(profile.column_profile(rows, cols), "col", "left").withColumnRenamed("col", "name")
+    quoted = re.findall(r"[\"'\u201c\u2018\u00ab]([^\"'\u201d\u2019\u00bb]+)[\"'\u201d\u2019\u00bb]", question)
+    if re.search(r"\b(first|last|primera|ultima|seen|aparece|aparecio)\b", q) and quoted:
+        names = [c for c in cols if c not in (time_col, "source_row", "timestamp_raw")]
+        return "value_seen", presence.of_value(rows, quoted[0], names, time_col).orderBy(F.col("n").desc(), "column")
     if re.search(r"\b(first seen|last seen|primera vez|ultima vez)\b", q) and col:
         return "first_seen", profile.first_last_seen(rows, col, time_col, n)
-    if re.search(r"\b(relation|relations|pairs|relaciones|pares)\b", q) and {"src_ip", "dst_ip"} <= set(cols):
-        return "relations", profile.relations(rows, "src_ip", "dst_ip", n)
+    if re.search(r"\b(relation|relations|pairs|relaciones|pares|talks? to|habla con|se conecta con)\b", q):
+        both = next(((a, b) for a, b in profile.RELATIONS if {a, b} <= set(cols) and (col is None or col in (a, b))), None) or next(((a, b) for a, b in profile.RELATIONS if {a, b} <= set(cols)), None)
+        if both:
+            return "relations", profile.relations(rows, *both, n)
     if re.search(r"\b(top|most|mas frecuentes?|principales|cual es)\b", q) and col:
         return "top", summaries.top(rows, col, n)
     if re.search(r"\b(how many|cuantas)\b.*\bips?\b", q) and not re.search(r"\b(source|destination|origen|destino)\b", q) and {"src_ip", "dst_ip"} & set(cols):

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.digest import content_digest
 from ..operators import detectors, privacy, profile
-from ..sources import ingest, raw_profile, store
+from ..sources import custody, ingest, raw_profile, store
 from ..sources.readers import open_source
 from .ledger import Ledger
 from .safe_sql import QueryEngine
 
-#: Rows of a profile's block, and findings of a detector, that go to the ledger; it says where there are more.
+#: Rows of a profile's block, and findings of a detector, that go to the ledger; it says where there are more, and the
+#: profile's blocks are tables of the case in full.
 MOST = 100
 STAGES = ["draft", "ingest", "copy", "profile", "detectors", "correlate"]
 
@@ -61,38 +62,55 @@ class Case:
         names = self.state["copy"]["aliases"]
         return privacy.Dictionary({n: self.spark.read.parquet(f"{self.folder}/aliases/{n}") for n in names})
 
-    def verify(self) -> dict[str, bool | None]:
-        """Custody checks: table, mapping and raw file against the manifest, the ledger's chain, both against the ledger.
+    #: What ``verify`` looks at: bytes of table, mapping and input against the manifest, the ledger's chain, and bytes of
+    #: table and mapping against the ledger's first entry.
+    CHECKS = ("table", "mapping", "input", "chain", "table_in_ledger", "mapping_in_ledger")
 
-        None: nothing is recorded to check against.
-        """
-        names = ("parquet_manifest", "mapping_manifest", "raw", "ledger_chain", "parquet_ledger", "mapping_ledger")
-        out: dict[str, bool | None] = dict.fromkeys(names)
-        if not store.exists(self.spark, f"{self.folder}/canonical.manifest.json"):
-            return out | {"parquet_manifest": False}
-        made, entries = self.manifest, self.ledger.entries()
-        data = content_digest(self.table())
-        mapping = hashlib.sha256(self.mapping_file.read_bytes()).hexdigest() if self.mapping_file.exists() else None
-        out["parquet_manifest"] = data == made["data_sha256"]
+    def verify(self) -> dict[str, bool | None]:
+        """Custody checks by file bytes; False also where something is gone, None where nothing is recorded to check against."""
+        out: dict[str, bool | None] = dict.fromkeys(self.CHECKS)
+        entries = self.ledger.entries()
+        out["chain"] = not self.ledger.verify()
         first = next((e["data"] for e in entries if e["type"] == "case_opened"), None)
-        out["ledger_chain"] = not self.ledger.verify()
-        if store.exists(self.spark, made["input"]["path"]):
-            out["raw"] = content_digest(open_source(self.spark, made["input"]["path"])[0]) == made["input"]["sha256"]
+        made = self.manifest if store.exists(self.spark, f"{self.folder}/canonical.manifest.json") else None
+        mapping = hashlib.sha256(self.mapping_file.read_bytes()).hexdigest() if self.mapping_file.exists() else None
+        seal = (made or first or {}).get("custody")
+        now = None
+        if seal:
+            now = custody.current(self.spark, f"{self.folder}/canonical", seal["output"])
+        if made is None:
+            out["table"] = out["mapping"] = False
+        else:
+            out["table"] = now is not None and now == made["custody"]["output"]["root"]
+            out["mapping"] = mapping is not None and mapping == made.get("mapping_file_sha256")
+            out["input"] = custody.holds(self.spark, made["input"]["path"], made["custody"]["input"])
         if first:
-            out["mapping_manifest"] = first["mapping_sha256"] == made["mapping_sha256"]
-            out["parquet_ledger"] = first["data_sha256"] == data
-            out["mapping_ledger"] = mapping is not None and first.get("mapping_file_sha256") == mapping
+            out["table_in_ledger"] = now is not None and now == first["custody"]["output"]["root"]
+            out["mapping_in_ledger"] = mapping is not None and mapping == first.get("mapping_file_sha256")
         return out
 
+    def changed_chunks(self, what: str = "output") -> DataFrame:
+        """(name, start, was, now): chunks of the table, or of the input, that are not what was sealed."""
+        made = self.manifest
+        return custody.changes(self.spark, f"{self.folder}/canonical" if what == "output" else made["input"]["path"], made["custody"][what])
+
     def draft(self, path: str) -> dict:
-        """Profile of the raw file with a proposed mapping; decisions that are open are listed."""
+        """Profile of the raw file with a proposed mapping and derived columns; decisions that are open are listed.
+
+        What is kept, in ``raw_profile.json``, fits the size budget of a profile.
+        """
         df, _ = open_source(self.spark, path)
         found = raw_profile.profile(df)
-        time = found["timestamp"]
+        time, fields = found["timestamp"], found["mapping"]["fields"]
         open_points = [f"{c}: {fs}" for c, fs in found["mapping"]["ambiguous"].items()]
         if time.get("other_reading"):
             open_points.append(f"day and month: {time['format']} or {time['other_reading']}")
-        return found | {"status": "ready" if time and not open_points else "needs_review", "open": open_points}
+        source = next((fields[c] for c in ("uri", "request_line", "query_string") if c in fields), None)
+        derived = raw_profile.coverage(df, raw_profile.propose_derived(df, source, taken=set(fields))) if source else []
+        gaps = [f"{p['name']}: {p['gap']} of {p['present']} rows with {p['key']} give no value" for p in derived if p["gap"]]
+        out = found | {"derived": derived, "status": "ready" if time and not open_points and not gaps else "needs_review", "open": open_points + gaps}
+        store.write_text(self.spark, f"{self.folder}/raw_profile.json", json.dumps(raw_profile.trimmed(out), default=str, sort_keys=True))
+        return out
 
     def run(self, path: str, mapping: ingest.Mapping, options: dict | None = None) -> dict:
         """Run the stages that are not done yet; each one's outcome is kept and goes to the ledger."""
@@ -102,7 +120,9 @@ class Case:
         if "ingest" not in self.state:
             facts = ingest.ingest(self.spark, path, mapping, f"{self.folder}/canonical", overwrite=True)
             self.mapping_file.write_text(json.dumps(mapping.__dict__, sort_keys=True, default=str, indent=1))
-            self.ledger.append("case_opened", facts | {"mapping_file_sha256": hashlib.sha256(self.mapping_file.read_bytes()).hexdigest()})
+            facts |= {"mapping_file_sha256": hashlib.sha256(self.mapping_file.read_bytes()).hexdigest()}
+            store.write_text(self.spark, f"{self.folder}/canonical.manifest.json", json.dumps(facts, default=str, sort_keys=True, indent=1))
+            self.ledger.append("case_opened", facts)
             self.done("ingest", facts)
         real = self.table()
         if "copy" not in self.state:
@@ -118,8 +138,11 @@ class Case:
             blocks = profile.data_profile(real, "timestamp_utc")
             facts = {}
             for name, block in blocks.items():
-                rows = block.orderBy(*[F.col(f"`{c}`").cast("string") for c in block.columns]).limit(MOST + 1).collect()
-                facts[name] = {"rows": [r.asDict(recursive=True) for r in rows[:MOST]], "more": len(rows) > MOST}
+                # the whole block is a table; the profile's text shows its first rows
+                block.write.mode("overwrite").parquet(f"{self.folder}/profile/{name}")
+                whole = self.spark.read.schema(block.schema).parquet(f"{self.folder}/profile/{name}")
+                rows = whole.orderBy(*[F.col(f"`{c}`").cast("string") for c in whole.columns]).limit(MOST + 1).collect()
+                facts[name] = {"rows": [r.asDict(recursive=True) for r in rows[:MOST]], "more": len(rows) > MOST, "table": f"profile/{name}"}
             text = json.dumps(facts, sort_keys=True, default=str)
             store.write_text(self.spark, f"{self.folder}/data_profile.json", text)
             self.done("profile", {"blocks": sorted(facts)})

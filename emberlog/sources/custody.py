@@ -14,8 +14,13 @@ CHUNK, FAN = 32 << 20, 256
 
 
 def _session(spark: SparkSession, chunk: int) -> SparkSession:
-    """A session that splits files every ``chunk`` bytes, whatever the cluster and the caller's settings are."""
+    """A session that splits files every ``chunk`` bytes, whatever the cluster and the caller's settings are.
+
+    Local files are read without the store's own checksums, which would stop the read of a changed one.
+    """
     own = spark.newSession()
+    own.conf.set("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+    own.conf.set("fs.file.impl.disable.cache", "true")
     for k, v in {"maxPartitionBytes": chunk, "openCostInBytes": chunk, "minPartitionNum": 1}.items():
         own.conf.set(f"spark.sql.files.{k}", str(v))
     return own
@@ -110,11 +115,16 @@ def changes(spark: SparkSession, path: str, sealed: dict) -> DataFrame:
     return both.filter(~F.col("was").eqNullSafe(F.col("now"))).select("name", "start", F.lower(F.hex("was")).alias("was"), F.lower(F.hex("now")).alias("now"))
 
 
-def holds(spark: SparkSession, path: str, sealed: dict) -> bool:
-    """Whether the bytes at ``path`` are those that were sealed."""
+def current(spark: SparkSession, path: str, sealed: dict) -> str | None:
+    """The root of what is at ``path`` now, by the sealed size of chunks; None where nothing can be read there."""
     try:
-        return root(leaves(spark, path, sealed["chunk"]), sealed["chunk"]) == sealed["root"]
-    except Exception as e:  # noqa: BLE001  files that are gone or cannot be read are no custody
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "No such file" in str(e):
-            return False
+        return root(leaves(spark, path, sealed["chunk"]), sealed["chunk"])
+    except Exception as e:  # noqa: BLE001  the store's own kind of error
+        if any(x in str(e) for x in ("PATH_NOT_FOUND", "does not exist", "No such file")):
+            return None
         raise
+
+
+def holds(spark: SparkSession, path: str, sealed: dict) -> bool:
+    """Whether the bytes at ``path`` are those that were sealed; not so if they are gone."""
+    return current(spark, path, sealed) == sealed["root"]

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.digest import content_digest
-from . import store
+from . import custody, store
 from .readers import leaves, open_source, skipped_lines, with_source_row
 
 #: The canonical schema
@@ -218,7 +218,8 @@ def ingest(spark: SparkSession, path: str, mapping: Mapping, out: str, overwrite
 
     The sort is range-partitioned, so that files hold neighbouring times and later filters can skip them. The manifest is
     kept beside the table and names both by the digest of their rows; a table made from other input is not replaced
-    unless ``overwrite`` says so.
+    unless ``overwrite`` says so. Both are sealed by their bytes too, as chunks of files, whose hashes are tables
+    beside it (``custody``).
     """
     raw, spec = open_source(spark, path)
     source, beside = content_digest(raw), f"{out.rstrip('/')}.manifest.json"
@@ -237,6 +238,7 @@ def ingest(spark: SparkSession, path: str, mapping: Mapping, out: str, overwrite
         zone |= dst_counts(written, ts, mapping.timestamp).first().asDict()
     if spec.format in ("access", "panos") and (gone := skipped_lines(spark, path, spec.format)):
         warnings.append(f"{gone} lines could not be read")
-    manifest = {"input": {"path": path, "format": spec.format, "sha256": source}, "output": out, "data_sha256": content_digest(written), "mapping_sha256": mapping.digest(), "roles": mapping.roles, "log_schema": mapping.schema, "timezone": zone, **facts, "warnings": warnings}
+    seals = {"input": custody.seal(spark, path, f"{out.rstrip('/')}.custody/input"), "output": custody.seal(spark, out, f"{out.rstrip('/')}.custody/output")}
+    manifest = {"input": {"path": path, "format": spec.format, "sha256": source}, "output": out, "custody": seals, "data_sha256": content_digest(written), "mapping_sha256": mapping.digest(), "roles": mapping.roles, "log_schema": mapping.schema, "timezone": zone, **facts, "warnings": warnings}
     store.write_text(spark, beside, json.dumps(manifest, default=str, sort_keys=True, indent=1))
     return manifest

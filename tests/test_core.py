@@ -297,7 +297,7 @@ def test_case(spark, tmp_path):
     (tmp_path / "case" / "canonical").rename(tmp_path / "was")
     (tmp_path / "less").rename(tmp_path / "case" / "canonical")
     spark.catalog.clearCache()
-    assert case.verify()["parquet_manifest"] is False and case.verify()["parquet_ledger"] is False
+    assert case.verify()["table"] is False and case.verify()["table_in_ledger"] is False
     (tmp_path / "case" / "canonical").rename(tmp_path / "less")
     (tmp_path / "was").rename(tmp_path / "case" / "canonical")
     assert case.engine("pseudonymized").query("SELECT count(DISTINCT src_ip) AS n FROM logs").rows == [(3,)]
