@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import presence
+from ..operators import presence, quantiles
 from . import incident, questions
-from .registry import events, query
+from .registry import events, query, t
 
 _E = "WITH e AS (SELECT event_id AS r, user_id, event_type, props, ts, epoch_us(ts) AS us FROM events)"
 _ONE = "SELECT '{n}' AS name, {v} AS vals, min(us) AS first_us, max(us) AS last_us, count(*) AS n, arg_min(r, (us, r)) AS \"row\" FROM e GROUP BY ALL"
@@ -51,3 +51,12 @@ def _(s, d):
 def _(s, d):
     e = events(s, d).select(F.col("ts").alias("timestamp_utc"), F.col("user_id").cast("string").alias("src_ip"), F.col("event_type").alias("dst_ip"))
     return questions.answer("who talks to whom", e)[1]
+
+
+_P = (0.01, 0.25, 0.5, 0.95, 0.999)
+_COLS = ("l_extendedprice", "l_quantity", "l_partkey")
+
+
+@query("exact_quantiles", " UNION ALL ".join(f"SELECT '{c}' AS col, {p}::DOUBLE AS p, round(quantile_cont({c}::DOUBLE, {p}), 4) AS value FROM lineitem" for c in _COLS for p in _P))
+def _(s, d):
+    return quantiles.exact(t(s, d, "lineitem"), list(_COLS), list(_P)).withColumn("value", F.round("value", 4))
