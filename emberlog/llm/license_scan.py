@@ -27,8 +27,8 @@ _BSD_END = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
 _GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
 _AS_IS = ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
-#: Headers and texts over several lines. Each is compared with as many words of a document, from a line on that begins
-#: with its first two words. Of the GNU, Apache and Mozilla licence files the titles stand for the long texts.
+#: Headers and texts over several lines. Each is compared with as many words of a document, from a place on where its
+#: first two words stand. Of the GNU, Apache and Mozilla licence files the titles stand for the long texts.
 HEADERS = {
     "MIT": ["MIT License", "The MIT License", _MIT + _AS_IS, _MIT],
     "ISC": ["ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
@@ -44,9 +44,14 @@ HEADERS = {
 }
 #: Titles of fewer words count only as a line of their own.
 TITLE = 4
-#: Lines that a header of so many words may be spread over.
-MOST_LINES = 80
-SPDX = r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)"
+#: An SPDX line names one licence or an expression of several.
+SPDX = r"SPDX-License-Identifier:\s*((?:\(\s*)*[A-Za-z0-9.+-]+(?:\s*\))*(?:\s+(?:AND|OR|WITH)\s+(?:\(\s*)*[A-Za-z0-9.+-]+(?:\s*\))*)*)"
+#: Names that an SPDX line may hold, without a version's -only, -or-later or +; then exceptions to licences
+KNOWN = """0BSD AFL-3.0 AGPL-1.0 AGPL-3.0 Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause
+BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPAL-1.0 CPL-1.0
+ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FTL GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 HPND ICU IPL-1.0 ISC JSON LGPL-2.0 LGPL-2.1 LGPL-3.0 LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MS-PL
+MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0 UPL-1.0 Unlicense Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
+EXCEPTIONS = "Autoconf-exception-3.0 Bison-exception-2.2 Classpath-exception-2.0 Font-exception-2.0 GCC-exception-3.1 Linux-syscall-note LLVM-exception OpenSSL-exception".split()
 SPLIT = r"[^\p{L}\p{N}]+"
 THRESHOLD = 0.75
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
@@ -61,26 +66,48 @@ def _words(text: str) -> list[str]:
 
 
 def _windows(rows: DataFrame, headers: dict[str, list[str]]) -> DataFrame:
-    """(__id, __path, __k, line, t, key): the words from each line on that begins as the header ``key`` does, as many as it has."""
+    """(__id, __path, __k, line, t, key): the words from each place on where the header ``key`` begins, as many as it has.
+
+    A header begins where its first two words stand one after the other, wherever in a line, and goes over as many
+    lines as it needs. ``line`` is that of its first word. Titles of few words count as a line of their own only.
+    """
     texts = {f"{k}#{i}": _words(h) for k, v in headers.items() for i, h in enumerate(v)}
     begins = sorted({tuple(w[:2]) for w in texts.values()})
-    starts = r"(?im)^[^\p{L}\p{N}\n]*+(" + "|".join(rf"{a}[^\p{{L}}\p{{N}}]+{b}" for a, b in begins) + ")"
-    # few texts have such a line; only those are cut
-    some = rows.filter(F.col("__text").rlike(starts)).withColumn("__lines", F.split("__text", "\n"))
-    at = some.select("__id", "__path", "__k", "__lines", F.posexplode("__lines").alias("line", "one")).filter(F.col("one").rlike(starts))
-    after = F.array_join(F.slice("__lines", F.col("line") + 1, F.lit(MOST_LINES)), "\n")
-    at = at.select("__id", "__path", "__k", "line", _terms(F.col("one")).alias("own"), _terms(after).alias("all"))
+    starts = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(rf"{a}[^\p{{L}}\p{{N}}]+{b}" for a, b in begins) + r")(?![\p{L}\p{N}])"
+    # few texts have such a place; only those are cut
+    some = rows.filter(F.col("__text").rlike(starts)).select("__id", "__path", "__k", F.transform(F.split("__text", "\n"), _terms).alias("lines"))
+    words = F.flatten(F.transform("lines", lambda ws, k: F.transform(ws, lambda w: F.struct(w.alias("w"), k.alias("line")))))
+    some = some.withColumn("all", words).filter(F.size("all") >= 2).withColumn("words", F.col("all.w"))
+    at = some.select("__id", "__path", "__k", "lines", "all", "words", F.explode(F.filter(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.array(F.element_at("words", i), F.element_at("words", i + 1)).isin([F.array(F.lit(a), F.lit(b)) for a, b in begins]))).alias("i"))
+    at = at.withColumn("line", F.element_at("all", F.col("i"))["line"]).withColumn("one", F.element_at("words", F.col("i"))).withColumn("two", F.element_at("words", F.col("i") + 1))
 
     def fits(key: str, w: list[str]) -> Column:
-        same = (F.element_at("all", 1) == w[0]) & (F.element_at("all", 2) == w[1])
+        same = (F.col("one") == w[0]) & (F.col("two") == w[1])
         if len(w) < TITLE:
-            same = F.col("own") == F.array(*map(F.lit, w))
-        return F.when((F.size("all") >= 2) & same, F.struct(F.lit(key).alias("key"), F.array_join(F.slice("all", 1, len(w)), " ").alias("t")))
+            same = same & (F.element_at("lines", F.col("line") + 1) == F.array(*map(F.lit, w)))
+        return F.when(same, F.struct(F.lit(key).alias("key"), F.array_join(F.slice("words", F.col("i"), F.lit(len(w))), " ").alias("t")))
 
     hits = F.filter(F.array(*[fits(k, w) for k, w in sorted(texts.items())]), lambda x: x.isNotNull())
     return at.select("__id", "__path", "__k", "line", F.explode(hits).alias("h")).select("__id", "__path", "__k", "line", "h.t", "h.key")
 
 
+def spdx_name(line: Column) -> Column:
+    """The licence, or the expression of licences, that an SPDX line names, as SPDX writes it; null if some name is not known."""
+    usual = F.create_map(*[F.lit(x) for k in (*KNOWN, *EXCEPTIONS) for x in (k.lower(), k)])
+    tokens = F.regexp_extract_all(F.regexp_extract(line, SPDX, 1), F.lit(r"[A-Za-z0-9.+-]+|[()]"), F.lit(0))
+
+    def named(x: Column) -> Column:
+        base = F.regexp_replace(F.lower(x), r"(-only|-or-later|\+)$", "")
+        suffix = F.lower(F.regexp_extract(x, r"(?i)(-only|-or-later|\+)$", 1))
+        return F.when(x.isin("AND", "OR", "WITH", "(", ")"), x).otherwise(F.concat(F.element_at(usual, base), suffix))
+
+    made = F.transform(tokens, named)
+    text = F.regexp_replace(F.regexp_replace(F.array_join(made, " "), r"\( ", "("), r" \)", ")")
+    text = F.regexp_replace(text, r"^\(([^()]*)\)$", "$1")
+    level = lambda c: F.size(F.filter(tokens, lambda x: x == c))
+    return F.when((F.size(tokens) > 0) & F.forall(made, lambda x: x.isNotNull()) & (level("(") == level(")")), text)
+
+
 def scan(
     df: DataFrame,
     templates: dict[str, str] | None = None,
@@ -96,7 +123,8 @@ def scan(
     ``license``: the template that the best line of the whole text comes closest to, with a cosine (``score``) of
     ``threshold`` or more; ties go to the smaller template name, then the earlier ``line``. Term weights are counts
     times ln(1 + N / df) over all texts. ``headers`` (default: ``HEADERS``) are compared with windows over several
-    lines, so that headers and whole licence files count too; an SPDX line names its license with a score of 1. A row is a licence file if its name says so or the lines that match hold
+    lines, so that headers and whole licence files count too; an SPDX line of known names gives its licence, or its
+    expression of several, a score of 1. A row is a licence file if its name says so or the lines that match hold
     ``share`` of its words. ``inherited``: for rows without a license of their own, that of the licence file in the
     nearest directory at or above theirs (the best score there, then the smaller path); ``inherited_from`` is its path.
 
@@ -164,7 +192,7 @@ def scan(
     best = cos.groupBy("t", "key").agg(F.min(F.struct((-F.col("score")).alias("s"), "name", "words")).alias("b")).select("t", "key", (-F.col("b.s")).alias("score"), F.col("b.name").alias("name"), F.col("b.words").alias("words"))
     found = near.join(best, ["t", "key"]).select("__id", "__path", "__k", "line", "score", "name", "words", "key")
     if headers:
-        spdx = lines_of(rows.filter(F.col("__text").contains("SPDX-License-Identifier"))).withColumn("name", F.regexp_extract("t", SPDX, 1)).filter("name != ''")
+        spdx = lines_of(rows.filter(F.col("__text").contains("SPDX-License-Identifier"))).withColumn("name", spdx_name(F.col("t"))).filter("name IS NOT NULL")
         found = found.unionByName(spdx.select("__id", "__path", "__k", "line", F.lit(1.0).alias("score"), "name", F.size(_terms(F.col("t"))).cast("long").alias("words"), F.lit("").alias("key")).distinct())
     # windows may overlap each other and lines, so that only the longest counts
     told = [F.sum(F.when(F.col("key") == "", F.col("words")).otherwise(0)), F.max(F.when(F.col("key") != "", F.col("words")).otherwise(0))]
