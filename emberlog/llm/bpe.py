@@ -206,6 +206,9 @@ def _codec(path: str, patterns: tuple[str, str]) -> WordCodec:
     return WordCodec(path, patterns)
 
 
+common.CACHES += [_codec.cache_clear, load.cache_clear]
+
+
 def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` to each row.
 

@@ -65,6 +65,17 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
 
 
+#: What clears the caches that a worker keeps from one task to the next.
+CACHES: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Drop a worker's caches of other operators before a stage that needs the memory; they fill again when used."""
+    for clear in CACHES:
+        clear()
+    release()
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the system: workers live on and other stages need it."""
     gc.collect()
