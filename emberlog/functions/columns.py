@@ -230,9 +230,11 @@ _MARKED, _PLAIN, _SEVERAL = _folds()
 def ascii_fold(text: Column) -> Column:
     """Text without marks on letters; what has no ASCII form goes. Stays in the JVM: characters are translated by a table.
 
-    Characters that become several letters are few; only texts that hold one are gone over for them.
+    Characters that become several letters are few; only texts that hold one are gone over for them, by a loop over a
+    table, which keeps the code that Spark makes of this small.
     """
-    wide = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), _SEVERAL.items(), text)
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _SEVERAL.items()])
+    wide = F.aggregate(pairs, text, lambda t, x: F.replace(t, x["k"], x["v"]))
     spread = F.when(text.rlike(f"[{''.join(_SEVERAL)}]"), wide).otherwise(text)
     plain = F.regexp_replace(F.translate(spread, _MARKED, _PLAIN), r"[^\x00-\x7F]+", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
