@@ -374,6 +374,16 @@ def _(s, d):
     return privacy.parity(detectors.resource_breadth(e, "user_id", "props", k=1), detectors.resource_breadth(copy, "user_id", "props", k=1), table)
 
 
+@query("pseudo_parity_planted", "WITH f AS (SELECT user_id, min(event_id) AS first, count(*) AS n FROM events GROUP BY 1), a AS (SELECT user_id, n, 'U-' || lpad(row_number() OVER (ORDER BY first, user_id::VARCHAR)::VARCHAR, 4, '0') AS actor FROM f) SELECT actor, n FROM a WHERE user_id % 10 = 0 UNION ALL SELECT actor, n + 1 FROM a WHERE user_id % 10 = 0")
+def _(s, d):
+    """Findings of a copy in which every tenth user has one event more: both sides of each difference come back."""
+    e = events(s, d)
+    table = privacy.alias_table(e, "user_id", "event_id")
+    real = e.groupBy(F.col("user_id").alias("actor")).agg(F.count(F.lit(1)).alias("n"))
+    more = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.col("n") + F.when(F.col("user_id") % 10 == 0, 1).otherwise(0))
+    return privacy.parity(real, privacy.with_alias(more, "user_id", table).select(F.col("user_id").alias("actor"), "n"), table)
+
+
 # ingest expressions
 @query("url_split", "SELECT page_id, split_part(url, '?', 1) AS endpoint, CASE WHEN strpos(url, '?') > 0 THEN substr(url, strpos(url, '?') + 1) END AS query_string FROM pages")
 def _(s, d):
@@ -501,13 +511,15 @@ def _(s, d):
 
 
 def sites(s, d):
-    """Pages by host: a host is a document, its pages are the document's."""
-    return t(s, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), "page_id", F.col("html").alias("text"))
+    """Pages by host: a host is a document, its pages are the document's. Each has the host's heading and a counter, as prints do."""
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    text = F.concat(F.lit("Printed from "), host, F.lit("\n"), "html", F.lit("\nPage "), F.col("page_id").cast("string"), F.lit(" of 9000"))
+    return t(s, d, "pages").select(host.alias("host"), "page_id", text.alias("text"))
 
 
 _LINE = rf"CASE WHEN length(trim(raw)) >= 6 AND NOT regexp_matches(trim(raw), '^[0-9a-fA-F]+$') THEN regexp_replace(lower(trim(raw)), '{V.PAGE_COUNTER}', '#/#', 'g') END"
 _REPEATED = f"l AS (SELECT id, page, {_LINE} AS line FROM (SELECT id, page, unnest(string_split(text, chr(10))) AS raw FROM pg)), rep AS (SELECT l.id, line, count(DISTINCT l.page) AS pages FROM l WHERE line IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT l.page) >= greatest(3, (SELECT ceil(0.5 * count(DISTINCT page)) FROM pg WHERE pg.id = l.id)))"
-_SITES = f"WITH RECURSIVE pg AS (SELECT split_part(url, '/', 3) AS id, page_id AS page, html AS text FROM pages), {_REPEATED}"
+_SITES = f"WITH RECURSIVE pg AS (SELECT split_part(url, '/', 3) AS id, page_id AS page, 'Printed from ' || split_part(url, '/', 3) || chr(10) || html || chr(10) || 'Page ' || page_id || ' of 9000' AS text FROM pages), {_REPEATED}"
 
 
 @query("repeated_lines", f"{_SITES} SELECT id, line, pages FROM rep")
@@ -676,10 +688,14 @@ def _(s, d):
     return readers.with_source_row(t(s, d, "events")).agg(F.count(F.lit(1)).alias("n"), F.min("source_row").alias("first"), F.max("source_row").alias("last"), F.countDistinct("source_row").alias("rows"))
 
 
-@query("leaf_paths", "SELECT unnest(['a.b', 'a.c.d', 'e']) AS path, unnest(['bigint', 'string', 'double']) AS type")
+@query("leaf_paths", "SELECT 'a.b' AS path, 'bigint' AS type, count(event_id) AS filled, count(DISTINCT event_id) AS \"distinct\" FROM events UNION ALL SELECT 'a.c.d', 'string', count(event_type), count(DISTINCT event_type) FROM events WHERE event_id % 3 > 0 UNION ALL SELECT 'e', 'double', count(*), count(DISTINCT value) FROM events WHERE value > 50")
 def _(s, d):
-    nested = t(s, d, "events").select(F.struct(F.col("event_id").alias("b"), F.struct(F.col("event_type").alias("d")).alias("c")).alias("a"), F.col("value").cast("double").alias("e"))
-    return s.createDataFrame([(p, k.simpleString()) for p, (_, k) in readers.leaves(nested.schema).items()], "path string, type string")
+    """Leaves of nested rows, some of whose structs and values are missing, each with what it holds."""
+    inner = F.when(F.col("event_id") % 3 > 0, F.struct(F.col("event_type").alias("d")))
+    nested = t(s, d, "events").select(F.struct(F.col("event_id").alias("b"), inner.alias("c")).alias("a"), F.when(F.col("value") > 50, F.col("value").cast("double")).alias("e"))
+    cells = [F.struct(F.lit(p).alias("path"), F.lit(k.simpleString()).alias("type"), c.cast("string").alias("v")) for p, (c, k) in readers.leaves(nested.schema).items()]
+    each = nested.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    return each.groupBy("path", "type").agg(F.count("v").alias("filled"), F.countDistinct("v").alias("distinct"))
 
 
 # SQL service
@@ -704,16 +720,24 @@ def _(s, d):
     return s.createDataFrame(QueryEngine(t(s, d, "events"), "0" * 64).query(_LEAD_SQL).rows, "user_id long, runs long")
 
 
-@query("describe_logs", "SELECT unnest(['o_orderkey', 'o_orderstatus']) AS name, unnest(['bigint', 'string']) AS type")
+@query("describe_logs", "SELECT 'o_orderkey' AS name, 'bigint' AS type, count(DISTINCT o_orderkey) AS \"values\" FROM orders UNION ALL SELECT 'o_orderstatus', 'string', count(DISTINCT o_orderstatus) FROM orders")
 def _(s, d):
-    return s.createDataFrame(QueryEngine(t(s, d, "orders").select("o_orderkey", "o_orderstatus"), "0" * 64).query("DESCRIBE logs").rows, "name string, type string")
+    """The columns that the service describes, each with the different values that a query of it counts."""
+    engine = QueryEngine(t(s, d, "orders").select("o_orderkey", "o_orderstatus"), "0" * 64)
+    rows = [(name, kind, engine.query(f"SELECT count(DISTINCT {name}) AS n FROM logs").rows[0][0]) for name, kind, *_ in engine.query("DESCRIBE logs").rows]
+    return s.createDataFrame(rows, "name string, type string, values long")
 
 
-@query("content_digest", "SELECT true AS same, true AS other")
+@query("content_digest", "SELECT o_orderstatus AS status, count(*) AS rows, true AS same, true AS less, true AS changed FROM orders GROUP BY 1")
 def _(s, d):
+    """Of each status: the digest of its rows stays when they are dealt anew, and changes with one row or one cell."""
     o = t(s, d, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("k"))
-    a, b, c = (content_digest(x) for x in (o, o.repartition(5), o.filter("o_orderkey > 1")))
-    return s.createDataFrame([(a == b, a != c)], "same boolean, other boolean")
+    out = []
+    for r in o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first")).collect():
+        part, first = o.filter(F.col("o_orderstatus") == r["o_orderstatus"]), F.col("o_orderkey") == r["first"]
+        a, b, c, e = (content_digest(x) for x in (part, part.repartition(5), part.filter(~first), part.withColumn("k", F.when(first, F.lit(-1)).otherwise(F.col("k")))))
+        out.append((r["o_orderstatus"], r["n"], a == b, a != c, a != e))
+    return s.createDataFrame(out, "status string, rows long, same boolean, less boolean, changed boolean")
 
 
 # questions
