@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import values as V
+from ..sources import store
 
 #: IPv4 addresses stand in the IPv6 block ::ffff:0:0/96, so that one key serves both.
 MAPPED = 0xFFFF << 32
@@ -65,6 +66,7 @@ def networks(df: DataFrame, start: str, label: str, end: str | None = None) -> D
 
     Rows that are neither are left out. A prefix that several rows give has the least label.
     """
+    store.ship(df.sparkSession)
     src = df.select(F.col(start).cast("string").alias("a"), (F.col(end).cast("string") if end else F.lit(None).cast("string")).alias("b"), F.col(label).cast("string").alias("label"))
     ranged = end is not None
 

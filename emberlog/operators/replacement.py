@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 #: A run of word characters, or one other character: together they make up a text.
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_]")
 WORD = "[A-Za-z0-9_]"
@@ -48,6 +50,7 @@ def places(texts: DataFrame, words: DataFrame, stop: str = WORD) -> DataFrame:
     the words by an equality join, which gives what stands there, and that meets the words themselves by another. No
     table of words is held in one place.
     """
+    store.ship(texts.sparkSession)
     first = F.regexp_extract("word", rf"(?s)^(?:{WORD}+|.)", 0)
     heads = words.filter(F.length("word") > 0).select(first.alias("token"), F.length("word").alias("len")).distinct()
     near = texts.mapInArrow(_starts, "key string, start int, token string").join(heads, "token").groupBy("key").agg(F.collect_list(F.struct("start", "len")).alias("near"))

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import store
+
 #: Rows of the table of chunks up to which it is sent to all tasks: about 64 bytes each.
 CHUNKS_SENT = 1 << 20
 
@@ -212,6 +214,7 @@ def records(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     The driver holds one row for each chunk. That table goes to all tasks up to ``sent`` rows, which bounds its size;
     a larger one meets the lines by a join on the chunk, after which a chunk's lines are put in order again.
     """
+    store.ship(spark)
     lines = lines_of(spark, path, encoding)
     chunks = [Chunk(*r) for r in lines.mapInArrow(lambda it: _measure(it, delimiter), _CHUNK).collect()]
     told = spark.createDataFrame(composed(chunks), "c_file long, c_start long, begins boolean, number long, origin long")

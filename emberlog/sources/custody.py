@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 #: Bytes of a chunk, and children of a node.
 CHUNK, FAN = 32 << 20, 256
 
@@ -59,6 +61,7 @@ def leaves(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     end is told by the length. Names are those below ``path``, so that a folder may be moved. Packed files (.gz) are
     hashed as their content. Files whose names begin with _ or . are not read.
     """
+    store.ship(spark)
     own = _session(spark, chunk)
     file = F.xxhash64(F.col("_metadata.file_path")).alias("file")
     listed = own.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(file, F.col("_metadata.file_path").alias("full"), F.col("length"))

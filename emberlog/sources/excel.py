@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import store
+
 #: Number formats of the file format that show dates or times
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 SCHEMA = "sheet string, sheet_no int, row long, cells array<string>"
@@ -201,6 +203,7 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """
     if path.lower().endswith(".xls"):
         raise ExcelError("old binary workbooks (.xls) are not read; save them as .xlsx")
+    store.ship(spark)
     spark.dataSource.register(Workbook)
     whole = spark.read.format("workbook").load(path)
     filled = {r["sheet"] for r in whole.filter("row = 1").select("sheet").collect()}

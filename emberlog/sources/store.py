@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -63,6 +65,24 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to a cluster's executors, once for each application: Python workers there may not have it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped or sc.master.startswith("local[") or sc.master == "local":
+        return
+    root = Path(__file__).resolve().parents[1]
+    # the driver's file server sends it from here for as long as the application runs
+    path = f"{tempfile.mkdtemp(prefix='emberlog-')}/{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a temporary one of a local master."""
     sc = spark.sparkContext

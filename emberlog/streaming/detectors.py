@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import columns as C
+from ..sources import store
 
 #: The state store that keyed state with timers needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -138,6 +139,7 @@ def needs_store(spark: SparkSession) -> None:
 
 def _run(stream: DataFrame, keys: list[str], time_col: str, what: Column, late: str, processor: Ordered) -> DataFrame:
     needs_store(stream.sparkSession)
+    store.ship(stream.sparkSession)
     src = stream.withWatermark(time_col, late).select(*keys, time_col, C.millis(F.col(time_col)).alias("ms"), what.alias("what")).filter("what IS NOT NULL AND ms IS NOT NULL")
     out = T.StructType([*[src.schema[k] for k in keys], *processor.OUT])
     return src.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Update", timeMode="EventTime")
