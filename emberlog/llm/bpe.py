@@ -20,6 +20,8 @@ from . import common
 #: Most entries of a worker's cache in each of two generations. Results do not depend on it.
 CACHE_ENTRIES = 60_000
 CACHE_CHARS = 48
+#: Text bytes that are encoded and decoded at once: a worker holds texts, ids and decoded texts of so many, twice over.
+SLICE_BYTES = 1 << 20
 
 
 class Cache(dict):
@@ -203,6 +205,8 @@ class WordCodec:
 
 @lru_cache(maxsize=2)
 def _codec(path: str, patterns: tuple[str, str]) -> WordCodec:
+    # a worker may come from another stage with what that one has kept
+    common.forget()
     return WordCodec(path, patterns)
 
 
@@ -229,7 +233,7 @@ def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[s
 
         return f
 
-    return common.map_text(df, text_col, fields, make, keep)
+    return common.map_text(df, text_col, fields, make, keep, SLICE_BYTES)
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -150,17 +150,39 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) ->
         yield batch.slice(start)
 
 
+def over_slices(batches: Iterator[pa.RecordBatch], width: int, names: list[str], arrow: list[pa.DataType], make: Callable[[], Callable[[list], list]], most: int) -> Iterator[pa.RecordBatch]:
+    """The first ``width`` columns of each slice of the batches, and what ``make()`` finds in the texts of the next one.
+
+    Of a slice nothing is held when the next one begins, and each column goes once Arrow has it.
+    """
+    f = make()
+    for whole in batches:
+        for b in text_slices(whole, width, most):
+            cols = f(b.column(width).to_pylist())
+            for i, t in enumerate(arrow):
+                cols[i] = pa.array(cols[i], t)
+            done = pa.RecordBatch.from_arrays([*b.columns[:width], *cols], [*b.schema.names[:width], *names])
+            del b, cols
+            yield done
+            del done
+        del whole
+    del f
+    release()
+
+
 def map_text(
     df: DataFrame,
     text_col: str,
     fields: list[T.StructField],
     make: Callable[[], Callable[[list], list]],
     keep: list[str] | None = None,
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
     """Append columns computed from whole texts, Arrow batch by Arrow batch, without a shuffle.
 
     ``make()`` runs once for a task and gives ``f(texts) -> one list of values for each field``.
     ``keep``: the input columns to return (default: all whose names do not clash with ``fields``).
+    ``most``: text bytes that ``f`` gets at once; results do not depend on it.
     """
     ship(df)
     names = [f.name for f in fields]
@@ -170,16 +192,7 @@ def map_text(
     arrow = [pa_type(f.dataType) for f in fields]
     width = len(keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
-        for whole in batches:
-            for b in text_slices(whole, width):
-                cols = f(b.column(width).to_pylist())
-                new = [pa.array(c, t) for c, t in zip(cols, arrow, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], *new], [*b.schema.names[:width], *names])
-        release()
-
-    return src.mapInArrow(run, out)
+    return src.mapInArrow(lambda batches: over_slices(batches, width, names, arrow, make, most), out)
 
 
 def pa_type(t: T.DataType) -> pa.DataType:

@@ -35,6 +35,7 @@ _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _grown: dict[int, np.ndarray] = {}
+common.CACHES.append(_grown.clear)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
