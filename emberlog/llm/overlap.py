@@ -319,8 +319,9 @@ def links(prefixes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share:
     """(a, b): links among distinct sets (fp, n, sim, hashes, bits, small) that join all pairs of Jaccard similarity ``share``.
 
     Two such sets share one of their first n - ceil(share n) + 1 hashes in a common order, which is an equality key.
-    The first round verifies the links of SimHash's deletion variants and, of each set, the leader that it meets in most
-    of its buckets. In later rounds a bucket proposes a spanning forest of the pairs that bounds allow between its
+    The first round verifies the links of SimHash's deletion variants; the exact search that follows takes what they
+    join as joined. Its first round tries each set with the leader that it meets in most of its buckets, if that is of
+    another component. In later rounds a bucket proposes a spanning forest of the pairs that bounds allow between its
     components, so that a large group of copies costs pairs in proportion to its size; the last tries all pairs
     between components that remain, so that no link is missed. ``sets_of`` gives the whole sets (fp, n, set) of a column
     ``fp``; only those of candidate pairs are asked for, and a pair moves one of its two sets. What is written between
@@ -352,31 +353,49 @@ def links(prefixes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share:
         written.pop(-2)()
         return out
 
-    # sets of one SimHash are tried with the first of them, those of linked ones first with first
+    tried = found = roots = None
+
+    def attempt(pairs: DataFrame) -> bool:
+        """Verify those of ``pairs`` (a, b) that bounds allow and that are new; whether there were any."""
+        nonlocal tried, found, roots
+        rest = kept(near(pairs if tried is None else kept(pairs.join(tried, ["a", "b"], "left_anti"))))
+        if found is not None and rest.isEmpty():
+            return False
+        new = verified(rest)
+        found, tried = (new, rest) if found is None else (kept(found.unionByName(new)), kept(tried.unionByName(rest)))
+        roots = None
+        return True
+
+    def rooted(rows: DataFrame, node: str, root: str) -> DataFrame:
+        """``rows`` with the class of ``node``, as far as links have been found: its own name where none has."""
+        nonlocal roots
+        roots = kept(components(found)) if roots is None else roots
+        return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b")).distinct()
+
+    # SimHash alone comes first: sets of one are tried with the first of them, those of linked ones first with first
     lead = prefixes.groupBy("sim").agg(F.min("fp").alias("lead"))
     same = prefixes.join(lead, "sim").filter("fp != lead").select("lead", F.col("fp").alias("member"))
     close = simhash.links(lead.select(F.col("sim").alias("fp")))
     close = close.join(lead.select(F.col("sim").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("sim").alias("b"), F.col("lead").alias("member")), "b").select(F.col("x").alias("lead"), "member")
+    attempt(ordered(same.unionByName(close)))
+    # what SimHash has joined stays joined: leaders are for sets that it leaves apart
     led = met.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(lambda it: _led(it, share), "lead long, member long")
     votes = led.groupBy("lead", "member").agg(F.count(F.lit(1)).alias("c")).groupBy("member").agg(F.max(F.struct("c", "lead")).alias("v")).select("v.lead", "member")
-    first = same.unionByName(close).unionByName(votes).select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b")).distinct()
-    tried = kept(near(first))
-    found = verified(tried)
-    # first what joins components by few pairs, in orders of their own; then all pairs that are left
-    seeds, roots = [*SEEDS, None], None
+    attempt(ordered(rooted(rooted(votes, "lead", "root"), "member", "other").filter("root != other")))
+    # then what joins components by few pairs, in orders of their own; at last all pairs that are left
+    seeds = [*SEEDS, None]
     while seeds:
         seed = seeds.pop(0)
-        roots = kept(components(found)) if roots is None else roots
-        members = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        members = rooted(met, "fp", "root")
         mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
         some = members.join(mixed, "key", "left_semi").join(prefixes.select("fp", "small"), "fp").select("key", "n", "fp", "root", "small")
         pairs = some.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(partial(_pairs, share=share, seed=seed), "a long, b long").distinct()
-        rest = kept(near(kept(pairs.join(tried, ["a", "b"], "left_anti"))))
-        if rest.isEmpty():
+        if not attempt(pairs):
             # no order proposes anything new: what is left, if anything, is for the last round
             seeds = seeds[-1:]
-            continue
-        found, tried, roots = kept(found.unionByName(verified(rest))), kept(tried.unionByName(rest)), None
     out = common.checkpoint(found)
     for forget in written:
         forget()
