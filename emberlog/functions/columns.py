@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 import unicodedata
 from functools import reduce
 
@@ -225,6 +226,13 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 
 _MARKED, _PLAIN, _SEVERAL = _folds()
+_FOLDED = dict(zip(_MARKED, _PLAIN, strict=True)) | _SEVERAL
+_NOT_ASCII = re.compile(r"[^\x00-\x7F]")
+
+
+def folded(text: str) -> str:
+    """``ascii_fold`` of one text, for functions in tasks."""
+    return text if text.isascii() else _NOT_ASCII.sub(lambda m: _FOLDED.get(m[0], ""), text)
 
 
 def ascii_fold(text: Column) -> Column:
