@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,60 +17,87 @@ from ..sources import store
 
 #: The state store that keyed state with timers needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keys are dealt to so many buckets, each with one state; fixed for as long as a stream goes on.
+BUCKETS = 1024
+#: How keys of any type are written and read back whole.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}
 
 
 class Ordered(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them, then takes them in order of time.
+    """Holds rows of a bucket of keys until the watermark has passed them, then takes each key's in order of time.
 
-    Rows that come late, but before the watermark, fall into their place; later ones are dropped by Spark. A subclass
-    says what its state is (``FIELDS``), how a row changes it (``step``) and what a key's finding is (``finding``).
+    Rows that come late, but before the watermark, fall into their place; later ones are dropped by Spark. A micro-batch
+    asks the state store a few times for a bucket and never for a key: the rows held are one value for each slice of
+    rows that came, the keys' states are one value. A subclass says how a row changes a key's state (``step``), whose
+    first field is the last row's moment, and what a key's finding is (``finding``).
     """
 
-    FIELDS: tuple[tuple[str, T.DataType], ...] = ()
+    OUT: tuple[T.StructField, ...] = ()
 
     def __init__(self, keys: list[str], idle_ms: int):
         self.keys, self.idle_ms = keys, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", T.StructType([T.StructField("ms", T.LongType()), T.StructField("what", T.StringType())]))
-        self.state = handle.getValueState("state", T.StructType([T.StructField("last_ms", T.LongType()), *[T.StructField(n, k) for n, k in self.FIELDS]]))
+        self.held = handle.getListState("held", T.StructType([T.StructField("rows", T.BinaryType())]))
+        self.states = handle.getValueState("states", T.StructType([T.StructField("states", T.BinaryType())]))
+        self.wake = handle.getValueState("wake", T.StructType([T.StructField("ms", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        latest = None
+        earliest = []
         for pdf in rows:
             if len(pdf):
-                self.held.appendList([(int(m), w) for m, w in zip(pdf["ms"], pdf["what"], strict=True)])
-                most = int(pdf["ms"].max())
-                latest = most if latest is None else max(latest, most)
-        if latest is not None:
-            self.handle.registerTimer(latest)
+                part: dict[str, list[tuple[int, str]]] = {}
+                for name, ms, what in zip(pdf["key"].tolist(), pdf["ms"].tolist(), pdf["what"].tolist(), strict=True):
+                    part.setdefault(name, []).append((ms, what))
+                self.held.appendValue((pickle.dumps(part),))
+                earliest.append(int(pdf["ms"].min()))
+        if earliest:
+            self.wake_at(min(earliest))
         return iter(())
 
+    def wake_at(self, ms: int) -> None:
+        """Have one timer for the bucket, no later than this."""
+        was = self.wake.get()[0] if self.wake.exists() else None
+        if was is None or ms < was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(ms)
+            self.wake.update((ms,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         now = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.held.get())
-        due = sorted(((r[0], r[1]) for r in rows if r[0] <= now), key=self.order)
-        if not due:
-            last = self.state.get()[0] if self.state.exists() else None
-            if not rows and last is not None and last + self.idle_ms <= now:
-                self.state.clear()
-            return
-        rest = [(r[0], r[1]) for r in rows if r[0] > now]
-        if rest:
-            self.held.put(rest)
-        else:
+        due: dict[str, list[tuple[int, str]]] = {}
+        rest: dict[str, list[tuple[int, str]]] = {}
+        for (part,) in self.held.get():
+            for name, rows in pickle.loads(part).items():
+                for row in rows:
+                    (due if row[0] <= now else rest).setdefault(name, []).append(row)
+        states = pickle.loads(self.states.get()[0]) if self.states.exists() else {}
+        states = {name: s for name, s in states.items() if name in due or s[0] + self.idle_ms > now}
+        found = []
+        for name, rows in due.items():
+            state = states.get(name)
+            for ms, what in sorted(rows, key=self.order):
+                if state is not None and ms - state[0] > self.idle_ms:
+                    state = None  # an idle key begins anew, whether or not its timer has come
+                state = self.step(state, ms, what)
+            states[name] = state
+            found.append((name, *self.finding(state)))
+        if not rest:
             self.held.clear()
-        state = self.state.get() if self.state.exists() else None
-        state = tuple(state) if state is not None else None
-        for ms, what in due:
-            if state is not None and ms - state[0] > self.idle_ms:
-                state = None  # an idle key begins anew, whether or not its timer has come
-            state = self.step(state, ms, what)
-        self.state.update(state)
-        self.handle.registerTimer(max(now + 1, state[0] + self.idle_ms))
-        values = [v.item() if hasattr(v, "item") else v for v in key]
-        yield pd.DataFrame([[*values, *self.finding(state)]], columns=[*self.keys, *[f.name for f in self.OUT]])
+        elif due:
+            self.held.put([(pickle.dumps(rest),)])
+        if states:
+            self.states.update((pickle.dumps(states),))
+        else:
+            self.states.clear()
+        self.wake.clear()
+        ahead = [ms for rows in rest.values() for ms, _ in rows] + [s[0] + self.idle_ms for s in states.values()]
+        if ahead:
+            self.wake_at(max(now + 1, min(ahead)))
+        if found:
+            yield pd.DataFrame(found, columns=["key", *[f.name for f in self.OUT]])
 
     @staticmethod
     def order(row: tuple[int, str]):
@@ -80,9 +108,8 @@ class Ordered(StatefulProcessor):
 
 
 class Beacons(Ordered):
-    """Number, sum and sum of squares of the gaps between a key's events."""
+    """Number, sum, sum of squares and seconds of the gaps between a key's events."""
 
-    FIELDS = (("gaps", T.LongType()), ("total", T.DecimalType(38, 0)), ("squares", T.DecimalType(38, 0)))
     OUT = (T.StructField("events", T.LongType()), T.StructField("mean_gap", T.DoubleType()), T.StructField("cv", T.DoubleType()), T.StructField("flagged", T.BooleanType()))
 
     def __init__(self, keys, idle_ms, min_events=12, min_gap=5.0, max_gap=7200.0, max_cv=0.15):
@@ -91,26 +118,25 @@ class Beacons(Ordered):
 
     def step(self, state, ms, what):
         if state is None:
-            return (ms, 0, Decimal(0), Decimal(0))
+            return (ms, 0, 0, 0, 0.0)
         gap = ms - state[0]
-        return (ms, state[1] + 1, state[2] + gap, state[3] + gap * gap)
+        return (ms, state[1] + 1, state[2] + gap, state[3] + gap * gap, state[4] + gap / 1000)
 
     def finding(self, state):
-        n, total, squares = state[1], int(state[2]), int(state[3])
+        _, n, total, squares, seconds = state
         if not n:
             return (1, None, None, False)
-        mean = total / n
-        # exact in whole numbers until the root
-        cv = ((n * squares - total * total) ** 0.5 / n) / mean if mean else None
+        # seconds are added as the batch detector and its SQL do, so that halves go the same way; the spread is exact until the root
+        mean = seconds / n
+        cv = ((n * squares - total * total) ** 0.5 / n) / (total / n) if total else None
         least, low, high, most = self.limits
-        flagged = n + 1 >= least and low <= mean / 1000 <= high and cv is not None and cv <= most
-        return (n + 1, round(mean / 1000, 3), None if cv is None else round(cv, 6), bool(flagged))
+        flagged = n + 1 >= least and low <= mean <= high and cv is not None and cv <= most
+        return (n + 1, math.floor(mean * 1000 + 0.5) / 1000, None if cv is None else round(cv, 6), bool(flagged))
 
 
 class Reopened(Ordered):
     """Pairs of a blocked event and an allowed one right after it."""
 
-    FIELDS = (("was", T.StringType()), ("pairs", T.LongType()), ("shortest", T.LongType()))
     OUT = (T.StructField("pairs", T.LongType()), T.StructField("shortest", T.DoubleType()), T.StructField("flagged", T.BooleanType()))
 
     def __init__(self, keys, idle_ms, window=900.0, min_pairs=3):
@@ -137,29 +163,32 @@ def needs_store(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-def _run(stream: DataFrame, keys: list[str], time_col: str, what: Column, late: str, processor: Ordered) -> DataFrame:
+def _run(stream: DataFrame, keys: list[str], time_col: str, what: Column, late: str, processor: Ordered, buckets: int) -> DataFrame:
     needs_store(stream.sparkSession)
     store.ship(stream.sparkSession)
-    src = stream.withWatermark(time_col, late).select(*keys, time_col, C.millis(F.col(time_col)).alias("ms"), what.alias("what")).filter("what IS NOT NULL AND ms IS NOT NULL")
-    out = T.StructType([*[src.schema[k] for k in keys], *processor.OUT])
-    return src.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Update", timeMode="EventTime")
+    marked = stream.withWatermark(time_col, late).select(F.to_json(F.struct(*keys), JSON).alias("key"), time_col, C.millis(F.col(time_col)).alias("ms"), what.alias("what"))
+    src = marked.filter("what IS NOT NULL AND ms IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    out = T.StructType([T.StructField("key", T.StringType()), *processor.OUT])
+    found = src.groupBy("bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Update", timeMode="EventTime")
+    kinds = T.StructType([T.StructField(k, stream.schema[k].dataType) for k in keys])
+    return found.withColumn("key", F.from_json("key", kinds, JSON)).select("key.*", *[f.name for f in processor.OUT])
 
 
-def beaconing(stream: DataFrame, keys: list[str], time_col: str = "timestamp_utc", outward: Column | None = None, late: str = "1 hour", idle_ms: int = 1 << 60, **limits) -> DataFrame:
+def beaconing(stream: DataFrame, keys: list[str], time_col: str = "timestamp_utc", outward: Column | None = None, late: str = "1 hour", idle_ms: int = 1 << 60, buckets: int = BUCKETS, **limits) -> DataFrame:
     """(keys, events, mean_gap, cv, flagged): each key's figures up to the watermark, whenever they change.
 
     The last row of a key agrees with the batch detector over all rows up to the watermark. Rows may come in any order
     within ``late``. A key is forgotten after ``idle_ms`` without an event.
     """
     outward = F.lit(True) if outward is None else outward
-    return _run(stream, keys, time_col, F.when(outward, "E"), late, Beacons(keys, idle_ms, **limits))
+    return _run(stream, keys, time_col, F.when(outward, "E"), late, Beacons(keys, idle_ms, **limits), buckets)
 
 
-def blocked_then_allowed(stream: DataFrame, keys: list[str], time_col: str = "timestamp_utc", deny: Column | None = None, allow: Column | None = None, late: str = "1 hour", idle_ms: int = 1 << 60, **limits) -> DataFrame:
+def blocked_then_allowed(stream: DataFrame, keys: list[str], time_col: str = "timestamp_utc", deny: Column | None = None, allow: Column | None = None, late: str = "1 hour", idle_ms: int = 1 << 60, buckets: int = BUCKETS, **limits) -> DataFrame:
     """(keys, pairs, shortest, flagged): each key's pairs up to the watermark, whenever they change."""
     deny = C.is_deny(F.col("action")) if deny is None else deny
     allow = C.is_allow(F.col("action")) if allow is None else allow
-    return _run(stream, keys, time_col, F.when(deny, "D").when(allow, "A"), late, Reopened(keys, idle_ms, **limits))
+    return _run(stream, keys, time_col, F.when(deny, "D").when(allow, "A"), late, Reopened(keys, idle_ms, **limits), buckets)
 
 
 def collected(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
